@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from marginalia.functions import fixed_values as fv
 
 
+def let(value: Column, use) -> Column:
+    """Compute ``value`` once and hand it to ``use``; inside higher-order functions nothing else is shared."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space at both ends, not only blanks."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -53,28 +58,34 @@ def clean_inline(c: Column) -> Column:
 
 def parse_attrs(c: Column) -> Column:
     """``#id .class key="v"`` as struct(ident, classes, kv)."""
-    keys = F.regexp_extract_all(c, F.lit(fv.P_ATTR), F.lit(1))
-    quoted = [F.regexp_extract_all(c, F.lit(fv.P_ATTR), F.lit(g)) for g in (2, 3, 4)]
-    # at most one of the three alternatives is non-empty for each pair
-    values = F.transform(
-        keys, lambda _, i: F.concat(*[F.coalesce(F.get(q, i), F.lit("")) for q in quoted])
+    return let(c, _parse_attrs)
+
+
+def _parse_attrs(c: Column) -> Column:
+    pairs = F.transform(
+        F.regexp_extract_all(c, F.lit(fv.P_ATTR), F.lit(0)),
+        lambda m: F.struct(
+            F.regexp_extract(m, fv.P_ATTR, 1).alias("k"),
+            # at most one of the three alternatives is non-empty
+            F.concat(*[F.regexp_extract(m, fv.P_ATTR, g) for g in (2, 3, 4)]).alias("v"),
+        ),
     )
-    rest = F.filter(F.split(F.regexp_replace(c, fv.P_ATTR, ""), r"\s+"), lambda t: t != "")
-    idents = F.filter(rest, lambda t: t.startswith("#"))
-    classes = F.transform(F.filter(rest, lambda t: t.startswith(".")), lambda t: F.substr(t, F.lit(2)))
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
     # the last value of a repeated key counts
-    last = F.filter(
-        F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))),
-        lambda p: ~F.exists(
-            F.slice(keys, p["i"] + 2, F.greatest(F.size(keys) - p["i"] - 1, F.lit(0))), lambda k: k == p["k"]
-        ),
+    kv = F.aggregate(
+        pairs,
+        F.create_map().cast("map<string,string>"),
+        lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])),
     )
-    kv = F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
-    return F.struct(
-        F.substr(F.try_element_at(idents, F.lit(-1)), F.lit(2)).alias("ident"),
-        classes.alias("classes"),
-        kv.alias("kv"),
+    rest = F.filter(F.split(F.regexp_replace(c, fv.P_ATTR, ""), r"\s+"), lambda t: t != "")
+    return let(
+        rest,
+        lambda r: F.struct(
+            F.substr(
+                F.try_element_at(F.filter(r, lambda t: t.startswith("#")), F.lit(-1)), F.lit(2)
+            ).alias("ident"),
+            F.transform(F.filter(r, lambda t: t.startswith(".")), lambda t: F.substr(t, F.lit(2))).alias("classes"),
+            kv.alias("kv"),
+        ),
     )
 
 

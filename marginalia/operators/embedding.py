@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from marginalia.functions import fixed_values as fv
 from marginalia.functions import text as tx
@@ -43,17 +43,18 @@ def embed_batch(loader: Embedder, normalize: bool = True, batch_size: int = 32)
     return run
 
 
-def hash_embed(text: Column, dim: int = fv.EMBED_DIM, normalize: bool = True) -> Column:
+def hash_embed(text: Column, dim: int = fv.EMBED_DIM, normalize: bool = True, double: bool = False) -> Column:
     """Words hashed into ``dim`` buckets, unit length; buckets come from the JVM, counting is one bincount per row."""
+    dtype = np.float64 if double else np.float32
 
-    @F.pandas_udf(ArrayType(FloatType()))
+    @F.pandas_udf(ArrayType(DoubleType() if double else FloatType()))
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for buckets in batches:
             rows = []
             for b in buckets:
                 v = np.bincount(b, minlength=dim).astype(np.float64) if len(b) else np.zeros(dim)
                 n = np.linalg.norm(v) if normalize else 1.0
-                rows.append((v / (n or 1.0)).astype(np.float32))
+                rows.append((v / (n or 1.0)).astype(dtype))
             yield pd.Series(rows)
 
     return count(F.transform(tx.words(text), lambda w: vx.hash_bucket(w, dim)))

@@ -68,37 +68,40 @@ def scope_attrs(stripped: Column) -> Column:
     return F.when(g2.startswith("{"), F.regexp_extract(stripped, fv.P_SCOPE, 3)).otherwise(g2)
 
 
-def _line_facts(line: Column, drop_classes: list[str], drop_attrs: list[str]) -> Column:
-    s = tx.strip(line)
-    is_scope = s.rlike(fv.P_SCOPE)
+def _line_facts(line: Column, s: Column, drop_classes: list[str], drop_attrs: list[str]) -> Column:
     attrs = scope_attrs(s)
     parsed = tx.parse_attrs(attrs)
-    dropped = F.arrays_overlap(parsed["classes"], F.array(*map(F.lit, drop_classes)))
-    for a in drop_attrs:
-        dropped = dropped | attrs.contains(a)
-    opens = is_scope & (F.regexp_extract(s, fv.P_SCOPE, 2) != "")
+
+    def opened(p: Column) -> Column:
+        dropped = F.arrays_overlap(p["classes"], F.array(*map(F.lit, drop_classes)))
+        for a in drop_attrs:
+            dropped = dropped | attrs.contains(a)
+        return F.struct(
+            dropped.alias("dropped"), F.coalesce(p["ident"].startswith("fig-"), F.lit(False)).alias("figure")
+        )
+
+    colons = s.startswith(":::") & s.rlike(fv.P_SCOPE)
+    plain = F.struct(F.lit(False).alias("dropped"), F.lit(False).alias("figure"))
     return F.struct(
         F.length(line).alias("n"),
         s.alias("s"),
-        F.regexp_extract(s, fv.P_FENCE, 1).alias("fence"),
-        F.when(opens, "open").when(is_scope, "close").otherwise("").alias("scope"),
-        F.when(opens, dropped).otherwise(False).alias("scope_dropped"),
-        F.when(opens, F.coalesce(parsed["ident"].startswith("fig-"), F.lit(False)))
-        .otherwise(False)
-        .alias("scope_figure"),
-        F.when(s.startswith("$$") & s.rlike(fv.P_EQ_ONE_LINE), "one")
-        .when(s.startswith("$$"), "open")
+        F.when(s.startswith("```") | s.startswith("~~~"), F.regexp_extract(s, fv.P_FENCE, 1)).otherwise("").alias("fence"),
+        F.when(colons, F.when(F.regexp_extract(s, fv.P_SCOPE, 2) != "", "open").otherwise("close"))
         .otherwise("")
-        .alias("eq"),
-        line.rlike(fv.P_FOOTNOTE_DEF).alias("foot"),
+        .alias("scope"),
+        F.when(colons, tx.let(parsed, opened)).otherwise(plain).alias("frame"),
+        F.when(s.startswith("$$"), F.when(s.rlike(fv.P_EQ_ONE_LINE), "one").otherwise("open")).otherwise("").alias("eq"),
+        (line.startswith("[^") & line.rlike(fv.P_FOOTNOTE_DEF)).alias("foot"),
         ((s != "") & line.startswith("    ")).alias("indented"),
     )
 
 
-def _marks(text: Column, masked: Column, drop_classes: list[str], drop_attrs: list[str]) -> Column:
+def _marks(masked: Column, drop_classes: list[str], drop_attrs: list[str]) -> Column:
     """Where the state of the reader changes, as an array of marks (see MARK)."""
-    facts = F.transform(F.split(masked, "\n"), lambda ln: _line_facts(ln, drop_classes, drop_attrs))
-    skip_to = body_start(text)
+    facts = F.transform(
+        F.split(masked, "\n"),
+        lambda ln: tx.let(tx.strip(ln), lambda s: _line_facts(ln, s, drop_classes, drop_attrs)),
+    )
     start = F.struct(
         F.lit(0).alias("pos"),
         F.lit(0).alias("i"),
@@ -108,59 +111,75 @@ def _marks(text: Column, masked: Column, drop_classes: list[str], drop_attrs: li
         F.array().cast(f"array<{MARK}>").alias("marks"),
     )
 
-    def step(a, f):
-        was = F.exists(a["scopes"], lambda d: d["dropped"])
-        skip = a["pos"] < skip_to
-        foot_goes_on = (a["mode"] == "foot") & f["indented"]
+    def happens(a: Column, f: Column, was: Column) -> Column:
         foot_ends = (a["mode"] == "foot") & ~f["indented"]
-        free = ~skip & ((a["mode"] == "text") | foot_ends)
-        fence_ends = (a["mode"] == "fence") & f["s"].startswith(a["fence"])
-        eq_ends = (a["mode"] == "eq") & f["s"].startswith("$$")
-        what = (
-            F.when(fence_ends, "fence_close")
-            .when(eq_ends, "eq_close")
-            .when(free & (f["fence"] != ""), "fence_open")
-            .when(free & (f["scope"] == "open"), "scope_open")
-            .when(free & (f["scope"] == "close"), "scope_close")
-            .when(free & ~was & (f["eq"] == "one"), "eq_one")
-            .when(free & ~was & (f["eq"] == "open"), "eq_open")
-            .when(free & ~was & f["foot"], "foot_open")
+        free = (a["pos"] >= F.col("skip_to")) & ((a["mode"] == "text") | foot_ends)
+        here = (
+            F.when(f["fence"] != "", "fence_open")
+            .when(f["scope"] == "open", "scope_open")
+            .when(f["scope"] == "close", "scope_close")
+            .when(was, "")
+            .when(f["eq"] == "one", "eq_one")
+            .when(f["eq"] == "open", "eq_open")
+            .when(f["foot"], "foot_open")
+            .otherwise("")
+        )
+        return (
+            F.when((a["mode"] == "fence") & f["s"].startswith(a["fence"]), "fence_close")
+            .when((a["mode"] == "eq") & f["s"].startswith("$$"), "eq_close")
+            .when(free & (here != ""), here)
             .when(foot_ends, "foot_end")
             .otherwise("")
         )
+
+    def go_on(a: Column, f: Column) -> Column:
+        return F.struct(
+            (a["pos"] + f["n"] + 1).alias("pos"),
+            (a["i"] + 1).alias("i"),
+            a["mode"].alias("mode"),
+            a["fence"].alias("fence"),
+            a["scopes"].alias("scopes"),
+            a["marks"].alias("marks"),
+        )
+
+    def change(a: Column, f: Column, what: Column, was: Column) -> Column:
+        n = F.size(a["scopes"])
         scopes = (
-            F.when(
-                what == "scope_open",
-                F.concat(
-                    a["scopes"],
-                    F.array(F.struct(f["scope_dropped"].alias("dropped"), f["scope_figure"].alias("figure"))),
-                ),
-            )
-            .when(what == "scope_close", F.slice(a["scopes"], F.lit(1), F.greatest(F.size(a["scopes"]) - 1, F.lit(0))))
+            F.when(what == "scope_open", F.concat(a["scopes"], F.array(f["frame"])))
+            .when(what == "scope_close", F.slice(a["scopes"], F.lit(1), F.greatest(n - 1, F.lit(0))))
             .otherwise(a["scopes"])
         )
         mode = (
-            F.when(what == "fence_open", "fence")
-            .when(what == "eq_open", "eq")
-            .when(what == "foot_open", "foot")
-            .when(what != "", "text")
-            .otherwise(a["mode"])
-        )
-        mark = F.struct(
-            a["i"].alias("line_no"),
-            what.alias("what"),
-            mode.alias("mode"),
-            F.exists(scopes, lambda d: d["dropped"]).alias("dropped"),
-            was.alias("was_dropped"),
-            F.exists(scopes, lambda d: d["figure"]).alias("in_figure"),
+            F.when(what == "fence_open", "fence").when(what == "eq_open", "eq").when(what == "foot_open", "foot").otherwise("text")
         )
-        return F.struct(
-            (a["pos"] + f["n"] + 1).alias("pos"),
-            (a["i"] + 1).alias("i"),
-            mode.alias("mode"),
-            F.when(what == "fence_open", f["fence"]).otherwise(a["fence"]).alias("fence"),
-            scopes.alias("scopes"),
-            F.when(what != "", F.concat(a["marks"], F.array(mark))).otherwise(a["marks"]).alias("marks"),
+
+        def build(sc: Column) -> Column:
+            mark = F.struct(
+                a["i"].alias("line_no"),
+                what.alias("what"),
+                mode.alias("mode"),
+                F.exists(sc, lambda d: d["dropped"]).alias("dropped"),
+                was.alias("was_dropped"),
+                F.exists(sc, lambda d: d["figure"]).alias("in_figure"),
+            )
+            return F.struct(
+                (a["pos"] + f["n"] + 1).alias("pos"),
+                (a["i"] + 1).alias("i"),
+                mode.alias("mode"),
+                F.when(what == "fence_open", f["fence"]).otherwise(a["fence"]).alias("fence"),
+                sc.alias("scopes"),
+                F.concat(a["marks"], F.array(mark)).alias("marks"),
+            )
+
+        return tx.let(scopes, build)
+
+    def step(a: Column, f: Column) -> Column:
+        return tx.let(
+            F.exists(a["scopes"], lambda d: d["dropped"]),
+            lambda was: tx.let(
+                happens(a, f, was),
+                lambda what: F.when(what == "", go_on(a, f)).otherwise(change(a, f, what, was)),
+            ),
         )
 
     return F.aggregate(facts, start, step, lambda a: a["marks"])
@@ -183,12 +202,17 @@ def tagged_lines(
         lambda m: F.struct(m["line_no"].alias("line_no"), F.lit(None).cast("string").alias("line"), m.alias("mark")),
     )
     rows = (
-        docs.select("source_file", "text", mask_comments(text).alias("masked"))
-        .withColumn("marks", _marks(text, masked, drop_classes, drop_attrs))
-        .select(
+        docs.select(
             "source_file",
-            F.length("text").alias("n"),
+            mask_comments(text).alias("masked"),
+            F.length(text).alias("n"),
             body_start(text).alias("skip_to"),
+        )
+        .withColumn("marks", _marks(masked, drop_classes, drop_attrs))
+        .select(
+            "source_file",
+            "n",
+            "skip_to",
             F.inline(F.concat(line_rows, mark_rows)),
         )
         .withColumn("is_line", F.col("line").isNotNull().cast("int"))
@@ -235,10 +259,12 @@ def tagged_lines(
 
 def fence_islands(docs: DataFrame, **options) -> DataFrame:
     """Lines inside fences with the number of their fence; ``kept`` tells display code from dropped cells."""
-    b = _grouped(tagged_lines(docs, **options))
-    return b.filter("cls = 'code'").select(
-        "source_file", "char_start", "char_end", F.explode("lines").alias("l"), _code_kept().alias("kept")
-    ).select("source_file", "char_start", "char_end", "l.line_no", "l.line", "kept")
+    b = _with_code(_grouped(tagged_lines(docs, **options)))
+    return (
+        b.filter("cls = 'code'")
+        .select("source_file", "char_start", "char_end", "kept", F.explode("lines").alias("l"))
+        .select("source_file", "char_start", "char_end", "l.line_no", "l.line", "kept")
+    )
 
 
 def scope_visibility(docs: DataFrame, **options) -> DataFrame:
@@ -289,125 +315,61 @@ def _grouped(lines: DataFrame) -> DataFrame:
     )
 
 
-def _code_info() -> tuple[Column, Column]:
+def _with_code(groups: DataFrame, drop_langs: list[str] = fv.DROP_CODE_LANGS) -> DataFrame:
+    """Add ``braced``, ``lang`` and ``kept`` of the fence that opens a group."""
     opener = F.col("lines")[0]["s"]
     g2 = F.regexp_extract(opener, fv.P_FENCE, 2)
     braced = g2.startswith("{")
-    lang = tx.strip(F.when(braced, F.regexp_extract(opener, fv.P_FENCE, 3)).otherwise(g2))
-    name = F.lower(F.split(F.regexp_replace(lang, r"^\.+", ""), r"\s+")[0])
-    return braced, name
+    info = tx.strip(F.when(braced, F.regexp_extract(opener, fv.P_FENCE, 3)).otherwise(g2))
+    is_code = F.col("cls") == "code"
+    return (
+        groups.withColumn("braced", F.when(is_code, braced))
+        .withColumn("lang", F.when(is_code, F.lower(F.split(F.regexp_replace(info, r"^\.+", ""), r"\s+")[0])))
+        .withColumn(
+            "kept",
+            ~(
+                F.col("state.was_dropped")
+                | (F.col("braced") & (F.col("lang").isin(drop_langs) | F.col("lang").startswith("=")))
+            ),
+        )
+    )
 
 
-def _code_kept(drop_langs: list[str] = fv.DROP_CODE_LANGS) -> Column:
-    braced, name = _code_info()
-    return ~(F.col("state.was_dropped") | (braced & (name.isin(drop_langs) | name.startswith("="))))
+def _nonempty(c: Column) -> Column:
+    return F.when(c != "", c)
 
 
-def _code_text() -> Column:
-    _, name = _code_info()
+def _inner(closing: str) -> Column:
+    """Lines between the opening and the closing line of a group; the last line stays if nothing closes it."""
     n = F.size("lines")
-    closed = F.col("lines")[n - 1]["at"] == "fence_close"
-    body = F.slice("lines", F.lit(2), n - F.when(closed, F.least(n, F.lit(2))).otherwise(F.lit(1)))
-    code = F.regexp_replace(F.array_join(F.transform(body, lambda x: x["line"]), "\n"), r"\s+$", "")
-    return F.when(code != "", F.concat(F.lit("```"), name, F.lit("\n"), code, F.lit("\n```")))
-
+    closed = F.col("lines")[n - 1]["at"] == closing
+    return F.slice("lines", F.lit(2), n - F.when(closed, F.least(n, F.lit(2))).otherwise(F.lit(1)))
 
-def _trailing(text: Column) -> tuple[Column, Column]:
-    """Text without trailing attributes, and the anchor in them."""
-    attrs = F.regexp_extract(text, fv.P_TRAILING_ATTRS, 1)
-    return F.regexp_replace(text, fv.P_TRAILING_ATTRS, ""), tx.parse_attrs(attrs)["ident"]
 
-
-def _one_block(kind: str, text: Column, level: Column | None = None, anchor: Column | None = None) -> Column:
-    return F.struct(
-        F.lit(kind).alias("kind"),
-        text.alias("text"),
-        (level if level is not None else F.lit(0)).cast("int").alias("level"),
-        (anchor if anchor is not None else F.lit(None)).cast("string").alias("anchor"),
-    )
-
-
-def _block_structs() -> Column:
-    first = F.col("lines")[0]
-    cls = F.col("cls")
-
-    # heading
-    title, h_anchor = _trailing(F.regexp_extract(first["line"], fv.P_HEADING, 2))
-    level = F.length(F.regexp_extract(first["line"], fv.P_HEADING, 1))
-    heading = _one_block("heading", tx.clean_inline(tx.strip(title)), level, h_anchor)
-
-    # table with an optional caption
-    rows = F.filter("lines", lambda x: ~x["is_caption"])
-    cap_line = F.get(F.filter("lines", lambda x: x["is_caption"]), F.lit(0))["line"]
-    cap, t_anchor = _trailing(F.regexp_extract(cap_line, fv.P_TABLE_CAPTION, 1))
-    cap = tx.clean_inline(cap)
-    body = F.array_join(F.transform(rows, lambda x: tx.clean_inline(x["line"])), "\n")
-    label = F.when(t_anchor.isNotNull(), F.concat(F.lit("Table ("), t_anchor, F.lit("): "))).otherwise("Table: ")
-    table = _one_block(
-        "table",
-        F.when(F.coalesce(cap, F.lit("")) != "", F.concat(label, cap, F.lit("\n"), body)).otherwise(body),
-        None,
-        t_anchor,
-    )
-
-    # equation
-    one = first["at"] == "eq_one"
-    n = F.size("lines")
-    last = F.col("lines")[n - 1]
-    closed = last["at"] == "eq_close"
-    attr_text = F.when(one, F.regexp_extract(first["s"], fv.P_EQ_ONE_LINE, 2)).when(closed, last["s"])
-    e_anchor = tx.parse_attrs(F.regexp_extract(attr_text, fv.P_TRAILING_ATTRS, 1))["ident"]
-    inner = F.slice("lines", F.lit(2), n - F.when(closed, F.least(n, F.lit(2))).otherwise(F.lit(1)))
-    eq_body = F.when(one, tx.strip(F.regexp_extract(first["s"], fv.P_EQ_ONE_LINE, 1))).otherwise(
-        tx.strip(F.array_join(F.transform(inner, lambda x: x["s"]), "\n"))
-    )
-    eq_text = F.concat(
-        F.lit("$$ "),
-        eq_body,
-        F.lit(" $$"),
-        F.when(e_anchor.isNotNull(), F.concat(F.lit(" ("), e_anchor, F.lit(")"))).otherwise(""),
-    )
-    equation = _one_block("equation", eq_text, None, e_anchor)
-
-    # standalone image, unless a figure scope holds it
-    parsed = tx.parse_attrs(F.regexp_extract(first["s"], fv.P_IMAGE, 2))
-    alt = F.regexp_extract(first["s"], fv.P_IMAGE, 1)
-    nz = lambda c: F.when(c != "", c)
-    i_cap = tx.clean_inline(F.coalesce(nz(alt), nz(parsed["kv"]["fig-cap"]), nz(parsed["kv"]["fig-alt"]), F.lit("")))
-    i_label = F.when(parsed["ident"].isNotNull(), F.concat(F.lit("Figure ("), parsed["ident"], F.lit("): "))).otherwise(
-        "Figure: "
-    )
-    image = F.when(
-        (i_cap != "") & ~F.coalesce(F.col("state.in_figure"), F.lit(False)),
-        _one_block("figure", F.concat(i_label, i_cap), None, parsed["ident"]),
-    )
-
-    # figure scope and titled callout
-    sc = tx.parse_attrs(scope_attrs(first["s"]))
-    opens = (first["at"] == "scope_open") & ~F.col("state.was_dropped")
-    s_cap = F.coalesce(nz(sc["kv"]["fig-cap"]), nz(sc["kv"]["fig-alt"]))
-    figure = F.when(
-        opens & sc["ident"].startswith("fig-") & s_cap.isNotNull(),
-        _one_block(
-            "figure",
-            F.concat(F.lit("Figure ("), sc["ident"], F.lit("): "), tx.clean_inline(s_cap)),
-            None,
-            sc["ident"],
-        ),
-    )
-    title_text = nz(sc["kv"]["title"])
-    callout = F.when(
-        opens
-        & F.exists(sc["classes"], lambda c: c.startswith("callout-"))
-        & title_text.isNotNull()
-        & ~F.col("state.dropped"),
-        _one_block("para", F.concat(F.lit("**"), tx.clean_inline(title_text), F.lit(".**"))),
-    )
-
-    # paragraphs, lists and footnotes
-    kept = F.filter("lines", lambda x: x["cls"] != "typeset")
+def _to_blocks(groups: DataFrame) -> DataFrame:
+    """Add ``blocks``: the typed blocks of each group. The steps are columns of their own so that each
+    text is taken apart and cleaned once, whatever kind it turns out to be."""
+    cls, first = F.col("cls"), F.col("lines")[0]
+    last = F.col("lines")[F.size("lines") - 1]
     is_list = (F.col("listed") == 1) & (cls == "text")
-    joined = F.when(
+    caption = F.get(F.filter("lines", lambda x: x["is_caption"]), F.lit(0))["line"]
+    kept = F.filter("lines", lambda x: x["cls"] != "typeset")
+
+    # the text that may end in attributes, or the attributes themselves
+    head = (
+        F.when(cls == "heading", F.regexp_extract(first["line"], fv.P_HEADING, 2))
+        .when(cls == "table", F.regexp_extract(caption, fv.P_TABLE_CAPTION, 1))
+        .when((cls == "equation") & (first["at"] == "eq_one"), F.regexp_extract(first["s"], fv.P_EQ_ONE_LINE, 2))
+        .when((cls == "equation") & (last["at"] == "eq_close"), last["s"])
+    )
+    attrs = (
+        F.when(cls == "image", F.regexp_extract(first["s"], fv.P_IMAGE, 2))
+        .when(cls == "scope", scope_attrs(first["s"]))
+        .otherwise(F.regexp_extract("head", fv.P_TRAILING_ATTRS, 1))
+    )
+    kv = F.col("attrs.kv")
+    shown = F.coalesce(_nonempty(kv["fig-cap"]), _nonempty(kv["fig-alt"]))
+    prose = F.when(
         is_list, F.array_join(F.transform(kept, lambda x: F.regexp_replace(x["line"], r"\s+$", "")), "\n")
     ).otherwise(
         F.array_join(
@@ -420,20 +382,95 @@ def _block_structs() -> Column:
             " ",
         )
     )
-    prose = tx.strip(F.regexp_replace(tx.clean_inline(joined), fv.P_TYPESET, ""))
-    text_block = F.when(
-        prose != "", F.when(is_list, _one_block("list", prose)).otherwise(_one_block("para", prose))
+    raw = (
+        F.when(cls.isin("heading", "table"), tx.strip(F.regexp_replace("head", fv.P_TRAILING_ATTRS, "")))
+        .when(cls == "image", F.coalesce(_nonempty(F.regexp_extract(first["s"], fv.P_IMAGE, 1)), shown, F.lit("")))
+        .when(cls == "scope", shown)
+        .when(cls.isin("text", "foot"), prose)
+    )
+    staged = (
+        groups.withColumn("head", head)
+        .withColumn("attrs", tx.parse_attrs(F.coalesce(attrs, F.lit(""))))
+        .withColumn("clean", tx.clean_inline(raw))
+        .withColumn("title", F.when(cls == "scope", tx.clean_inline(_nonempty(kv["title"]))))
+        .withColumn(
+            "table_text",
+            F.when(
+                cls == "table",
+                F.array_join(
+                    F.transform(F.filter("lines", lambda x: ~x["is_caption"]), lambda x: tx.clean_inline(x["line"])), "\n"
+                ),
+            ),
+        )
+    )
+
+    ident = F.col("attrs.ident")
+    clean = F.coalesce("clean", F.lit(""))
+    named = lambda what: F.when(ident.isNotNull(), F.concat(F.lit(what + " ("), ident, F.lit("): "))).otherwise(
+        what + ": "
+    )
+    opens = (first["at"] == "scope_open") & ~F.col("state.was_dropped")
+    code = F.regexp_replace(F.array_join(F.transform(_inner("fence_close"), lambda x: x["line"]), "\n"), r"\s+$", "")
+    equation = F.when(first["at"] == "eq_one", tx.strip(F.regexp_extract(first["s"], fv.P_EQ_ONE_LINE, 1))).otherwise(
+        tx.strip(F.array_join(F.transform(_inner("eq_close"), lambda x: x["s"]), "\n"))
+    )
+    text = (
+        F.when(cls == "heading", clean)
+        .when(
+            cls == "table",
+            F.when(clean != "", F.concat(named("Table"), clean, F.lit("\n"), "table_text")).otherwise(F.col("table_text")),
+        )
+        .when(
+            cls == "equation",
+            F.concat(
+                F.lit("$$ "),
+                equation,
+                F.lit(" $$"),
+                F.when(ident.isNotNull(), F.concat(F.lit(" ("), ident, F.lit(")"))).otherwise(""),
+            ),
+        )
+        .when(cls == "image", F.when((clean != "") & ~F.col("state.in_figure"), F.concat(named("Figure"), clean)))
+        .when(
+            cls == "scope",
+            F.when(opens & ident.startswith("fig-") & F.col("clean").isNotNull(), F.concat(named("Figure"), clean)),
+        )
+        .when(
+            cls == "code",
+            F.when(F.col("kept") & (code != ""), F.concat(F.lit("```"), "lang", F.lit("\n"), code, F.lit("\n```"))),
+        )
+        .otherwise(_nonempty(tx.strip(F.regexp_replace(clean, fv.P_TYPESET, ""))))
     )
-    code = F.when(_code_kept() & _code_text().isNotNull(), _one_block("code", _code_text()))
-    return F.filter(
-        F.when(cls == "heading", F.array(heading))
-        .when(cls == "table", F.array(table))
-        .when(cls == "equation", F.array(equation))
-        .when(cls == "image", F.array(image))
-        .when(cls == "scope", F.array(figure, callout))
-        .when(cls == "code", F.array(code))
-        .otherwise(F.array(text_block)),
-        lambda b: b.isNotNull(),
+    kind = (
+        F.when(cls.isin("image", "scope"), "figure")
+        .when(cls == "foot", "para")
+        .when(cls == "text", F.when(is_list, "list").otherwise("para"))
+        .otherwise(cls)
+    )
+    level = F.when(cls == "heading", F.length(F.regexp_extract(first["line"], fv.P_HEADING, 1))).otherwise(0)
+    anchor = F.when(cls.isin("heading", "table", "equation", "image", "scope"), ident)
+    callout = F.when(
+        opens
+        & ~F.col("state.dropped")
+        & F.col("title").isNotNull()
+        & F.exists("attrs.classes", lambda c: c.startswith("callout-")),
+        F.concat(F.lit("**"), "title", F.lit(".**")),
+    )
+
+    def block(k: Column, x: str, lv: Column, an: Column) -> Column:
+        return F.when(
+            F.col(x).isNotNull(),
+            F.struct(k.alias("kind"), F.col(x).alias("text"), lv.cast("int").alias("level"), an.cast("string").alias("anchor")),
+        )
+
+    return (
+        staged.withColumn("text", text)
+        .withColumn("callout", callout)
+        .withColumn(
+            "blocks",
+            F.array_compact(
+                F.array(block(kind, "text", level, anchor), block(F.lit("para"), "callout", F.lit(0), F.lit(None)))
+            ),
+        )
     )
 
 
@@ -441,8 +478,9 @@ def parse_blocks(docs: DataFrame, **options) -> DataFrame:
     """(source_file, text) to blocks (source_file, block_no, kind, text, char_start, char_end, level, anchor)."""
     w = W.partitionBy("source_file").orderBy("char_start", "pos")
     return (
-        _grouped(tagged_lines(docs, **options))
-        .select("source_file", "char_start", "char_end", F.posexplode(_block_structs()).alias("pos", "b"))
+        _to_blocks(_with_code(_grouped(tagged_lines(docs, **options))))
+        .select("source_file", "char_start", "char_end", F.posexplode_outer("blocks").alias("pos", "b"))
+        .filter("b is not null")
         .withColumn("block_no", (F.row_number().over(w) - 1).cast("int"))
         .select(
             "source_file", "block_no", "b.kind", "b.text", "char_start", "char_end", "b.level", "b.anchor"

@@ -9,6 +9,7 @@ from marginalia.functions import text as tx
 from marginalia.operators import chunking, maintenance, markup
 from marginalia.plans import derive as dv
 from marginalia.plans.registry import query
+from marginalia.session import cut_lineage
 
 # ---- selection and cleaning -------------------------------------------------------
 
@@ -331,7 +332,8 @@ def collect_labels(spark, sf):
     FROM seg a JOIN seg h ON h.doc_id = a.doc_id AND h.i = a.i - 11 WHERE a.i % 12 = 11""",
 )
 def resolve_crossrefs(spark, sf):
-    b = blocks(spark, sf)
+    # three readers: written once to the shared folder
+    b = cut_lineage(blocks(spark, sf), "blocks")
     return (
         markup.resolve_crossrefs(b, markup.collect_labels(b))
         .filter("kind = 'para' and startswith(text, 'See ')")
