@@ -83,9 +83,11 @@ def items_of(
             a.alias("atomic"),
         )
 
-    n = count(text)
-    return F.when(atomic | (n <= max_tokens), F.array(item(text, n, atomic))).otherwise(
-        F.transform(tx.split_paragraph(text, max_tokens), lambda p: item(p, count(p), F.lit(False)))
+    return tx.let(
+        count(text),
+        lambda n: F.when(atomic | (n <= max_tokens), F.array(item(text, n, atomic))).otherwise(
+            F.transform(tx.split_paragraph(text, max_tokens), lambda p: item(p, count(p), F.lit(False)))
+        ),
     )
 
 
@@ -228,38 +230,38 @@ def line_items(docs: DataFrame, max_tokens: int = fv.MAX_TOKENS) -> DataFrame:
     Offsets are kept by a fold that carries the running position; lines are gathered in blocks of
     256 so that appending stays linear for long documents.
     """
-    lines = F.split("text", "\n")
     width = 256
-    block_lens = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / width).cast("int")),
-        lambda b: F.aggregate(
-            F.slice("lines", b * width + 1, F.lit(width)), F.lit(0), lambda a, x: a + F.length(x) + 1
-        ),
-    )
+    span = lambda a, x: a + F.length(x) + 1
 
-    def offset(i: Column) -> Column:
-        b = F.floor(i / width).cast("int")
-        before = F.aggregate(F.slice("lens", F.lit(1), b), F.lit(0), lambda a, x: a + x)
-        inside = F.aggregate(
-            F.slice("lines", b * width + 1, i - b * width), F.lit(0), lambda a, x: a + F.length(x) + 1
+    def block_lens(lines: Column) -> Column:
+        last = F.floor((F.size(lines) - 1) / width).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda b: F.aggregate(F.slice(lines, b * width + 1, F.lit(width)), F.lit(0), span),
         )
-        return before + inside
 
-    def to_items(ln: Column, i: Column) -> Column:
-        t = tx.strip(ln)
-        at = offset(i)
-        empty = F.array().cast("array<string>")
-        return F.when(
-            t != "",
-            items_of(t, at, F.least(at + F.length(ln) + 1, F.length("text")), empty, F.lit(False), max_tokens),
-        ).otherwise(F.array().cast(f"array<{ITEM}>"))
+    def offset(lines: Column, lens: Column, i: Column) -> Column:
+        b = F.floor(i / width).cast("int")
+        before = F.aggregate(F.slice(lens, F.lit(1), b), F.lit(0), lambda a, x: a + x)
+        return before + F.aggregate(F.slice(lines, b * width + 1, i - b * width), F.lit(0), span)
+
+    def one_line(ln: Column, t: Column, at: Column) -> Column:
+        end = F.least(at + F.length(ln) + 1, F.length("text"))
+        return items_of(t, at, end, F.array().cast("array<string>"), F.lit(False), max_tokens)
+
+    def to_items(lines: Column, lens: Column) -> Column:
+        return F.transform(
+            lines,
+            lambda ln, i: tx.let(
+                tx.strip(ln),
+                lambda t: F.when(
+                    t != "", tx.let(offset(lines, lens, i), lambda at: one_line(ln, t, at))
+                ).otherwise(F.array().cast(f"array<{ITEM}>")),
+            ),
+        )
 
-    return (
-        docs.withColumn("lines", lines)
-        .withColumn("lens", block_lens)
-        .withColumn("items", F.flatten(F.transform("lines", to_items)))
-        .drop("lines", "lens", "text")
-    )
+    items = tx.let(F.split("text", "\n"), lambda lines: tx.let(block_lens(lines), lambda lens: to_items(lines, lens)))
+    return docs.withColumn("items", F.flatten(items)).drop("text")
 
 
 def chunk_stats(chunks: DataFrame, min_tokens: int = fv.MIN_TOKENS) -> DataFrame:

@@ -63,28 +63,29 @@ def hash_embed(text: Column, dim: int = fv.EMBED_DIM, normalize: bool = True, do
 def sparse_embed(docs: DataFrame, id_col: str, text_col: str, dim: int = fv.EMBED_DIM) -> DataFrame:
     """(id, bucket, weight): the non-zero entries of the unit hashed vectors. Each row is counted in place."""
     words = F.transform(tx.words(F.col(text_col)), lambda w: vx.hash_bucket(w, dim))
-    sorted_b = F.array_sort(words)
-    # run lengths of the sorted buckets: positions where a new bucket starts
-    n = F.size("_b")
-    starts = F.filter(
-        F.transform("_b", lambda x, i: F.when((i == 0) | (x != F.get(F.col("_b"), i - 1)), i)), lambda i: i.isNotNull()
-    )
-    counts = F.transform(
-        "_s",
-        lambda s, j: F.struct(
-            F.get(F.col("_b"), s).alias("bucket"),
-            (F.coalesce(F.get(F.col("_s"), j + 1), n) - s).cast("double").alias("tf"),
-        ),
-    )
-    norm = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, x: a + x["tf"] * x["tf"]))
-    return (
-        docs.select(F.col(id_col).alias("id"), sorted_b.alias("_b"))
-        .withColumn("_s", starts)
-        .withColumn("_c", counts)
-        .withColumn("_n", norm)
-        .select("id", "_n", F.inline("_c"))
-        .select("id", "bucket", (F.col("tf") / F.col("_n")).alias("weight"))
-    )
+
+    def starts(b: Column) -> Column:
+        """Positions where a new bucket begins in the sorted buckets."""
+        at = F.transform(b, lambda x, i: F.when((i == 0) | (x != F.get(b, i - 1)), i))
+        return F.filter(at, lambda i: i.isNotNull())
+
+    def counts(b: Column, s: Column) -> Column:
+        return F.transform(
+            s,
+            lambda i, j: F.struct(
+                F.get(b, i).alias("bucket"), (F.coalesce(F.get(s, j + 1), F.size(b)) - i).cast("double").alias("tf")
+            ),
+        )
+
+    def scaled(c: Column) -> Column:
+        norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x["tf"] * x["tf"]))
+        return tx.let(
+            norm,
+            lambda n: F.transform(c, lambda x: F.struct(x["bucket"].alias("bucket"), (x["tf"] / n).alias("weight"))),
+        )
+
+    entries = tx.let(F.array_sort(words), lambda b: tx.let(starts(b), lambda s: tx.let(counts(b, s), scaled)))
+    return docs.select(F.col(id_col).alias("id"), F.inline(entries))
 
 
 def fill_embeddings(chunks: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:

@@ -25,33 +25,44 @@ def build_postings(chunks: DataFrame, id_col: str = "id") -> DataFrame:
 
     Positions are gathered inside the row: no shuffle, and no group per frequent term.
     """
-    terms = F.col("terms")
-    return (
-        with_terms(chunks)
-        .select(
-            F.col(id_col).alias("chunk_id"),
-            "terms",
-            F.explode(F.filter(F.array_distinct(terms), lambda t: t != "")).alias("term"),
-        )
-        .select(
-            "chunk_id",
-            "term",
-            F.filter(
-                F.transform(terms, lambda t, i: F.when(t == F.col("term"), i + 1)), lambda p: p.isNotNull()
-            ).alias("positions"),
+    def runs(x: Column, starts: Column) -> Column:
+        return F.transform(
+            starts,
+            lambda s, j: F.struct(
+                F.get(x, s)["term"].alias("term"),
+                F.transform(
+                    F.slice(x, s + 1, F.coalesce(F.get(starts, j + 1), F.size(x)) - s), lambda y: y["pos"]
+                ).alias("positions"),
+            ),
         )
-    )
+
+    def first_of_run(x: Column) -> Column:
+        at = F.transform(x, lambda y, i: F.when((i == 0) | (y["term"] != F.get(x, i - 1)["term"]), i))
+        return F.filter(at, lambda i: i.isNotNull())
+
+    placed = F.transform(tx.index_terms(F.col("text")), lambda t, i: F.struct(t.alias("term"), (i + 1).alias("pos")))
+    kept = F.array_sort(F.filter(placed, lambda y: y["term"] != ""))
+    entries = tx.let(kept, lambda x: tx.let(first_of_run(x), lambda s: runs(x, s)))
+    return chunks.select(F.col(id_col).alias("chunk_id"), F.inline(entries))
 
 
 def _operand(token: Column) -> Column:
-    neg = token.startswith("-")
     words = F.regexp_extract_all(F.lower(token), F.lit(fv.P_WORD), F.lit(0))
     terms = F.transform(words, lambda w: F.when(w.isin(fv.STOP_WORDS), F.lit("")).otherwise(tx.fold_term(w)))
-    at = F.filter(F.transform(terms, lambda t, i: F.when(t != "", i)), lambda i: i.isNotNull())
-    return F.struct(
-        F.transform(at, lambda i: F.get(terms, i)).alias("terms"),
-        F.transform(at, lambda i: (i - F.get(at, F.lit(0))).cast("int")).alias("offsets"),
-        neg.alias("negated"),
+
+    def build(all_terms: Column, at: Column) -> Column:
+        return F.struct(
+            F.transform(at, lambda i: F.get(all_terms, i)).alias("terms"),
+            F.transform(at, lambda i: (i - F.get(at, F.lit(0))).cast("int")).alias("offsets"),
+            token.startswith("-").alias("negated"),
+        )
+
+    return tx.let(
+        terms,
+        lambda ts: tx.let(
+            F.filter(F.transform(ts, lambda t, i: F.when(t != "", i)), lambda i: i.isNotNull()),
+            lambda at: build(ts, at),
+        ),
     )
 
 
@@ -182,6 +193,9 @@ def cover_density(terms: Column, groups: Column) -> Column:
         need = F.array_distinct(
             F.flatten(F.transform(F.filter(group, lambda o: ~o["negated"]), lambda o: o["terms"]))
         )
+        return tx.let(need, covers)
+
+    def covers(need: Column) -> Column:
         hits = F.filter(
             F.transform(
                 terms, lambda t, i: F.struct(i.alias("pos"), F.array_position(need, t).cast("int").alias("which"))
@@ -198,15 +212,18 @@ def cover_density(terms: Column, groups: Column) -> Column:
                 a["last"],
                 lambda x, i: F.when(i + 1 == h["which"], F.struct(h["pos"].alias("pos"), a["nth"].alias("nth"))).otherwise(x),
             )
-            left = F.array_min(last)
-            is_cover = (left["pos"] >= 0) & (left["pos"] > a["left"])
-            noise = (h["pos"] - left["pos"]) - (a["nth"] - left["nth"])
-            return F.struct(
-                (a["nth"] + 1).alias("nth"),
-                last.alias("last"),
-                F.when(is_cover, left["pos"]).otherwise(a["left"]).alias("left"),
-                F.when(is_cover, a["rank"] + F.lit(0.1) / (F.lit(1) + noise)).otherwise(a["rank"]).alias("rank"),
-            )
+
+            def build(new_last, left):
+                is_cover = (left["pos"] >= 0) & (left["pos"] > a["left"])
+                noise = (h["pos"] - left["pos"]) - (a["nth"] - left["nth"])
+                return F.struct(
+                    (a["nth"] + 1).alias("nth"),
+                    new_last.alias("last"),
+                    F.when(is_cover, left["pos"]).otherwise(a["left"]).alias("left"),
+                    F.when(is_cover, a["rank"] + F.lit(0.1) / (F.lit(1) + noise)).otherwise(a["rank"]).alias("rank"),
+                )
+
+            return tx.let(last, lambda x: tx.let(F.array_min(x), lambda left: build(x, left)))
 
         return F.aggregate(hits, start, step, lambda a: a["rank"])
 

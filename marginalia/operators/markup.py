@@ -22,15 +22,14 @@ SCOPE = "struct<dropped:boolean,figure:boolean>"
 
 def mask_comments(text: Column) -> Column:
     """Blank out comments with equal length so that offsets keep pointing into the source."""
-    pieces = F.split(text, fv.P_COMMENT)
-    comments = F.regexp_extract_all(text, F.lit(fv.P_COMMENT), F.lit(0))
-    return F.array_join(
-        F.transform(
-            pieces,
-            lambda p, i: F.concat(p, F.coalesce(F.repeat(F.lit(" "), F.length(F.get(comments, i))), F.lit(""))),
+    blank = lambda found, i: F.coalesce(F.repeat(F.lit(" "), F.length(F.get(found, i))), F.lit(""))
+    masked = tx.let(
+        F.regexp_extract_all(text, F.lit(fv.P_COMMENT), F.lit(0)),
+        lambda found: F.array_join(
+            F.transform(F.split(text, fv.P_COMMENT), lambda p, i: F.concat(p, blank(found, i))), ""
         ),
-        "",
     )
+    return F.when(text.contains("<!--"), masked).otherwise(text)
 
 
 def body_start(text: Column) -> Column:
@@ -563,28 +562,44 @@ def substitute_values(docs: DataFrame, values: DataFrame) -> DataFrame:
     """
     either = fv.P_CELL + "|" + fv.P_PLACEHOLDER
     found = F.regexp_extract_all("text", F.lit(either), F.lit(0))
-    pieces = F.split("text", either)
-    slots = F.filter(F.transform(found, lambda t, i: F.when(~t.startswith("```"), i)), lambda i: i.isNotNull())
     supplied = values.groupBy("source_file").agg(
         F.map_from_entries(F.collect_list(F.struct("ordinal", "value"))).alias("supplied")
     )
-    empty = F.create_map().cast("map<int,string>")
-    value_at = lambda i: F.try_element_at("supplied", (F.array_position("slots", i) - 1).cast("int"))
-    put = F.transform(
-        "found", lambda t, i: F.when(t.startswith("```"), t).otherwise(F.coalesce(value_at(i), F.lit("[value]")))
-    )
-    resolved = F.size(F.filter("slots", lambda i: value_at(i).isNotNull()))
+
+    def number(tokens: Column) -> Column:
+        """Each token with the ordinal of its placeholder, null for a cell."""
+        slots = F.filter(F.transform(tokens, lambda t, i: F.when(~t.startswith("```"), i)), lambda i: i.isNotNull())
+        return tx.let(
+            slots,
+            lambda s: F.transform(
+                tokens,
+                lambda t, i: F.struct(
+                    t.alias("t"), F.when(~t.startswith("```"), F.array_position(s, i).cast("int") - 1).alias("slot")
+                ),
+            ),
+        )
+
+    def rendered(tokens: Column) -> Column:
+        known = lambda x: F.coalesce(F.try_element_at("supplied", x["slot"]), F.lit("[value]"))
+        put = F.transform(tokens, lambda x: F.when(x["slot"].isNull(), x["t"]).otherwise(known(x)))
+        slots = F.filter(tokens, lambda x: x["slot"].isNotNull())
+        return tx.let(
+            put,
+            lambda p: F.struct(
+                F.array_join(
+                    F.transform(F.split("text", either), lambda x, i: F.concat(x, F.coalesce(F.get(p, i), F.lit("")))), ""
+                ).alias("text"),
+                F.size(slots).alias("inline"),
+                F.size(F.filter(slots, lambda x: F.try_element_at("supplied", x["slot"]).isNotNull())).alias("resolved"),
+            ),
+        )
+
     return (
         docs.join(supplied, "source_file", "left")
-        .withColumn("supplied", F.coalesce("supplied", empty))
-        .withColumn("found", found)
-        .withColumn("slots", slots)
-        .withColumn("inline", F.size("slots"))
-        .withColumn("resolved", resolved)
-        .withColumn("put", put)
-        .withColumn(
-            "text",
-            F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("put"), i), F.lit("")))), ""),
-        )
-        .drop("supplied", "found", "slots", "put")
+        .withColumn("supplied", F.coalesce("supplied", F.create_map().cast("map<int,string>")))
+        .withColumn("_r", tx.let(found, lambda f: tx.let(number(f), rendered)))
+        .withColumn("text", F.col("_r.text"))
+        .withColumn("inline", F.col("_r.inline"))
+        .withColumn("resolved", F.col("_r.resolved"))
+        .drop("supplied", "_r")
     )

@@ -30,7 +30,7 @@ def tokens_sql(x: str) -> str:
 
 
 def words_sql(x: str) -> str:
-    return rf"list_filter(regexp_split_to_array(lower({x}), '\s+'), w -> w <> '')"
+    return rf"list_filter(regexp_split_to_array(lower({x}), '\s+'), lambda w: w <> '')"
 
 
 def hash_sql(x: str) -> str:

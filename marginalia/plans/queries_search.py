@@ -75,8 +75,8 @@ def hash_embed(spark, sf):
 
 @query(
     "l2_normalize",
-    """SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE))), 9) AS first,
-      round(embedding[64]::DOUBLE / sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE))), 9) AS last FROM embeddings""",
+    """SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 9) AS first,
+      round(embedding[64]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 9) AS last FROM embeddings""",
 )
 def l2_normalize(spark, sf):
     scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("label") + 1))
@@ -90,7 +90,7 @@ def l2_normalize(spark, sf):
 # ---- dense search: every vector is a question -------------------------------------
 
 _DENSE_SQL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-    u AS (SELECT vec_id, list_transform(e, x -> x / sqrt(list_inner_product(e, e))) AS e FROM v),
+    u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v),
     s AS (SELECT q.vec_id AS query_id, d.vec_id AS id, round(list_inner_product(q.e, d.e), 9) AS similarity FROM u q, u d),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s)"""
 
@@ -146,9 +146,10 @@ RANK_SQL = f"""{MATCH_SQL},
     hits AS (SELECT m.query_id, m.id, d.pos, d.term, row_number() OVER (PARTITION BY m.query_id, m.id ORDER BY d.pos) AS nth
       FROM matched m JOIN d_tok d ON d.id = m.id JOIN need n ON n.query_id = m.query_id AND n.term = d.term),
     lasts AS (SELECT a.query_id, a.id, a.pos, a.nth, b.term, max(b.pos) AS p, max(b.nth) AS pn FROM hits a JOIN hits b
-      ON a.query_id = b.query_id AND a.id = b.id AND b.pos <= a.pos GROUP BY ALL),
-    ends AS (SELECT query_id, id, pos, nth, min(p) AS l, min(pn) AS ln FROM lasts l GROUP BY ALL
-      HAVING count(*) = (SELECT count(*) FROM need x WHERE x.query_id = l.query_id)),
+      ON a.query_id = b.query_id AND a.id = b.id AND b.pos <= a.pos GROUP BY a.query_id, a.id, a.pos, a.nth, b.term),
+    n_need AS (SELECT query_id, count(*) AS n FROM need GROUP BY 1),
+    ends AS (SELECT l.query_id, id, pos, nth, min(p) AS l, min(pn) AS ln FROM lasts l JOIN n_need x ON x.query_id = l.query_id
+      GROUP BY l.query_id, id, pos, nth, x.n HAVING count(*) = x.n),
     covers AS (SELECT query_id, id, l, min(pos) AS r, min(nth) AS rn, any_value(ln) AS ln FROM ends GROUP BY query_id, id, l),
     ranked_cd AS (SELECT query_id, id, round(sum(0.1::DOUBLE / (1 + (r - l) - (rn - ln))), 9) AS rank_cd FROM covers GROUP BY 1, 2),
     lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_cd DESC, id) AS rank FROM ranked_cd)"""
