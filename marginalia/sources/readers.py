@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia import schemas
@@ -34,9 +33,7 @@ def scan_corpus(spark: SparkSession, root: str, manifest: DataFrame) -> tuple[Da
     without a file. File names meet the manifest in a join; no list of paths goes through the driver."""
     base = root.rstrip("/")
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(base)
+        spark.read.text(base, wholetext=True, recursiveFileLookup=True)
         .select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("text"))
     )
     at = F.instr("uri", base + "/")
@@ -72,7 +69,9 @@ def read_results(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.schema(schemas.RESULTS).option("multiLine", True).json(glob)
 
 
-def read_logs(spark: SparkSession, glob: str) -> DataFrame:
+def read_logs(
+    spark: SparkSession, glob: str, cell: str = r"/cell-([^/]+)/[^/]+$", service: str = r"([^/]+)\.log$"
+) -> DataFrame:
     """(cell, service, line_no, line) from ``.../cell-<cell>/<service>.log``.
 
     ``line_no`` orders lines of one file: the byte block of the split first, then the place in it.
@@ -84,8 +83,8 @@ def read_logs(spark: SparkSession, glob: str) -> DataFrame:
         F.col("value").alias("line"),
     )
     return lines.select(
-        F.regexp_extract("file", r"/cell-([^/]+)/[^/]+$", 1).alias("cell"),
-        F.regexp_extract("file", r"([^/]+)\.log$", 1).alias("service"),
+        F.regexp_extract("file", cell, 1).alias("cell"),
+        F.regexp_extract("file", service, 1).alias("service"),
         F.struct("block", "seq").alias("line_no"),
         "line",
     )
