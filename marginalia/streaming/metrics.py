@@ -206,7 +206,14 @@ def alert_rules(conditions: DataFrame) -> DataFrame:
     )
 
 
-def gauge_refresh(stream: DataFrame, compute: Callable[[DataFrame, int], None], seconds: int = 30, checkpoint: str | None = None):
-    """Recompute gauges from each micro-batch at most every ``seconds``; returns the running query."""
-    w = stream.writeStream.foreachBatch(compute).trigger(processingTime=f"{seconds} seconds")
-    return (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
+def gauge_refresh(
+    stream: DataFrame,
+    compute: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    seconds: int = 30,
+    available_now: bool = False,
+):
+    """Recompute gauges from each micro-batch at most every ``seconds`` (or once over what is there);
+    returns the running query. ``compute`` must be idempotent per batch id."""
+    w = stream.writeStream.foreachBatch(compute).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{seconds} seconds")).start()
