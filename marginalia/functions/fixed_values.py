@@ -76,6 +76,12 @@ P_WORD = r"[\p{L}\p{N}_]+"
 P_WORD_OR_MARK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x0b\x1c-\x1f\x85]"
 P_SENTENCE_CUT = r"""(?<=[.!?])\s+(?=[A-Z0-9"'(])"""
 
+# Fixed value: Unicode white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Citation markers in an answer, and the first-to-last-brace JSON span of a model reply.
 P_CITATION_MARK = r"\[(\d{1,2})\]"
 P_JSON_SPAN = r"(?s)\{.*\}"

@@ -170,7 +170,8 @@ def pack_chunks(
     part = lambda c: F.slice(F.col(items), c["first"] + 1, c["until"] - c["first"])
     return (
         docs.withColumn("_cuts", pack_cuts(F.col(items), lo, hi))
-        .select(*others, items, F.posexplode("_cuts").alias("chunk_no", "_c"))
+        .select(*others, items, F.posexplode_outer("_cuts").alias("chunk_no", "_c"))
+        .filter("_c is not null")
         .select(
             *others,
             "chunk_no",

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
@@ -44,18 +45,25 @@ def embed_batch(loader: Embedder, normalize: bool = True, batch_size: int = 32)
 
 
 def hash_embed(text: Column, dim: int = fv.EMBED_DIM, normalize: bool = True, double: bool = False) -> Column:
-    """Words hashed into ``dim`` buckets, unit length; buckets come from the JVM, counting is one bincount per row."""
+    """Words hashed into ``dim`` buckets, unit length; buckets come from the JVM, counting is one bincount per Arrow slice."""
     dtype = np.float64 if double else np.float32
 
-    @F.pandas_udf(ArrayType(DoubleType() if double else FloatType()))
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ArrayType(DoubleType() if double else FloatType()))
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for buckets in batches:
-            rows = []
-            for b in buckets:
-                v = np.bincount(b, minlength=dim).astype(np.float64) if len(b) else np.zeros(dim)
-                n = np.linalg.norm(v) if normalize else 1.0
-                rows.append((v / (n or 1.0)).astype(dtype))
-            yield pd.Series(rows)
+            parts = []
+            for i in range(0, len(buckets), 1024):
+                rows = buckets.slice(i, 1024)
+                lens = np.diff(rows.offsets.to_numpy())
+                n = len(rows)
+                cell = np.repeat(np.arange(n), lens) * dim + rows.flatten().to_numpy()
+                m = np.bincount(cell, minlength=n * dim).reshape(n, dim).astype(np.float64)
+                norm = np.linalg.norm(m, axis=1, keepdims=True) if normalize else 1.0
+                parts.append((m / np.where(norm == 0, 1, norm)).astype(dtype))
+            flat = np.vstack(parts) if parts else np.zeros((0, dim), dtype)
+            yield pa.ListArray.from_arrays(
+                pa.array(np.arange(0, (len(flat) + 1) * dim, dim, dtype=np.int32)), pa.array(flat.ravel())
+            )
 
     return count(F.transform(tx.words(text), lambda w: vx.hash_bucket(w, dim)))
 
@@ -84,8 +92,9 @@ def sparse_embed(docs: DataFrame, id_col: str, text_col: str, dim: int = fv.EMBE
             lambda n: F.transform(c, lambda x: F.struct(x["bucket"].alias("bucket"), (x["tf"] / n).alias("weight"))),
         )
 
-    entries = tx.let(F.array_sort(words), lambda b: tx.let(starts(b), lambda s: tx.let(counts(b, s), scaled)))
-    return docs.select(F.col(id_col).alias("id"), F.inline(entries))
+    entries = tx.let(F.sort_array(words), lambda b: tx.let(starts(b), lambda s: tx.let(counts(b, s), scaled)))
+    # the outer form: the plain one would add a filter that computes the entries a second time
+    return docs.select(F.col(id_col).alias("id"), F.inline_outer(entries)).filter("bucket is not null")
 
 
 def fill_embeddings(chunks: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:

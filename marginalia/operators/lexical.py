@@ -41,9 +41,10 @@ def build_postings(chunks: DataFrame, id_col: str = "id") -> DataFrame:
         return F.filter(at, lambda i: i.isNotNull())
 
     placed = F.transform(tx.index_terms(F.col("text")), lambda t, i: F.struct(t.alias("term"), (i + 1).alias("pos")))
-    kept = F.array_sort(F.filter(placed, lambda y: y["term"] != ""))
+    kept = F.sort_array(F.filter(placed, lambda y: y["term"] != ""))
     entries = tx.let(kept, lambda x: tx.let(first_of_run(x), lambda s: runs(x, s)))
-    return chunks.select(F.col(id_col).alias("chunk_id"), F.inline(entries))
+    # the outer form: the plain one would add a filter that computes the entries a second time
+    return chunks.select(F.col(id_col).alias("chunk_id"), F.inline_outer(entries)).filter("term is not null")
 
 
 def _operand(token: Column) -> Column:
@@ -152,7 +153,7 @@ def lexical_match(chunks: DataFrame, questions: DataFrame, salts: int = 16) -> D
     )
     alts = alts.withColumn("group_key", F.md5(F.to_json("group")))
     wanted = alts.select("group_key", F.explode(need).alias("term")).distinct()
-    postings = chunks.select("id", F.explode(F.array_distinct("terms")).alias("term")).filter("term <> ''")
+    postings = chunks.select("id", F.explode_outer(F.array_distinct("terms")).alias("term")).filter("term <> ''")
     df = (
         postings.join(wanted.select("term").distinct(), "term", "left_semi")
         .groupBy("term")

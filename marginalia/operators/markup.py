@@ -49,7 +49,7 @@ def explode_lines(docs: DataFrame) -> DataFrame:
     w = W.partitionBy("source_file").orderBy("line_no")
     total = F.length("text")
     return (
-        docs.select("source_file", F.length("text").alias("n"), F.posexplode(F.split("text", "\n")))
+        docs.select("source_file", F.length("text").alias("n"), F.posexplode_outer(F.split("text", "\n")))
         .withColumnsRenamed({"pos": "line_no", "col": "line"})
         .withColumn("end", F.sum(F.length("line") + 1).over(w).cast("int"))
         .select(
@@ -212,7 +212,7 @@ def tagged_lines(
             "source_file",
             "n",
             "skip_to",
-            F.inline(F.concat(line_rows, mark_rows)),
+            F.inline_outer(F.concat(line_rows, mark_rows)),
         )
         .withColumn("is_line", F.col("line").isNotNull().cast("int"))
     )

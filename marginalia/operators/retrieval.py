@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,18 +64,21 @@ def _scan_best(vectors: DataFrame, qids: np.ndarray, q: np.ndarray, k: int) -> D
     """One narrow pass: each task keeps k rows per query over all its batches."""
     shared = vectors.sparkSession.sparkContext.broadcast((qids, q))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_q, mat = shared.value
         held: list[pd.DataFrame] = []
-        for pdf in batches:
-            if len(pdf):
-                held.append(_block_best(ids_q, mat, pdf["id"].to_numpy(), _matrix(pdf["embedding"]), k))
+        for b in batches:
+            if b.num_rows:
+                # vectors of one table have one width: a view on the Arrow buffer is the matrix
+                x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                ids = b.column("id").to_numpy(zero_copy_only=False)
+                held.append(_block_best(ids_q, mat, ids, _unit(x.astype(np.float64)), k))
                 if len(held) >= 8:
                     held = [_merge(held, k)]
         if held:
-            yield _merge(held, k)
+            yield pa.RecordBatch.from_pandas(_merge(held, k), preserve_index=False)
 
-    return vectors.select("id", "embedding").mapInPandas(run, _PART)
+    return vectors.select(F.col("id").cast("long"), "embedding").mapInArrow(run, _PART)
 
 
 def _grid_best(vectors: DataFrame, queries: DataFrame, n_q: int, k: int) -> DataFrame:

@@ -69,7 +69,7 @@ def answer_questions(
     if mode == "dense":
         fused = retrieval.dense_only(vectors, q, top_n).withColumn("position", F.col("dense_rank"))
     else:
-        terms = lexical.with_terms(chunks.select("id", "text")).select("id", "terms")
+        terms = cut_lineage(lexical.with_terms(chunks.select("id", "text")).select("id", "terms"), "terms")
         fused = retrieval.rrf_hybrid(
             retrieval.dense_topk(vectors, q), lexical.lexical_topk(terms, questions), top_n=top_n
         )

@@ -463,7 +463,7 @@ def question_hash(spark, sf):
     FROM chunks""",
 )
 def chunk_stats(spark, sf):
-    return chunking.chunk_stats(dv.doc_chunks(spark, sf))
+    return chunking.chunk_stats(cut_lineage(dv.doc_chunks(spark, sf).select("token_count", "oversize"), "chunks"))
 
 
 def _sweep_sql() -> str:

@@ -104,7 +104,7 @@ def golden_items(spark, sf):
     phrase = q.select("query_id", F.concat(F.lit('"'), F.regexp_replace("question", '"', " "), F.lit('"')).alias("question"))
     docs = dv.t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     norm = lambda c: F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(c), F.lit(fv.P_WORD), F.lit(0)), " "), F.lit(" "))
-    found = lexical.lexical_match(lexical.with_terms(docs).select("id", "terms"), phrase).select("query_id", "id")
+    found = lexical.lexical_match(qs.doc_terms(spark, sf), phrase).select("query_id", "id")
     # folded terms found the candidates; the words themselves decide
     rel = (
         found.join(docs, "id")

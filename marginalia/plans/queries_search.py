@@ -11,6 +11,7 @@ from marginalia.functions import vectors as vx
 from marginalia.operators import ann, assembly, embedding, lexical, maintenance, retrieval
 from marginalia.plans import derive as dv
 from marginalia.plans.registry import query
+from marginalia.session import cut_lineage
 
 # ---- embeddings -------------------------------------------------------------------
 
@@ -156,9 +157,9 @@ RANK_SQL = f"""{MATCH_SQL},
 
 
 def doc_terms(spark, sf):
-    return lexical.with_terms(dv.t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")).select(
-        "id", "terms"
-    )
+    """Terms by position, written once as the index would be: matching reads them three times."""
+    d = dv.t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return cut_lineage(lexical.with_terms(d).select("id", "terms"), "terms")
 
 
 def questions(spark, sf):
