@@ -76,13 +76,13 @@ def ann_topk(
         if not len(q) or not len(v):
             return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
         return _block_best(
-            q["query_id"].to_numpy(), _matrix(q["embedding"]), v["id"].to_numpy(), _matrix(v["embedding"]), k
+            q["query_id"].to_numpy(), _matrix(q["asked"]), v["id"].to_numpy(), _matrix(v["embedding"]), k
         )
 
     keys = ["cell", "part", "block"]
     found = (
-        asked.select(*keys, "query_id", "embedding")
-        .groupBy(*keys)
+        asked.select(*[F.col(c).alias(f"q_{c}") for c in keys], "query_id", F.col("embedding").alias("asked"))
+        .groupBy(*[f"q_{c}" for c in keys])
         .cogroup(rows.select(*keys, "id", "embedding").groupBy(*keys))
         .applyInPandas(run, _PART)
     )

@@ -89,8 +89,9 @@ def _grid_best(vectors: DataFrame, queries: DataFrame, n_q: int, k: int) -> Data
     n_v = vectors.count()
     nq, nv = max(1, -(-n_q // QUERY_BLOCK)), max(1, -(-n_v // ROW_BLOCK))
     block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # renamed, so that both sides may come from one table
     qs = queries.select(
-        "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("qb"), block(nv).alias("vb")
+        "query_id", F.col("embedding").alias("asked"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("qb"), block(nv).alias("vb")
     )
     vs = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int").alias("vb"), block(nq).alias("qb"))
     qs = qs.withColumn("qb", F.col("qb").cast("int"))
@@ -99,7 +100,7 @@ def _grid_best(vectors: DataFrame, queries: DataFrame, n_q: int, k: int) -> Data
         if not len(q) or not len(v):
             return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
         return _block_best(
-            q["query_id"].to_numpy(), _matrix(q["embedding"]), v["id"].to_numpy(), _matrix(v["embedding"]), k
+            q["query_id"].to_numpy(), _matrix(q["asked"]), v["id"].to_numpy(), _matrix(v["embedding"]), k
         )
 
     return qs.groupBy("qb", "vb").cogroup(vs.groupBy("qb", "vb")).applyInPandas(run, _PART)
