@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontam, lines, mixing, simhash, toxicity
+from marginalia.llm import crosspolytope, decontam, lines, mixing, simhash, substrings, suffixes, toxicity
 from marginalia.plans.derive import t as table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op2_crosspolytope")
+def op2_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for each row whose id is divisible by 20."""
+    return crosspolytope.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_suffixes")
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of strings of 400 bytes that start anywhere else too."""
+    out = suffixes.long_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op8_substrings")
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of windows of 20 words that start earlier too."""
+    out = substrings.repeated_windows(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
