@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import crosspolytope, decontam, lines, mixing, simhash, substrings, suffixes, toxicity
+from marginalia.llm import crosspolytope, decontam, licences, lines, mixing, simhash, substrings, suffixes, tokens, toxicity
 from marginalia.plans.derive import t as table
 
+#: Public vocabulary of the token counts.
+PIECES = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/piece_bpe_32k.model")
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -127,3 +130,37 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the words of windows of 20 words that start earlier too."""
     out = substrings.repeated_windows(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def _licence_sql() -> str:
+    """Sentences cut and looked up as the operator does; rules as joins of numbered sentences in order."""
+    rules = licences.Rules.standard()
+    known = ", ".join(f"('{s}', {n})" for s, n in rules.sentences.items())
+    tests = ", ".join(
+        "CASE WHEN " + " OR ".join(f"regexp_matches(ids, '{p.replace(' (?:[0-9]+ )*', ' (?: [0-9]+ )* ')}')" for p in ps) + f" THEN '{lic}' END"
+        for lic, ps in rules.patterns.items()
+    )
+    return f"""
+WITH known(s, n) AS (VALUES {known}),
+x AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '[.!?;:]+([ \\t\\r\\n]|$)', chr(10), 'g'), chr(10))) AS s,
+             generate_subscripts(string_split(regexp_replace(text, '[.!?;:]+([ \\t\\r\\n]|$)', chr(10), 'g'), chr(10)), 1) AS nth
+      FROM documents),
+y AS (SELECT doc_id, nth, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM x),
+z AS (SELECT doc_id, count(*) AS n_sentences, ' ' || string_agg(n::VARCHAR, '  ' ORDER BY nth) || ' ' AS ids
+      FROM y JOIN known USING (s) GROUP BY doc_id),
+f AS (SELECT doc_id, n_sentences, ids, unnest([{tests}]) AS licence FROM z)
+SELECT doc_id, licence, n_sentences FROM f
+WHERE licence IS NOT NULL AND NOT (licence = 'BSD-2-Clause' AND NOT regexp_matches(ids, '{rules.patterns["BSD-2-Clause"][-1]}')
+  AND EXISTS (SELECT 1 FROM f AS g WHERE g.doc_id = f.doc_id AND g.licence = 'BSD-3-Clause'))"""
+
+
+@query("op4_licences", _licence_sql())
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the licences whose sentences they hold in a rule's order."""
+    return licences.licences(table(spark, sf_dir, "documents"))
+
+
+@query("op9_tokens")
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and tokens of every document."""
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.Pieces.load(PIECES))
