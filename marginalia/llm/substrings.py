@@ -105,11 +105,15 @@ class Block:
         """Windows whose cells all hold two windows or more."""
         ok = np.ones(len(self.h), bool)
         for r, c in enumerate(self.cells(width)):
-            cells = np.unique(c)
+            order = np.argsort(c)
+            c = c[order]
+            new = np.ones(len(c), bool)
+            new[1:] = c[1:] != c[:-1]
+            cells = c[new]
             many = np.zeros(len(cells), bool)
             for a, z, shard in _runs(cells >> 20):
                 many[a:z] = np.unpackbits(np.frombuffer(masks[r << 40 | shard], np.uint8), count=z - a).astype(bool)
-            ok &= many[np.searchsorted(cells, c)]
+            ok[order[~many[np.cumsum(new) - 1]]] = False
         return ok
 
     def segments(self, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -235,7 +239,7 @@ def repeated_windows(docs: DataFrame, *, k: int = 20, block_bytes: int = 16 << 2
 
     def win(t: pa.Table, side: pa.Table) -> pa.Table:
         b, told = Block(t, k), Told(side)
-        live = _live(b, told)
+        live = _live(b, told, b.candidates(width, told.masks))
         own = live[_firsts(b.h[live], b.g[live])]
         return _places(b, own, b.h[own], b.g[own])
 
@@ -250,9 +254,9 @@ def repeated_windows(docs: DataFrame, *, k: int = 20, block_bytes: int = 16 << 2
             }
         )
 
-    def _live(b: Block, told: Told) -> np.ndarray:
+    def _live(b: Block, told: Told, cand: np.ndarray) -> np.ndarray:
         """Candidate windows of segments that are the first of their kind here and elsewhere."""
-        first, n, h, g = b.segments(b.candidates(width, told.masks))
+        first, n, h, g = b.segments(cand)
         stay = _firsts(h, g)
         stay &= ~told.holds(0, b.sid[b.doc[first]], b.place[first]) if len(first) else stay
         first, n = first[stay], n[stay]
@@ -261,7 +265,7 @@ def repeated_windows(docs: DataFrame, *, k: int = 20, block_bytes: int = 16 << 2
     def last(t: pa.Table, side: pa.Table) -> pa.Table:
         b, told = Block(t, k), Told(side)
         cand = b.candidates(width, told.masks)
-        live = _live(b, told)
+        live = _live(b, told, cand)
         stay = _firsts(b.h[live], b.g[live])
         stay &= ~told.holds(1, b.sid[b.doc[live]], b.place[live]) if len(live) else stay
         cand[live[stay]] = False
