@@ -37,7 +37,9 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     for o in range(7):
         packed = (packed << 9) | np.where(open_, wide[o : o + n], 0)
         open_ &= wide[o : o + n] > 0
-    sa = np.argsort(packed, kind="stable")
+    sa = np.argsort(packed)
+    ends = np.flatnonzero(~open_[sa])  # equal so far, but for the kind of separator
+    sa[ends] = sa[ends][np.lexsort((sa[ends], packed[sa[ends]]))]
     p = packed[sa]
     new = np.ones(n, bool)
     new[1:] = (p[1:] != p[:-1]) | ~open_[sa[1:]]
@@ -50,7 +52,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     while h < depth and len(todo):
         at = sa[todo]
         first, second = rank[at], rank[at + h]
-        order = np.lexsort((second, first)) if n >= 1 << 31 else np.argsort((first << 32) | second, kind="stable")
+        order = np.lexsort((second, first)) if n >= 1 << 31 else np.argsort((first << 32) | second)
         at, first, second = at[order], first[order], second[order]
         sa[todo] = at
         new = np.ones(len(at), bool)
@@ -64,8 +66,8 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 def open_boundaries(text: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
     """By row of the suffix order: whether it shares fewer than `length` symbols with the row before."""
     n = len(sa)
-    bwt = text[sa - 1].astype(np.int64)  # the row of suffix 0 wraps round to the last separator
-    bwt[bwt == 0] = 257 + np.arange(int((bwt == 0).sum()))  # separators are read no further
+    bwt = text[sa - 1].astype(np.uint16)  # the row of suffix 0 wraps round to the last separator
+    bwt[bwt == 0] = 257  # separators are read no further
     by_symbol = np.argsort(bwt, kind="stable")
     seps = int((text == 0).sum())
     lf = np.zeros(n, np.int64)
@@ -300,6 +302,7 @@ def long_repeats(
         )
 
     found = rows.groupBy("block").applyInArrow(count, "a bigint, c bigint, d bigint, block bigint, w int, own int")
+    found = found.repartition(*key)  # read whole by both uses, so that they share one exchange
     kinds = found.groupBy(*key).agg(F.sum("w").alias("w"), F.min("block").alias("block"), F.max("own").alias("own"))
     per = kinds.groupBy("a").agg(F.sum(F.col("w") + F.col("own")).alias("total"), F.count(F.lit(1)).alias("kinds")).where("total >= 2")
     reps = kinds.join(per, "a").select(
@@ -309,7 +312,7 @@ def long_repeats(
         emit, "bucket string, a bigint, c bigint, d bigint, w int, part binary"
     )
     hits = parts.groupBy("bucket").applyInArrow(expand, "a bigint, c bigint, d bigint, runs array<int>")
-    told = found.select(*key, "block").join(hits, key)
+    told = found.join(hits, key)
     kind = rows.schema["id"].dataType.simpleString()
     return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
         cover,
