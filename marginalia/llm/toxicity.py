@@ -31,6 +31,12 @@ FOLD[65:91] += 32
 PREFIXES = (4, 5)
 
 
+#: A sample with fewer toxic rows teaches nothing that carries over; every text then scores the share of toxic rows.
+LEAST_TOXIC = 20
+#: At a threshold, at most this share of the clean rows kept from training is called toxic.
+MOST_WRONG = 0.01
+
+
 def word_ids(buf: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed numbers (from 1; 0 is padding) of each word and its prefixes, texts end to end; each text's first word."""
     start, end, first = word_spans(buf, offsets, GAP)
@@ -121,7 +127,7 @@ class TextCnn:
         """Adam on the logistic loss, classes weighted alike; a fifth of the rows calibrates."""
         y = np.asarray(y, np.float32)
         self.base = float(y.mean()) if len(y) else 0.0
-        if len(y) < 10 or y.min() == y.max():
+        if y.sum() < LEAST_TOXIC or y.min() == y.max():
             return self
         r = np.random.default_rng(self.seed)
         order = r.permutation(len(y))
@@ -187,7 +193,9 @@ def best_cut(z: np.ndarray, y: np.ndarray, scale: np.ndarray) -> float:
     last = np.concatenate([z[1:] < z[:-1], [True]])
     i = int(np.argmax(np.where(last, f1, -1)))
     below = z[i + 1] if i + 1 < len(z) else z[i] - 2
-    return float((z[i] + max(below, z[i] - 4)) / 2)
+    cut = float((z[i] + max(below, z[i] - 4)) / 2)
+    clean = z[y == 0]
+    return max(cut, float(np.quantile(clean, 1 - MOST_WRONG, method="higher")) + 1e-6) if len(clean) else cut
 
 
 def train_rows(doc_id) -> F.Column:
@@ -210,8 +218,8 @@ def train(
     """A classifier fitted on at most `most_toxic` and `most_clean` labelled texts, of `longest` characters or fewer.
 
     The rows are those of least id hash, the same in each run. Rows held out by `train_rows` are never read. Labels
-    that repeat an id count as toxic if any does; null ids and null labels teach nothing. With one class or fewer than
-    ten rows the score is the share of toxic rows everywhere.
+    that repeat an id count as toxic if any does; null ids and null labels teach nothing. With one class or
+    fewer than LEAST_TOXIC toxic rows the score is the share of toxic rows everywhere.
     """
     lab = labels.select(F.col("doc_id").alias("lid"), F.col("toxic").cast("int").alias("toxic"))
     lab = lab.where("lid is not null and toxic is not null").where(train_rows(F.col("lid")))
@@ -282,8 +290,11 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs`, all columns, without the texts that score at or above the threshold of their language."""
+    """`docs`, all columns, without the texts that score at or above the threshold of their language; all of them if
+    the labels cannot teach."""
     cnn = train(docs, labels)
+    if not cnn.ready:
+        return docs
     rows = docs.select(packed(docs).alias("row"))
     shared = docs.sparkSession.sparkContext.broadcast(cnn)
 
