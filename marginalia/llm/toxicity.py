@@ -210,9 +210,9 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    most_toxic: int = 2500,
-    most_clean: int = 5000,
-    longest: int = 100_000,
+    most_toxic: int = 2000,
+    most_clean: int = 4000,
+    longest: int = 50_000,
     **model: int,
 ) -> TextCnn:
     """A classifier fitted on at most `most_toxic` and `most_clean` labelled texts, of `longest` characters or fewer.
