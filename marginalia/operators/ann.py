@@ -15,17 +15,18 @@ from marginalia.functions import fixed_values as fv
 from marginalia.functions.stats import top_k
 from marginalia.operators.retrieval import _PART, ROW_BLOCK, _block_best, _matrix, _unit
 
-MAX_CELLS = 4_096
+#: Questions of one cell that a task compares at once.
+QUESTION_BLOCK = 4_096
 
 
 def build_index(vectors: DataFrame, cells: int | None = None, seed: int = 7, iterations: int = 5) -> tuple[DataFrame, np.ndarray]:
     """(rows with their cell, centroids). Rows of the index can be written partitioned by ``cell``.
 
-    Centroids are few (at most MAX_CELLS) and are what a query needs to pick its cells.
+    Cells grow with the square root of the rows, so their size does too; centroids are what a query needs to pick cells.
     """
     vectors = vectors.filter(F.col("embedding").isNotNull())
     n = vectors.count()
-    cells = min(cells or max(1, int(n**0.5) // 2), MAX_CELLS)
+    cells = cells or max(1, int(n**0.5) // 2)
     unit = vectors.select(array_to_vector("embedding").alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=iterations, distanceMeasure="cosine").fit(unit)
     centers = _unit(np.asarray(model.clusterCenters(), dtype=np.float64))
@@ -60,17 +61,20 @@ def ann_topk(
     """
     probes = min(probes, len(centers))
     parts = index.groupBy("cell").agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("parts"))
-    rows = index.join(F.broadcast(parts), "cell").withColumn(  # one row per cell, at most MAX_CELLS
+    rows = index.join(F.broadcast(parts), "cell").withColumn(  # one row per cell, fewer than the centroids
         "part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     )
+    asked = assign_cells(queries.select("query_id", "embedding"), centers, probes)
+    # many questions on one cell are cut as well, by their number
+    blocks = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUESTION_BLOCK).cast("int").alias("blocks"))
     asked = (
-        assign_cells(queries.select("query_id", "embedding"), centers, probes)
-        .join(F.broadcast(parts), "cell")
+        asked.join(F.broadcast(parts), "cell")
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        # many questions on one cell are cut as well
-        .withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(4)).cast("int"))
+        .join(F.broadcast(blocks), "cell")
+        .withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
     )
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    rows = rows.join(F.broadcast(blocks), "cell")  # cells that no question asks for go no further
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(v):

@@ -187,12 +187,24 @@ def pack_chunks(
 
 
 def chunk_id(doc_ordinal: Column, chunk_no: Column) -> Column:
-    """Unique id in (document, chunk) order without a global sort or shuffle."""
-    return F.shiftleft(doc_ordinal.cast("long"), CHUNKS_PER_DOC_BITS) + chunk_no.cast("long")
+    """Unique id in (document, chunk) order without a global sort or shuffle; fails where the bits do not hold a number."""
+    doc, no = doc_ordinal.cast("long"), chunk_no.cast("long")
+    whole = F.shiftleft(doc, CHUNKS_PER_DOC_BITS) + no
+    return _fits(whole, (doc, 63 - CHUNKS_PER_DOC_BITS), (no, CHUNKS_PER_DOC_BITS))
+
+
+def _fits(value: Column, *parts: tuple[Column, int]) -> Column:
+    """`value` if each part lies in its number of bits (or is null)."""
+    bad = F.lit(False)
+    for part, bits in parts:
+        bad = bad | (part < 0) | (part >= 1 << bits)
+    return F.when(bad, F.raise_error(F.lit("an ordinal does not fit into the chunk id")).cast("long")).otherwise(value)
 
 
 def chapter_ordinal(volume: Column, chapter_num: Column) -> Column:
-    return F.shiftleft(volume.cast("long"), 15) + chapter_num.cast("long")
+    """Volumes and chapters side by side in 39 bits: 2^19 volumes of 2^20 chapters."""
+    vol, chapter = volume.cast("long"), chapter_num.cast("long")
+    return _fits(F.shiftleft(vol, 20) + chapter, (vol, 19), (chapter, 20))
 
 
 def chunk_corpus(

@@ -47,11 +47,12 @@ def assign_question_types(sample: DataFrame, n: int) -> DataFrame:
     pos = F.row_number().over(W.orderBy("sample_key", "id")) - 1
     cut1 = round(n * 0.6)
     cut2 = cut1 + round(n * 0.3)
+    number = F.col("pos").cast("string")  # padded to three digits, never cut
     kind = F.when(F.col("pos") < cut1, "single").when(F.col("pos") < cut2, "multi").otherwise("unanswerable")
     return (
         sample.withColumn("pos", pos)
         .withColumn("type", kind)
-        .withColumn("item_id", F.concat(F.lit("g"), F.lpad(F.col("pos").cast("string"), 3, "0")))
+        .withColumn("item_id", F.concat(F.lit("g"), F.lpad(number, F.greatest(F.length(number), F.lit(3)), F.lit("0"))))
         .withColumn(
             "chapter",
             F.concat(F.lit("vol"), F.col("volume").cast("string"), F.lit("/ch"), F.col("chapter_num").cast("string")),
@@ -138,16 +139,15 @@ def golden_stats(items: DataFrame) -> DataFrame:
 
 
 def fingerprint(items: DataFrame) -> DataFrame:
-    """One order-free fingerprint of a table of items: the SHA-256 over per-row hashes folded by XOR and sum.
+    """One order-free fingerprint of a table of items: the SHA-256 over exact sums of the parts of per-row SHA-256s.
 
     Used where the set is a directory of part files; a single file is fingerprinted by its bytes.
     """
-    row = F.xxhash64(F.to_json(F.struct(*sorted(items.columns))))
+    row = F.sha2(F.to_json(F.struct(*sorted(items.columns))), 256)
+    parts = [F.sum(F.conv(F.substring(row, 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)")) for i in range(4)]
     return items.agg(
         F.count("*").alias("n"),
-        F.substring(
-            F.sha2(F.concat_ws(":", F.bit_xor(row).cast("string"), F.sum(row.cast("decimal(38,0)")).cast("string")), 256), 1, 64
-        ).alias("fingerprint"),
+        F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256).alias("fingerprint"),
     )
 
 

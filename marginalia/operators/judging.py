@@ -130,14 +130,32 @@ def judge_model(prompts: DataFrame, loader: Judge, keys: list[str]) -> DataFrame
 
 
 def parse_verdict(raw: Column) -> Column:
-    """Model reply to struct(score, passed, rationale); anything unreadable scores 1 and fails."""
+    """Model reply to struct(score, passed, rationale); anything unreadable scores 1 and fails.
+
+    A score may be a number (cut to its whole part), a boolean or a text of digits; a missing one counts as 1. A given
+    pass counts by its truth: null, 0, false and empty values fail; a missing one follows from the score.
+    """
     span = F.regexp_extract(raw, fv.P_JSON_SPAN, 0)
-    obj = F.from_json(span, "score string, pass boolean, rationale string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    # a present score must be a number; an absent one counts as 1
-    score = F.coalesce(F.expr("cast(1 as int)"), F.lit(1))
-    has = obj["score"].isNotNull()
-    num = F.when(has, obj["score"].try_cast("double").cast("int")).otherwise(score)
-    bad = (span == "") | obj.isNull() | obj["_bad"].isNotNull() | num.isNull()
+    obj = F.from_json(span, "score string, pass string, rationale string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    value = F.try_parse_json(span)
+    kind = {k: F.schema_of_variant(F.try_variant_get(value, f"$.{k}", "variant")) for k in ("score", "pass")}
+    number = r"^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
+    digits = F.when(obj["score"].rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(obj["score"]).try_cast("int"))
+    num = (
+        F.when(kind["score"].isNull(), 1)
+        .when(kind["score"] == "STRING", digits)
+        .when(kind["score"] == "BOOLEAN", (obj["score"] == "true").cast("int"))
+        .when(kind["score"].rlike(number), obj["score"].try_cast("double").cast("int"))
+    )
+    passed = (
+        F.when(kind["pass"].isNull(), num >= 4)
+        .when(kind["pass"] == "VOID", False)
+        .when(kind["pass"] == "STRING", obj["pass"] != "")
+        .when(kind["pass"] == "BOOLEAN", obj["pass"] == "true")
+        .when(kind["pass"].rlike(number), obj["pass"].try_cast("double") != 0)
+        .otherwise(~obj["pass"].isin("{}", "[]"))
+    )
+    bad = (span == "") | value.isNull() | obj.isNull() | obj["_bad"].isNotNull() | num.isNull()
     return F.when(
         bad,
         F.struct(
@@ -148,7 +166,7 @@ def parse_verdict(raw: Column) -> Column:
     ).otherwise(
         F.struct(
             num.alias("score"),
-            F.coalesce(obj["pass"], num >= 4).alias("passed"),
+            F.coalesce(passed, F.lit(False)).alias("passed"),
             F.coalesce(obj["rationale"], F.lit("")).alias("rationale"),
         )
     )

@@ -19,7 +19,7 @@ SEED, N_SAMPLE = 42, 140
 
 SAMPLE_SQL = f"""{dv.DOC_ROWS}, sample AS (SELECT *, md5('{SEED}:' || id) AS sample_key FROM doc_rows WHERE token_count >= 200 ORDER BY sample_key, id LIMIT {N_SAMPLE}),
     typed0 AS (SELECT *, row_number() OVER (ORDER BY sample_key, id) - 1 AS pos FROM sample),
-    typed AS (SELECT *, CASE WHEN pos < 84 THEN 'single' WHEN pos < 126 THEN 'multi' ELSE 'unanswerable' END AS type, 'g' || lpad(pos::VARCHAR, 3, '0') AS item_id,
+    typed AS (SELECT *, CASE WHEN pos < 84 THEN 'single' WHEN pos < 126 THEN 'multi' ELSE 'unanswerable' END AS type, 'g' || lpad(pos::VARCHAR, greatest(3, length(pos::VARCHAR))::INT, '0') AS item_id,
       'vol' || volume || '/ch' || chapter_num AS chapter FROM typed0),
     sib AS (SELECT t.item_id, d.id AS sibling_id FROM typed t JOIN doc_rows d ON d.volume = t.volume AND d.chapter_num = t.chapter_num AND d.id <> t.id AND d.token_count >= 200
       WHERE t.type = 'multi' QUALIFY row_number() OVER (PARTITION BY t.item_id ORDER BY (md5('{SEED}:' || d.id) < md5('{SEED}:' || t.id)), md5('{SEED}:' || d.id), d.id) = 1)"""
@@ -43,6 +43,25 @@ def assign_question_types(spark, sf):
     return typed(spark, sf).select("id", "pos", "type", "item_id", "chapter")
 
 
+MANY = 2_000
+
+
+@query(
+    "assign_question_types_many",
+    f"""WITH {dv.EVENTS}, s AS (SELECT event_id AS id, md5('{SEED}:' || event_id) AS sample_key FROM ev ORDER BY 2, 1 LIMIT {MANY}),
+    n AS (SELECT id, row_number() OVER (ORDER BY sample_key, id) - 1 AS pos FROM s)
+    SELECT id, CASE WHEN pos < {MANY * 6 // 10} THEN 'single' WHEN pos < {MANY * 9 // 10} THEN 'multi' ELSE 'unanswerable' END AS type,
+      'g' || CASE WHEN pos < 1000 THEN lpad(pos::VARCHAR, 3, '0') ELSE pos::VARCHAR END AS item_id FROM n""",
+)
+def assign_question_types_many(spark, sf):
+    """More items than three digits can number."""
+    rows = dv.events(spark, sf).select(
+        F.col("event_id").alias("id"), F.lit(1).alias("token_count"), F.lit(1).alias("volume"), F.col("k").alias("chapter_num")
+    )
+    taken = golden.sample_chunks(rows, MANY, SEED, 1)
+    return golden.assign_question_types(taken, MANY).select("id", "type", "item_id")
+
+
 @query("pick_sibling", f"WITH {SAMPLE_SQL} SELECT item_id, sibling_id FROM sib")
 def pick_sibling(spark, sf):
     return golden.pick_sibling(typed(spark, sf), dv.doc_rows(spark, sf), SEED)
@@ -352,6 +371,31 @@ def parse_verdict(spark, sf):
     return dv.events(spark, sf).select("event_id", judging.parse_verdict(raw).alias("v")).select("event_id", "v.*")
 
 
+#: Replies with the score and verdict that they must be read as.
+ODD_REPLIES = [
+    ('{"score": "4.9"}', 1, False, "invalid judge JSON"),
+    ('{"score": 4.9}', 4, True, ""),
+    ('{"score": null}', 1, False, "invalid judge JSON"),
+    ('{"score": 4, "pass": null}', 4, False, ""),
+    ('{"score": 4, "pass": "false"}', 4, True, ""),
+    ('{"score": 5, "pass": ""}', 5, False, ""),
+    ('{"score": 2, "pass": 1}', 2, True, ""),
+    ('{"score": [4]}', 1, False, "invalid judge JSON"),
+]
+
+
+@query(
+    "parse_verdict_odd",
+    f"WITH {dv.EVENTS}, r(i, score, passed, rationale) AS (VALUES "
+    + ", ".join(f"({i}, {s}, {p}, '{n}')" for i, (_, s, p, n) in enumerate(ODD_REPLIES))
+    + f") SELECT event_id, score, passed, rationale FROM ev JOIN r ON k % {len(ODD_REPLIES)} = i",
+)
+def parse_verdict_odd(spark, sf):
+    replies = F.array(*[F.lit(x[0]) for x in ODD_REPLIES])
+    raw = F.element_at(replies, (F.col("k") % len(ODD_REPLIES) + 1).cast("int"))
+    return dv.events(spark, sf).select("event_id", judging.parse_verdict(raw).alias("v")).select("event_id", "v.*")
+
+
 def scored(spark, sf):
     a = cut_lineage(answered(spark, sf), "answered")
     v = judging.judge_lexical(judging.judge_plan(a)).select("query_id", "judge", "score")

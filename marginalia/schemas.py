@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 CHUNKS = (
-    "id BIGINT, volume SMALLINT, chapter_num SMALLINT, chapter_title STRING, section_path ARRAY<STRING>, "
+    "id BIGINT, volume INT, chapter_num INT, chapter_title STRING, section_path ARRAY<STRING>, "
     "heading_path STRING, source_file STRING, char_start INT, char_end INT, token_count INT, commit_sha STRING, "
     "content_hash STRING, oversize BOOLEAN, text STRING, embedding ARRAY<FLOAT>"
 )
 BLOCKS = (
     "source_file STRING, block_no INT, kind STRING, text STRING, char_start INT, char_end INT, level INT, anchor STRING"
 )
-MANIFEST = "volume SMALLINT, ordinal INT, path STRING"
+MANIFEST = "volume INT, ordinal BIGINT, path STRING"
 POSTINGS = "chunk_id BIGINT, term STRING, positions ARRAY<INT>"
 INGEST_RUNS = (
     "id STRING, commit_sha STRING, started_at TIMESTAMP, finished_at TIMESTAMP, chunks_added BIGINT, "

@@ -26,9 +26,11 @@ def attempts_24h(requests: DataFrame, key: str = "key", ts: str = "ts") -> DataF
 def spend_24h(costs: DataFrame, budget: float, ts: str = "ts", cost: str = "cost_usd") -> DataFrame:
     """(ts, spent_24h, over_budget): spend of everyone in (ts - 24 h, ts]; a request at ts is refused
     when what was spent before it has reached the budget."""
-    t = trailing_sum(costs, [], ts, F.col(cost).cast("double"), "'24' HOUR", "spent_24h")
-    before = F.round(F.col("spent_24h") - F.col("amount"), 6)
-    return t.select("ts", F.round("spent_24h", 6).alias("spent_24h"), (before >= budget).alias("over_budget"))
+    # money is summed exactly: the difference of two long totals must not drift
+    t = trailing_sum(costs, [], ts, F.col(cost).cast("decimal(18,9)"), "'24' HOUR", "spent_24h")
+    before = F.round((F.col("spent_24h") - F.col("amount")).cast("double"), 6)
+    spent = F.round(F.col("spent_24h").cast("double"), 6)
+    return t.select("ts", spent.alias("spent_24h"), (before >= budget).alias("over_budget"))
 
 
 def _admit(times: np.ndarray, admitted: deque, limit: int, horizon: int) -> np.ndarray:

@@ -198,3 +198,16 @@ def test_token_count_and_sentences(spark):
     r = df.select(tx.token_count(F.col("t")), tx.split_sentences(F.col("t"))).first()
     assert r[0] == int(16 * 1.35) + 1
     assert r[1] == ["Hello, wörld!", "It's 3.5.", "(Yes) no."]
+
+
+def test_chunk_ids_do_not_overlap(spark):
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    from marginalia.operators import chunking
+
+    chapters = spark.range(32_760, 32_780).select(F.col("id").alias("c")).crossJoin(spark.range(1, 4).toDF("v"))
+    ids = chapters.select(chunking.chunk_id(chunking.chapter_ordinal(F.col("v"), F.col("c")), F.lit(0)).alias("x"))
+    assert ids.distinct().count() == 60
+    with pytest.raises(PySparkException):
+        spark.range(1).select(chunking.chunk_id(F.lit(1), F.lit(1 << 24))).collect()
