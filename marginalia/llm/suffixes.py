@@ -225,8 +225,8 @@ def long_repeats(
         at = order[first]
         return pa.table(
             {
-                "a": x.a[at], "c": x.c[at], "d": x.d[at], "block": np.full(len(at), x.block, np.int64),
-                "w": np.minimum(n, 2).astype(np.int32), "own": x.own[at],
+                "a": x.a[at], "c": x.c[at], "d": x.d[at],
+                "m": (np.int64(x.block) << 3) | (np.minimum(n, 2) << 1) | x.own[at].astype(np.int64),
             }
         )
 
@@ -301,9 +301,12 @@ def long_repeats(
             {n: v if n == "doc_id" else pa.array(v, kinds.get(n, pa.int64())) for n, v in out.items()}
         )
 
-    found = rows.groupBy("block").applyInArrow(count, "a bigint, c bigint, d bigint, block bigint, w int, own int")
-    found = found.repartition(*key)  # read whole by both uses, so that they share one exchange
-    kinds = found.groupBy(*key).agg(F.sum("w").alias("w"), F.min("block").alias("block"), F.max("own").alias("own"))
+    # block, weight and self-repeat in one number, and the filter that joins would push down: so all uses of the counts
+    # read the same columns and share one exchange
+    found = rows.groupBy("block").applyInArrow(count, "a bigint, c bigint, d bigint, m bigint")
+    found = found.where("a is not null and c is not null and d is not null").repartition(*key)
+    kinds = found.groupBy(*key).agg(F.sum(F.expr("(m >> 1) & 3")).alias("w"), F.min("m").alias("m"), F.max(F.expr("m & 1")).alias("own"))
+    kinds = kinds.withColumn("block", F.shiftright("m", 3)).drop("m")
     per = kinds.groupBy("a").agg(F.sum(F.col("w") + F.col("own")).alias("total"), F.count(F.lit(1)).alias("kinds")).where("total >= 2")
     reps = kinds.join(per, "a").select(
         *key, "block", F.least("w", F.lit(2)).cast("int").alias("w"), F.ceil(F.col("kinds") / cell).cast("int").alias("cells")
@@ -312,7 +315,7 @@ def long_repeats(
         emit, "bucket string, a bigint, c bigint, d bigint, w int, part binary"
     )
     hits = parts.groupBy("bucket").applyInArrow(expand, "a bigint, c bigint, d bigint, runs array<int>")
-    told = found.join(hits, key)
+    told = found.withColumn("block", F.shiftright("m", 3)).drop("m").join(hits, key)
     kind = rows.schema["id"].dataType.simpleString()
     return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
         cover,
