@@ -20,11 +20,12 @@ def order_statistics(
     keys: list[str],
     value: str,
     wanted: dict[str, tuple[float, Callable[[Column], Column]]],
+    count: str | None = None,
 ) -> DataFrame:
     """Exact values at given 0-based positions of each group's sorted values.
 
     ``wanted`` maps an output name to (fraction, position as a function of the count n); the fraction
-    only tells roughly where that position lies. A mergeable sketch narrows each position to a band of
+    only tells roughly where that position lies; ``count`` names a column for n. A mergeable sketch narrows each position to a band of
     about n / 10,000 values (the whole group when it has at most 10,000 rows); rows below the band are
     counted where they lie, and only the band's distinct values with their counts are ordered. So no
     task ever holds a whole group, and a value shared by many rows is one row.
@@ -35,7 +36,8 @@ def order_statistics(
     edges = []
     for p, _ in wanted.values():
         edges += [max(0.0, p - eps), min(1.0, p + eps)]
-    one = F.lit(1).alias("_k") if not keys else None
+    # a constant that is computed: the one row of bounds is then found by a hash join, not by a nested loop
+    one = F.pmod(F.xxhash64(v), F.lit(1)).alias("_k") if not keys else None
     df = df.select(*keys, *([one] if one is not None else []), v.alias("_v")).filter(F.col("_v").isNotNull())
     by = keys or ["_k"]
     bounds = df.groupBy(*by).agg(
@@ -52,6 +54,7 @@ def order_statistics(
                 F.when(small, F.col("_lo")).otherwise(F.col("_e")[2 * i]).alias("lo"),
                 F.when(small, F.col("_hi")).otherwise(F.col("_e")[2 * i + 1]).alias("hi"),
                 wanted[name][1](F.col("_n")).cast("long").alias("idx"),
+                F.col("_n").alias("n"),
             )
             for i, name in enumerate(names)
         ]
@@ -59,6 +62,8 @@ def order_statistics(
     bounds = bounds.select(*by, bands.alias("_b"))
     # the bands are one row per group; nulls in keys must meet each other
     b = bounds.select(*[F.col(k).alias(f"_r_{k}") for k in by], "_b")
+    if not keys:
+        b = F.broadcast(b)  # one row
     cond = F.lit(True)
     for k in by:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
@@ -67,15 +72,16 @@ def order_statistics(
     )
     # everything below a band collapses to one counted row before it moves
     squeezed = tagged.groupBy(
-        *by, F.col("b.name").alias("_name"), F.col("b.idx").alias("_idx"),
+        *by, F.col("b.name").alias("_name"), F.col("b.idx").alias("_idx"), F.col("b.n").alias("_n"),
         F.when(F.col("_v") >= F.col("b.lo"), F.col("_v")).alias("_band"),
     ).agg(F.count("*").alias("_c"))
     w = W.partitionBy(*by, "_name").orderBy(F.col("_band").asc_nulls_first())
+    total = [F.max("_n").alias(count)] if count else []
     picked = (
         squeezed.withColumn("_upto", F.sum("_c").over(w))
         .filter((F.col("_upto") > F.col("_idx")) & (F.col("_upto") - F.col("_c") <= F.col("_idx")))
         .groupBy(*by)
-        .agg(*[F.max(F.when(F.col("_name") == n, F.col("_band"))).alias(n) for n in names])
+        .agg(*[F.max(F.when(F.col("_name") == n, F.col("_band"))).alias(n) for n in names], *total)
     )
     return picked if keys else picked.drop("_k")
 
@@ -90,24 +96,15 @@ def percentile_cont(df: DataFrame, keys: list[str], columns: dict[str, tuple[str
     """Linear-interpolated percentiles; ``columns`` maps an output name to (value column, fraction)."""
     out = None
     for name, (value, f) in columns.items():
-        n = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
         pos = lambda n, f=f: F.lit(f) * (n - 1).cast("double")
         st = order_statistics(
-            df, keys, value, {"_a": (f, lambda n: F.floor(pos(n))), "_b": (f, lambda n: F.ceil(pos(n)))}
+            df, keys, value, {"_a": (f, lambda n: F.floor(pos(n))), "_b": (f, lambda n: F.ceil(pos(n)))}, count="_n"
         )
-        if keys:
-            j = st.join(n, keys)
-        else:
-            j = st.withColumn("_one", F.lit(1)).join(n.withColumn("_one", F.lit(1)), "_one").drop("_one")
         frac = pos(F.col("_n")) - F.floor(pos(F.col("_n")))
-        one = j.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * frac).alias(name))
-        if out is None:
-            out = one
-        elif keys:
-            out = out.join(one, keys, "full")
-        else:
-            out = out.withColumn("_one", F.lit(1)).join(one.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    return out
+        one = st.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * frac).alias(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    # a row or less per group and column; without keys one row, null where there are no values
+    return out.groupBy(*keys).agg(*[F.max(name).alias(name) for name in columns])
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, spread: str, rank: str = "rank", salts: int = 32) -> DataFrame:

@@ -119,25 +119,30 @@ def judge_agreement(pairs: DataFrame, a: str, b: str, by: str | None = None, thr
     else:
         table = table.withColumn("_set", F.lit(0))
     keys = ["_set", *cols]
-    marg = (
-        table.select(*keys, F.col("_a").alias("_l"), F.col("_n").alias("_ca"), F.lit(0).cast("long").alias("_cb"))
-        .unionByName(
-            table.select(*keys, F.col("_b").alias("_l"), F.lit(0).cast("long").alias("_ca"), F.col("_n").alias("_cb"))
+    # each cell counts once for the label of either rater
+    none = F.lit(0).cast("long")
+    equal = F.when(F.col("_a") == F.col("_b"), F.col("_n")).otherwise(none)
+    by_label = F.explode(
+        F.array(
+            F.struct(F.col("_a").alias("_l"), F.col("_n").alias("_ca"), none.alias("_cb"), equal.alias("_eq")),
+            F.struct(F.col("_b").alias("_l"), none.alias("_ca"), F.col("_n").alias("_cb"), none.alias("_eq")),
         )
-        .groupBy(*keys, "_l")
-        .agg(F.sum("_ca").alias("_ca"), F.sum("_cb").alias("_cb"))
+    )
+    marg = (
+        table.select(*keys, by_label.alias("_m"))
+        .groupBy(*keys, "_m._l")
+        .agg(*[F.sum(f"_m.{c}").alias(c) for c in ("_ca", "_cb", "_eq")])
         .groupBy(*keys)
-        .agg(F.sum(F.col("_ca").cast("double") * F.col("_cb")).alias("_cross"), F.sum("_ca").alias("n"))
+        .agg(
+            F.sum(F.col("_ca").cast("double") * F.col("_cb")).alias("_cross"),
+            F.sum("_ca").alias("n"),
+            F.sum("_eq").alias("_same"),
+        )
     )
-    same = table.groupBy(*keys).agg(F.sum(F.when(F.col("_a") == F.col("_b"), F.col("_n")).otherwise(0)).alias("_same"))
-    left, right = marg.alias("m"), same.alias("s")
-    cond = F.col("m._set") == F.col("s._set")
-    for c in cols:
-        cond = cond & F.col(f"m.{c}").eqNullSafe(F.col(f"s.{c}"))
     po = F.col("_same") / F.col("n")
     pe = F.col("_cross") / (F.col("n").cast("double") * F.col("n"))
-    return left.join(right, cond).select(
-        *[F.col(f"m.{c}").alias(c) for c in cols],
+    return marg.select(
+        *cols,
         F.col("n"),
         po.alias("agreement"),
         F.when(pe == 1.0, F.lit(1.0)).otherwise((po - pe) / (1 - pe)).alias("kappa"),
@@ -151,8 +156,10 @@ def cohen_kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def nearest_rank_percentile(df: DataFrame, keys: list[str], value: str, ps: list[float]) -> DataFrame:
-    """p<p> columns: sorted[round half even of p/100 * (n-1)] per group."""
-    return order_statistics(df, keys, value, {f"p{p:g}": nearest_rank(p) for p in ps})
+    """p<p> columns: sorted[round half even of p/100 * (n-1)] per group; without keys one row, 0 where there are no values."""
+    names = {f"p{p:g}": nearest_rank(p) for p in ps}
+    out = order_statistics(df, keys, value, names)
+    return out if keys else out.agg(*[F.coalesce(F.max(n), F.lit(0)).alias(n) for n in names])
 
 
 def per_question(

@@ -34,14 +34,22 @@ def spend_24h(costs: DataFrame, budget: float, ts: str = "ts", cost: str = "cost
 
 
 def _admit(times: np.ndarray, admitted: deque, limit: int, horizon: int) -> np.ndarray:
-    """Verdicts for one key's requests in time order; ``admitted`` holds its last admitted times."""
+    """Verdicts for one key's requests in time order; ``admitted`` holds its last admitted times.
+
+    While the limit is reached nothing changes until the oldest admission expires, so refused requests are skipped in
+    one step: the loop runs once or twice per admission, whatever the number of requests.
+    """
     out = np.zeros(len(times), dtype=bool)
-    for i, t in enumerate(times):
-        while admitted and admitted[0] <= t - horizon:
+    i = 0
+    while i < len(times) and limit > 0:
+        while admitted and admitted[0] <= times[i] - horizon:
             admitted.popleft()
         if len(admitted) < limit:
-            admitted.append(t)
+            admitted.append(times[i])
             out[i] = True
+            i += 1
+        else:
+            i = int(np.searchsorted(times, admitted[0] + horizon))
     return out
 
 
