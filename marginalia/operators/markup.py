@@ -500,16 +500,23 @@ def blocks_of(blocks: DataFrame, *kinds: str) -> DataFrame:
     return blocks.filter(F.col("kind").isin(*kinds))
 
 
-def collect_labels(blocks: DataFrame) -> DataFrame:
-    """anchor to label; the definition that comes last in (source_file, block_no) order counts."""
+def collect_labels(blocks: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+    """anchor to label; the definition that is read last counts.
+
+    Reading order is (volume, ordinal) of ``chapters`` (source_file, volume, ordinal), then the file name and block
+    number; without ``chapters``, and for files that they lack (read first), only the latter.
+    """
     label = F.when(F.col("kind") == "heading", F.concat(F.lit("§ "), "text")).otherwise(
         F.concat(F.initcap("kind"), F.lit(" ["), "anchor", F.lit("]"))
     )
-    return (
-        blocks.filter("anchor <> '' and kind in ('heading', 'figure', 'table', 'equation')")
-        .groupBy("anchor")
-        .agg(F.max_by(label, F.struct("source_file", "block_no")).alias("label"))
-    )
+    named = blocks.filter("anchor <> '' and kind in ('heading', 'figure', 'table', 'equation')")
+    named = named.select("anchor", label.alias("label"), "source_file", "block_no")
+    place = ["source_file", "block_no"]
+    if chapters is not None:
+        order = chapters.groupBy("source_file").agg(F.max(F.struct("volume", "ordinal")).alias("read"))
+        named = named.join(order, "source_file", "left")
+        place = ["read", *place]
+    return named.groupBy("anchor").agg(F.max_by("label", F.struct(*place)).alias("label"))
 
 
 def resolve_crossrefs(blocks: DataFrame, labels: DataFrame) -> DataFrame:

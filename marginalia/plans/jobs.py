@@ -33,7 +33,8 @@ def build_chunks(
     if values is not None:
         docs = markup.substitute_values(docs, values).drop("inline", "resolved")
     blocks = cut_lineage(markup.parse_blocks(docs.select("source_file", "text")), "blocks")
-    resolved = markup.resolve_crossrefs(blocks, markup.collect_labels(blocks))
+    labels = markup.collect_labels(blocks, chapters.withColumnRenamed("path", "source_file"))
+    resolved = markup.resolve_crossrefs(blocks, labels)
     return chunking.chunk_corpus(resolved, chapters, commit_sha, min_tokens, max_tokens), missing
 
 

@@ -325,6 +325,25 @@ def collect_labels(spark, sf):
     return markup.collect_labels(blocks(spark, sf))
 
 
+@query(
+    "collect_labels_in_order",
+    """SELECT 'sec-' || doc_id % 97 AS anchor, '§ Title ' || doc_id AS label FROM documents
+    QUALIFY row_number() OVER (PARTITION BY doc_id % 97 ORDER BY doc_id % 3 DESC, doc_id) = 1""",
+)
+def collect_labels_in_order(spark, sf):
+    """Anchors that several files define; files are read by volume, and backwards in a volume."""
+    docs = dv.t(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("source_file"))
+    heads = docs.select(
+        "source_file",
+        F.lit(0).alias("block_no"),
+        F.lit("heading").alias("kind"),
+        F.concat(F.lit("Title "), "source_file").alias("text"),
+        F.concat(F.lit("sec-"), (F.col("doc_id") % 97).cast("string")).alias("anchor"),
+    )
+    chapters = docs.select("source_file", (F.col("doc_id") % 3).cast("int").alias("volume"), (-F.col("doc_id")).alias("ordinal"))
+    return markup.collect_labels(heads, chapters)
+
+
 @query(
     "resolve_crossrefs",
     f"""WITH {dv.MARKED} SELECT CAST(a.doc_id AS VARCHAR) AS source_file, CAST(a.start AS INT) AS char_start,

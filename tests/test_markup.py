@@ -92,6 +92,15 @@ def test_cross_references(blocks):
     )
 
 
+def test_last_label_in_reading_order(spark):
+    rows = [(f, 0, "heading", f, "sec-x") for f in ("a.md", "b.md", "z.md")] + [("a.md", 1, "figure", "", "fig-y")]
+    heads = spark.createDataFrame(rows, "source_file string, block_no int, kind string, text string, anchor string")
+    chapters = spark.createDataFrame([("z.md", 1, 1), ("b.md", 1, 2)], "source_file string, volume int, ordinal long")
+    got = lambda *a: dict(markup.collect_labels(heads, *a).collect())
+    assert got() == {"sec-x": "§ z.md", "fig-y": "Figure [fig-y]"}
+    assert got(chapters) == {"sec-x": "§ b.md", "fig-y": "Figure [fig-y]"}
+
+
 def test_section_paths(blocks):
     p = chunking.section_paths(blocks).filter("kind = 'para' and source_file = 'valves.md'").orderBy("block_no")
     assert [r.section_path for r in p.collect()] == [["Kinds"], ["Kinds", "Ball"], ["Kinds", "Gate"]]

@@ -117,6 +117,41 @@ def test_order_statistics_with_a_hot_value(spark):
     assert [got[f"p{p}"] for p in (10, 50, 90, 99)] == [s[round(p / 100 * (n - 1))] for p in (10, 50, 90, 99)]
 
 
+def test_percentiles_without_values_or_keys(spark):
+    rows = [(float(i), None) for i in range(5)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    got = stats.percentile_cont(df, [], {"a50": ("a", 0.5), "a90": ("a", 0.9), "b50": ("b", 0.5)}).collect()
+    assert [tuple(r) for r in got] == [(2.0, 3.6, None)]
+    empty = evaluation.nearest_rank_percentile(df.filter("a < 0"), [], "a", [50, 99]).collect()
+    assert [tuple(r) for r in empty] == [(0.0, 0.0)]
+    keyed = stats.percentile_cont(df.withColumn("k", F.lit(None).cast("string")), ["k"], {"x": ("a", 0.25), "y": ("a", 1.0)})
+    assert [tuple(r) for r in keyed.collect()] == [(None, 1.0, 4.0)]
+
+
+def test_large_groups_use_the_band_and_no_nested_loop(spark):
+    df = spark.range(50_000).select(F.pmod(F.xxhash64("id"), F.lit(1_000_003)).alias("v"))
+    want = sorted(r.v for r in df.collect())
+    ps = [1, 50, 99]
+    out = evaluation.nearest_rank_percentile(df, [], "v", ps)
+    assert list(out.first()) == [want[round(p / 100 * 49_999)] for p in ps]
+    plan = out._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_admission_skips_what_is_refused():
+    r = random.Random(5)
+    for limit in (0, 1, 3):
+        times = sorted(r.randrange(400) for _ in range(300))
+        admitted, want = [], []
+        for t in times:
+            ok = sum(a > t - 50 for a in admitted) < limit
+            admitted += [t] * ok
+            want.append(ok)
+        held = limits.deque()
+        got = [x for a in range(0, 300, 70) for x in limits._admit(limits.np.array(times[a : a + 70]), held, limit, 50)]
+        assert got == want
+
+
 def test_span_remap(spark):
     old = spark.createDataFrame(
         [("same", "f", 0, 10), ("moved", "f", 10, 5000), ("tied", "g", 0, 10), ("lost", "h", 0, 10)],
