@@ -29,14 +29,17 @@ from marginalia.llm.frames import row_key, total_bytes
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of `text` (0: a separator, each of its own kind, in order of place; else byte + 1) by their first
-    `depth` symbols at least. Prefix doubling from packed sevens; settled suffixes are left out of later rounds."""
+    """Suffixes of `text` (0: a separator, each of its own kind, in order of place, one at the end; else byte + 1)
+    by their first `depth` symbols at least. Prefix doubling from packed sevens; settled suffixes are left out of later rounds."""
     n = len(text)
-    packed, open_ = np.zeros(n, np.int64), np.ones(n, bool)
-    wide = np.concatenate([text.astype(np.int64), np.zeros(7, np.int64)])
-    for o in range(7):
-        packed = (packed << 9) | np.where(open_, wide[o : o + n], 0)
-        open_ &= wide[o : o + n] > 0
+    wide = np.concatenate([text.astype(np.int64), np.zeros(6, np.int64)])
+    two = (wide[:-1] << 9) | wide[1:]
+    four = (two[:-2] << 18) | two[2:]
+    packed = (four[:n] << 27) | (two[4 : 4 + n] << 9) | wide[6 : 6 + n]
+    stop = np.flatnonzero(text == 0)
+    left = np.repeat(stop, np.diff(stop, prepend=-1)) - np.arange(n)  # symbols before the separator
+    open_ = left >= 7
+    packed &= np.array([-1 << (9 * (7 - k)) for k in range(8)], np.int64)[np.minimum(left, 7)]
     sa = np.argsort(packed)
     ends = np.flatnonzero(~open_[sa])  # equal so far, but for the kind of separator
     sa[ends] = sa[ends][np.lexsort((sa[ends], packed[sa[ends]]))]
@@ -92,9 +95,9 @@ def open_boundaries(text: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray
         ok = bwt[row] < 257
         ok &= lf[row] >= seps
         row, who = row[ok], who[ok]
-        to = lf[row]
-        order = np.argsort(to)
-        to, who = to[order], who[order]
+        # rows ascend, and the step keeps the order of rows within a symbol: by symbol is by target
+        order = np.argsort(bwt[row], kind="stable")
+        to, who = lf[row[order]], who[order]
         if not len(to):
             break
         new = np.ones(len(to), bool)
