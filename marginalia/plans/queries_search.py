@@ -326,7 +326,7 @@ FALLBACK_SQL = f"""{CAND_SQL}, scored AS (SELECT *, length(question) % 3 = 0 AS
 )
 def rerank_or_fallback(spark, sf):
     """Scoring fails for every question whose length is divisible by three."""
-    c = candidates(spark, sf)
+    c = cut_lineage(candidates(spark, sf), "candidates")  # read by the ranking, the scores and the errors
     failed = F.length("question") % 3 == 0
     scores = c.select(
         "query_id",
