@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.bytehash import mix
 from marginalia.llm.components import components
-from marginalia.llm.frames import packed, row_key
+from marginalia.llm.frames import packed, row_key, small
 from marginalia.session import cut_lineage
 
 N, CHECK, RADIUS = 23, 11, 3
@@ -221,14 +221,66 @@ def simhash_components(
     )
 
 
-def _similar(batches: Iterator[pa.RecordBatch], k: int, least: float) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep = np.zeros(b.num_rows, bool)
-        for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"))):
-            p, q = (np.unique(shingle_hashes(t.as_py() or b"", k)) for t in (x, y))
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            keep[i] = both >= least * (len(p) + len(q) - both)
-        yield b.select(["u", "v"]).filter(pa.array(keep))
+def set_links(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of the sets (sorted, distinct) whose Jaccard similarity is `least` or more; exact.
+
+    Sets so alike share one of their rarest members (as many as may be missing, and one), so only those that do are
+    compared, and only while no links join them yet.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    _, code, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    shared = np.empty(len(count), bool)
+    shared[rank] = count > 1
+    own = [np.sort(x) for x in np.split(rank[code], np.cumsum(sizes)[:-1])] if n else []
+    rare = [x[: len(x) - int(np.ceil(least * len(x) - 1e-6)) + 1] for x in own]
+    rare = [x[shared[x]] for x in rare]
+    member = np.concatenate([*rare, np.zeros(0, np.int64)])
+    holder = np.repeat(np.arange(n), [len(x) for x in rare])
+    by = np.argsort(member, kind="stable")
+    member, holder = member[by], holder[by]
+    group, mark = np.arange(n), np.zeros(len(count), bool)
+    a, b = [], []
+    for i in range(n):
+        lo, hi = np.searchsorted(member, rare[i]), np.searchsorted(member, rare[i], "right")
+        if not len(lo):
+            continue
+        meets = np.bincount(np.concatenate([holder[x:y] for x, y in zip(lo.tolist(), hi.tolist())]), minlength=n)
+        meets[i:] = 0
+        near = np.minimum(sizes, sizes[i]) >= least * np.maximum(sizes, sizes[i]) - 1e-6
+        others = np.flatnonzero((meets > 0) & near & (group != group[i]))
+        mark[own[i]] = True
+        for j in others[np.argsort(-meets[others], kind="stable")].tolist():
+            if group[i] == group[j]:
+                continue
+            both = int(mark[own[j]].sum())
+            if both >= least * (sizes[i] + sizes[j] - both):
+                a.append(j)
+                b.append(i)
+                group[group == group[j]] = group[i]
+        mark[own[i]] = False
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def confirmed(texts: DataFrame, k: int, least: float, part_bytes: int) -> DataFrame:
+    """Texts (root, fid, t) to links (u, v) of fids: a spanning forest of the similar pairs of each root.
+
+    Every pair of a root is told by its sets of k-word shingles. A root of more than `part_bytes` is a grid of tasks.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        fid = table.column("fid").to_numpy()
+        a, b = set_links([np.unique(shingle_hashes(t.as_py() or b"", k)) for t in table.column("t")], least)
+        return pa.table({"u": fid[a], "v": fid[b]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+    large = texts.groupBy("root").agg(F.sum(F.octet_length("t")).alias("size")).where(F.col("size") > part_bytes)
+    large = small(large.select("root", F.ceil(F.col("size") / part_bytes).cast("int").alias("cells")))
+    texts = texts.join(large, "root", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+    mine = F.pmod(F.xxhash64("fid"), F.col("cells")).cast("int")
+    texts = texts.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    texts = texts.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fid", "t")
+    return texts.groupBy("root", "i", "j").applyInArrow(compare, "u bigint, v bigint").distinct()
 
 
 def near_duplicates(
@@ -240,14 +292,15 @@ def near_duplicates(
     limit: int = 44,
     blocks: int = 9,
     slack: int = 1,
+    part_bytes: int = 8 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """`docs` with one row of each group of near duplicates: the one of smallest id (nulls last, then by text hash).
 
     Sets of k-word shingles with Jaccard similarity of `similarity` or more are near. At 0.8 some 15 % of SimHash bits
-    differ, so candidates are taken at `limit` of 64 * `words` bits and confirmed on the texts themselves. Per anchor
-    the nearest link to each fingerprint is a candidate, so a dense group is confirmed along its nearest links only.
+    differ, so candidates are taken at `limit` of 64 * `words` bits. The texts that candidate links join are one group,
+    and every pair of a group is told by the texts themselves, so no link among candidates is lost.
     Equal shingle sequences (fingerprint and words alike) count as one text and are not compared. Texts without words
     are one group. Null texts are empty. All columns of `docs` are kept. No rows: no rows.
     """
@@ -262,18 +315,14 @@ def near_duplicates(
     text_of = cut_lineage(text_of, "texts")
     pairs = links(text_of.select("fid", *names), words, limit, blocks, slack)
     pairs = cut_lineage(pairs, "pairs")
-    ends = pairs.select(F.col("u").alias("fid")).union(pairs.select("v")).distinct()
-    ends = text_of.join(ends, "fid", "left_semi").select("fid", F.col("o.id").alias("pid"), F.col("o.rk").alias("prk"))
+    groups = cut_lineage(components(pairs), "groups")
+    ends = text_of.join(groups, F.col("fid") == F.col("node"))
+    ends = ends.select("fid", F.col("root").alias("base"), F.col("o.id").alias("pid"), F.col("o.rk").alias("prk"))
     texts = docs_in.select("id", "rk", "text").join(
         ends, F.col("id").eqNullSafe(F.col("pid")) & (F.col("rk") == F.col("prk"))
     )
-    texts = texts.groupBy("fid").agg(F.first("text").cast("binary").alias("t"))
-    texts = cut_lineage(texts, "ends")
-    x, y = texts.select(F.col("fid").alias("u"), F.col("t").alias("x")), texts.select(
-        F.col("fid").alias("v"), F.col("t").alias("y")
-    )
-    near = pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y")
-    near = near.mapInArrow(lambda bs: _similar(bs, k, similarity), "u bigint, v bigint")
+    texts = texts.groupBy("fid").agg(F.first("base").alias("root"), F.first("text").cast("binary").alias("t"))
+    near = confirmed(cut_lineage(texts, "ends"), k, similarity, part_bytes)
     roots = components(near)
     group = text_of.join(roots, F.col("fid") == F.col("node"), "left").select(
         F.coalesce("root", "fid").alias("root"), "o"

@@ -343,3 +343,24 @@ def test_pipeline(spark, sf):
         ids = now
     mixed = p.mixing_stage(spark, docs, sf).collect()
     assert {r.doc_id for r in mixed} <= ids and all(0 < r.taken <= 2 * r.size for r in mixed)
+
+
+def test_near_duplicates_of_one_template(spark):
+    """Links that fail do not take the place of links that pass: the groups are those of brute force."""
+    r = random.Random(3)
+    rows = []
+    for d in range(120):
+        w = [f"b{i}" for i in range(304)]
+        for i in r.sample(range(304), 4):
+            w[i] = f"d{d}x{i}"
+        rows.append((d, " ".join(w), "s"))
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for _, t, _ in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if x == old else x for x in root]
+    for part in (8 << 20, 60_000):
+        kept = sorted(x.doc_id for x in simhash.near_duplicates(make(spark, rows), part_bytes=part).collect())
+        assert kept == sorted(set(root))
