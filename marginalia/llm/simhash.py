@@ -62,16 +62,25 @@ def fingerprint(h: np.ndarray, words: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, k: int = 4, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, row key and `words` 64-bit words f0, f1, ... (as signed longs) of each text; null is empty, empty is zero."""
-    names = [f"f{i}" for i in range(words)]
+def fingerprints(
+    docs: DataFrame, k: int = 4, words: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False
+) -> DataFrame:
+    """id, row key and `words` 64-bit words f0, f1, ... (as signed longs) of each text; null is empty, empty is zero.
+
+    With `sets`, a shingle counts once however often it is repeated, and fid, a hash of the shingle set, comes too.
+    """
+    names = [f"f{i}" for i in range(words)] + ["fid"] * sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = np.zeros((b.num_rows, words), np.uint64)
+            f = np.zeros((b.num_rows, words + sets), np.uint64)
             for i, t in enumerate(b.column("text")):
-                f[i] = fingerprint(shingle_hashes(t.as_py() or b"", k), words)
-            cols = [pa.array(np.ascontiguousarray(f[:, i]).view(np.int64)) for i in range(words)]
+                h = shingle_hashes(t.as_py() or b"", k)
+                if sets:
+                    h = np.unique(h)
+                    f[i, words] = xxhash.xxh64_intdigest(h.tobytes(), 42)
+                f[i, :words] = fingerprint(h, words)
+            cols = [pa.array(np.ascontiguousarray(f[:, i]).view(np.int64)) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rk"), *cols], ["id", "rk", *names])
 
     rows = docs.select(
@@ -301,17 +310,17 @@ def near_duplicates(
     Sets of k-word shingles with Jaccard similarity of `similarity` or more are near. At 0.8 some 15 % of SimHash bits
     differ, so candidates are taken at `limit` of 64 * `words` bits. The texts that candidate links join are one group,
     and every pair of a group is told by the texts themselves, so no link among candidates is lost.
-    Equal shingle sequences (fingerprint and words alike) count as one text and are not compared. Texts without words
-    are one group. Null texts are empty. All columns of `docs` are kept. No rows: no rows.
+    Equal shingle sets (by their hash) count as one text; different sets of equal fingerprint are compared like others.
+    A repeated shingle counts once. Texts without words are one group. Null texts are empty. All columns of `docs` are kept. No rows: no rows.
     """
     docs_in = docs.select(
         packed(docs).alias("row"), F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rk"),
         F.col(text_col).alias("text"),
     )
-    prints = cut_lineage(fingerprints(docs, k, words, id_col, text_col), "prints")
+    prints = cut_lineage(fingerprints(docs, k, words, id_col, text_col, sets=True), "prints")
     names = [f"f{i}" for i in range(words)]
     order = F.struct(F.col("id").isNull().alias("none"), "id", "rk")
-    text_of = prints.withColumn("fid", F.xxhash64(*names)).groupBy("fid", *names).agg(F.min(order).alias("o"))
+    text_of = prints.groupBy("fid", *names).agg(F.min(order).alias("o"))
     text_of = cut_lineage(text_of, "texts")
     pairs = links(text_of.select("fid", *names), words, limit, blocks, slack)
     pairs = cut_lineage(pairs, "pairs")

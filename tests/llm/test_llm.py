@@ -364,3 +364,11 @@ def test_near_duplicates_of_one_template(spark):
     for part in (8 << 20, 60_000):
         kept = sorted(x.doc_id for x in simhash.near_duplicates(make(spark, rows), part_bytes=part).collect())
         assert kept == sorted(set(root))
+
+
+def test_near_duplicates_count_a_repeated_shingle_once(spark):
+    r = random.Random(6)
+    one, two = (" ".join(f"{x}{r.randrange(10**6)}" for _ in range(500)) for x in "pq")
+    dashes = " -" * 700
+    rows = [(1, one + dashes, "a"), (2, two + dashes, "a"), (3, one, "a"), (4, two + " " + two, "a")]
+    assert sorted(x.doc_id for x in simhash.near_duplicates(make(spark, rows)).collect()) == [1, 2]
