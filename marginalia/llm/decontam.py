@@ -81,6 +81,58 @@ def windows(words: Column, n: int, stride: Column | int) -> Column:
     return let(template(words), run)
 
 
+def _judged(both: Column) -> Column:
+    """For each aligned word whether the templates agree (ok) and the place behind the last slot that it contradicts."""
+
+    def judge(words: Column) -> Column:
+        slots = F.filter(words, lambda p: p["ok"] & p["iw"].between(NUM, LAST))
+
+        def places(known: Column) -> Column:
+            def behind(p: Column) -> Column:
+                other = F.filter(
+                    known, lambda q: (q["at"] < p["at"]) & (q["iw"] == p["iw"]) & (q["dw"] != p["dw"])
+                )
+                return F.coalesce(F.array_max(F.transform(other, lambda q: q["at"])) + 1, F.lit(0))
+
+            return F.transform(
+                words,
+                lambda p: F.struct(
+                    p["ok"].alias("ok"),
+                    F.when(p["ok"] & p["iw"].between(NUM, LAST), behind(p)).otherwise(0).alias("behind"),
+                ),
+            )
+
+        return let(slots, places)
+
+    words = F.transform(
+        both,
+        lambda p, i: F.struct(
+            F.coalesce(p["it"] == p["dt"], F.lit(False)).alias("ok"), i.alias("at"), p["iw"].alias("iw"), p["dw"].alias("dw")
+        ),
+    )
+    return let(words, judge)
+
+
+def longest_run(both: Column) -> Column:
+    """(best, end): length and end of the longest run of equal template words whose slots are consistent."""
+    names = ("at", "start", "behind", "best", "end")
+    state = F.struct(*[F.lit(0).alias(x) for x in names])
+
+    def step(s: Column, p: Column) -> Column:
+        better = ~p["ok"] & (s["behind"] <= s["start"]) & (s["at"] - s["start"] > s["best"])
+        return F.struct(
+            (s["at"] + 1).alias("at"),
+            F.when(p["ok"], s["start"]).otherwise(s["at"] + 1).alias("start"),
+            F.greatest(s["behind"], p["behind"]).alias("behind"),
+            F.when(better, s["at"] - s["start"]).otherwise(s["best"]).alias("best"),
+            F.when(better, s["at"]).otherwise(s["end"]).alias("end"),
+        )
+
+    # one word that differs closes the last run
+    close = F.array(F.struct(F.lit(False).alias("ok"), F.lit(0).alias("behind")))
+    return F.aggregate(F.concat(_judged(both), close), state, step)
+
+
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -96,8 +148,8 @@ def leaks(
 
     A leak is a run of template words that a document and an item have in common, of `least` words or the whole item
     if that is shorter, with consistent slots. Items of fewer than `window` words, or without a run of `window` words
-    that has three words besides slots, are too short to be told and match nothing. The longest run of a pair is
-    reported. Null or empty texts, no items or no documents: no rows. Null ids are kept; rows that repeat id and text
+    that has three words besides slots, are too short to be told and match nothing. Each run of a pair is judged by
+    itself, an inconsistent slot rejects its run; the longest consistent one is reported. Null or empty texts, no items or no documents: no rows. Null ids are kept; rows that repeat id and text
     are one. Repeated items are reported under their smallest id. Other columns are not read.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), slotted_words(F.col(item_text_col)).alias("iw"))
@@ -134,27 +186,11 @@ def leaks(
         F.slice("dw", a + 1, F.size("iw")).alias("dw"),
     )
     pairs = pairs.withColumn("both", F.arrays_zip(template("iw").alias("it"), template("dw").alias("dt"), "iw", "dw"))
-    same = F.transform("both", lambda p: F.coalesce(p["it"] == p["dt"], F.lit(False)))
-    # (length, end) of the longest run of equal template words
-    state = F.struct(F.lit(0).alias("run"), F.lit(0).alias("at"), F.lit(0).alias("best"), F.lit(0).alias("end"))
-
-    def step(s: Column, ok: Column) -> Column:
-        run = F.when(ok, s["run"] + 1).otherwise(0)
-        return F.struct(
-            run.alias("run"),
-            (s["at"] + 1).alias("at"),
-            F.greatest(s["best"], run).alias("best"),
-            F.when(run > s["best"], s["at"] + 1).otherwise(s["end"]).alias("end"),
-        )
-
-    pairs = pairs.withColumn("r", F.aggregate(same, state, step))
+    pairs = pairs.withColumn("r", longest_run(F.col("both")))
     pairs = pairs.where(F.col("r.best") >= F.least("n", F.lit(least)))
     run = F.slice("both", F.col("r.end") - F.col("r.best") + 1, F.col("r.best"))
     slots = F.filter(run, lambda p: p["iw"].between(NUM, LAST))
     pairs = pairs.withColumn("slots", slots)
-    ask = F.array_distinct(F.transform("slots", lambda p: p["iw"]))
-    met = F.array_distinct(F.transform("slots", lambda p: F.struct(p["iw"], p["dw"])))
-    pairs = pairs.where(F.size(ask) == F.size(met))
     changed = F.size(F.filter("slots", lambda p: p["iw"] != p["dw"]))
     return (
         pairs.select(

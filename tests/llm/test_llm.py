@@ -372,3 +372,12 @@ def test_near_duplicates_count_a_repeated_shingle_once(spark):
     dashes = " -" * 700
     rows = [(1, one + dashes, "a"), (2, two + dashes, "a"), (3, one, "a"), (4, two + " " + two, "a")]
     assert sorted(x.doc_id for x in simhash.near_duplicates(make(spark, rows)).collect()) == [1, 2]
+
+
+def test_leaks_judge_each_run_by_itself(spark):
+    first = "give 4 apples to 4 friends and keep the others in the old wooden box by the door"
+    second = "then walk slowly back along the river until the mill comes into sight again"
+    items = spark.createDataFrame([(1, f"{first} today {second}")], "item_id long, text string")
+    rows = [(1, first.replace("4 apples", "6 apples") + " tonight " + second, "a"), (2, first.replace("4 apples", "6 apples"), "a")]
+    got = decontam.leaks(make(spark, rows), items).collect()
+    assert [(r.doc_id, r.n_words, r.n_slots, r.n_changed) for r in got] == [(1, 14, 0, 0)]
