@@ -67,7 +67,31 @@ def _telling(part: Column) -> Column:
     return F.size(F.filter(F.array_distinct(part), lambda w: ~w.isin(NUM, UNIT, NAME))) >= 3
 
 
-def windows(words: Column, n: int, stride: Column | int) -> Column:
+def embedded_words(text: Column) -> Column:
+    """The different slotted words of an item as it stands alone, behind a word or a number, or behind one or two
+    capitalised words that share a name slot with its first words; what is before the item is left out again."""
+    t = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n"))
+
+    def behind(before: str, capitals: str = "") -> Column:
+        def cut(w: Column) -> Column:
+            head = NAME + capitals.replace(" ", "").lower()
+            rest = F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))
+            if not capitals:
+                return rest
+            first = F.element_at(w, 2)
+            alone = F.slice(w, 3, F.greatest(F.size(w) - 2, F.lit(0)))
+            # the slot is the item's own if it goes on
+            own = F.array(F.concat(F.lit(NAME), F.substring(first, len(head) + 1, 1 << 30)))
+            return F.when(first == head, alone).otherwise(F.concat(own, alone))
+
+        return let(slotted_words(F.concat(F.lit(f"{before} {capitals}"), t)), cut)
+
+    return F.array_distinct(
+        F.array(slotted_words(text), behind("x"), behind("x", "Aa "), behind("x", "Aa Aa "), behind("1"))
+    )
+
+
+def windows(words: Column, n: Column | int, stride: Column | int) -> Column:
     """(h, at) of each run of n template words at every `stride`; runs that tell nothing have no h."""
     step = F.lit(stride) if isinstance(stride, int) else stride
 
@@ -147,27 +171,38 @@ def leaks(
     """doc_id, rk (row key), item_id, n_words (aligned), n_slots, n_changed (slots of other value) of each leak.
 
     A leak is a run of template words that a document and an item have in common, of `least` words or the whole item
-    if that is shorter, with consistent slots. Items of fewer than `window` words, or without a run of `window` words
-    that has three words besides slots, are too short to be told and match nothing. Each run of a pair is judged by
-    itself, an inconsistent slot rejects its run; the longest consistent one is reported. Null or empty texts, no items or no documents: no rows. Null ids are kept; rows that repeat id and text
-    are one. Repeated items are reported under their smallest id. Other columns are not read.
+    if that is shorter, with consistent slots. Items without a run of `window` words (or of all, if they have fewer)
+    that has three different words besides slots are too short to be told and match nothing. Each run of a pair is
+    judged by itself, an inconsistent slot rejects its run; the longest consistent one is reported. An item counts in
+    each form that the words before it give its first words, and a name at its ends may have grown by its neighbours.
+    Null or empty texts, no items or no documents: no rows. Null ids are kept; rows that repeat id and text are one.
+    Repeated items are reported under their smallest id. Other columns are not read.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), slotted_words(F.col(item_text_col)).alias("iw"))
-    items = items.groupBy("iw").agg(F.min("item_id").alias("item_id")).where(F.size("iw") >= window)
-    items = cut_lineage(items, "items")
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.explode(embedded_words(F.col(item_text_col))).alias("iw"))
+    items = items.groupBy("iw").agg(F.min("item_id").alias("item_id")).where(F.size("iw") > 0)
+    items = cut_lineage(items.withColumn("form", F.xxhash64("iw")), "items")
     goal = F.least(F.size("iw"), F.lit(least))
-    stride = items.select(F.min(goal)).first()[0]
+    stride = items.where(F.size("iw") >= window).select(F.min(goal)).first()[0]
     stride = max(1, (stride if stride is not None else least) - window + 1)
-    ours = items.select("item_id", F.explode(windows(F.col("iw"), window, 1)).alias("x"), template("iw").alias("t"))
-    ours = ours.where(_telling(F.slice("t", F.col("x.at") + 1, window)))
-    ours = small(ours.select(F.col("x.h").alias("h"), "item_id", F.col("x.at").alias("iat")))
+    short = items.where((F.size("iw") < window) & _telling(template(F.col("iw"))))
+    short = sorted(r[0] for r in short.select(F.size("iw")).distinct().collect())
+    width = F.least(F.size("iw"), F.lit(window))
+    ours = items.select(
+        "form", width.alias("width"), F.explode(windows(F.col("iw"), width, 1)).alias("x"), template(F.col("iw")).alias("t")
+    )
+    ours = ours.where(_telling(F.slice("t", F.col("x.at") + 1, F.col("width"))))
+    ours = small(ours.select(F.col("x.h").alias("h"), "form", F.col("x.at").alias("iat")))
 
     rows = docs.select(
         F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("text")
     )
-    theirs = rows.select("id", "rk", F.explode(windows(slotted_words(F.col("text")), window, stride)).alias("x"))
+
+    def places(words: Column) -> Column:
+        return F.concat(windows(words, window, stride), *[windows(words, n, 1) for n in short])
+
+    theirs = rows.select("id", "rk", F.explode(let(slotted_words(F.col("text")), places)).alias("x"))
     theirs = theirs.select("id", "rk", F.col("x.h").alias("h"), F.col("x.at").alias("at"))
-    hits = theirs.join(ours, "h").select("id", "rk", "item_id", (F.col("at") - F.col("iat")).alias("off")).distinct()
+    hits = theirs.join(ours, "h").select("id", "rk", "form", (F.col("at") - F.col("iat")).alias("off")).distinct()
     hits = cut_lineage(hits, "hits")
     who = hits.select(F.col("id").alias("hid"), F.col("rk").alias("hrk")).distinct()
     found = rows.join(
@@ -180,12 +215,21 @@ def leaks(
     )
     # only the words opposite the item go on
     a = F.greatest(F.col("off"), F.lit(0))
-    pairs = pairs.join(items, "item_id").select(
-        "id", "rk", "item_id", F.size("iw").alias("n"),
+    pairs = pairs.join(items, "form").select(
+        "id", "rk", "item_id", F.size("iw").alias("n"), F.greatest(-F.col("off"), F.lit(0)).alias("skipped"),
         F.slice("iw", F.greatest(-F.col("off"), F.lit(0)) + 1, F.size("iw")).alias("iw"),
         F.slice("dw", a + 1, F.size("iw")).alias("dw"),
     )
     pairs = pairs.withColumn("both", F.arrays_zip(template("iw").alias("it"), template("dw").alias("dt"), "iw", "dw"))
+
+    def grown(p: Column, i: Column) -> Column:
+        name, at = F.substring(p["iw"], 2, 1 << 30), i + F.col("skipped")
+        more = ((at == 0) & p["dw"].endswith(name)) | ((at == F.col("n") - 1) & p["dw"].startswith(p["iw"]))
+        same = (p["it"] == NAME) & (p["dt"] == NAME) & more
+        return p.withField("dw", F.when(same, p["iw"]).otherwise(p["dw"]))
+
+    # a name at an end of the item that its neighbours have grown is the same name
+    pairs = pairs.withColumn("both", F.transform("both", grown))
     pairs = pairs.withColumn("r", longest_run(F.col("both")))
     pairs = pairs.where(F.col("r.best") >= F.least("n", F.lit(least)))
     run = F.slice("both", F.col("r.end") - F.col("r.best") + 1, F.col("r.best"))
@@ -195,7 +239,7 @@ def leaks(
     return (
         pairs.select(
             F.col("id").alias("doc_id"), "rk", "item_id",
-            F.struct(F.col("r.best").alias("n"), F.size("slots").alias("s"), changed.alias("c")).alias("x"),
+            F.struct(F.col("r.best").alias("n"), F.size("slots").alias("s"), (-changed).alias("c")).alias("x"),
         )
         .groupBy("doc_id", "rk", "item_id")
         .agg(F.max("x").alias("x"))
@@ -203,7 +247,7 @@ def leaks(
             "doc_id", "rk", "item_id",
             F.col("x.n").cast("long").alias("n_words"),
             F.col("x.s").cast("long").alias("n_slots"),
-            F.col("x.c").cast("long").alias("n_changed"),
+            (-F.col("x.c")).cast("long").alias("n_changed"),
         )
     )
 

@@ -381,3 +381,22 @@ def test_leaks_judge_each_run_by_itself(spark):
     rows = [(1, first.replace("4 apples", "6 apples") + " tonight " + second, "a"), (2, first.replace("4 apples", "6 apples"), "a")]
     got = decontam.leaks(make(spark, rows), items).collect()
     assert [(r.doc_id, r.n_words, r.n_slots, r.n_changed) for r in got] == [(1, 14, 0, 0)]
+
+
+def test_leaks_of_items_behind_and_before_names(spark):
+    items = [
+        (1, "What is the name of the river that runs past the mill"),
+        (2, "Alice Brown sold her red bicycle to a neighbour of Brown"),
+        (3, "in 5 of the old barns there were rats and mice"),
+        (4, "count all the rusty bolts"),
+        (5, "4 of 7"),
+    ]
+    docs = [
+        "he said {} and so on", "he asked: {} and so on", "she told Bob {} Again and so on", "she told Bob Carter {} Smith did so",
+        "it was 12 {} and so on", "it ended. {}",
+    ]
+    rows = [(10 * i + n, d.format(t), "a") for i, t in items for n, d in enumerate(docs)]
+    rows.append((99, "he will count all the rusty nails and sold her red bicycle", "a"))
+    items = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.n_changed) for r in decontam.leaks(make(spark, rows), items).collect()}
+    assert got == {10 * i + n: (i, 0) for i in (1, 2, 3, 4) for n in range(6)}
