@@ -9,7 +9,21 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import crosspolytope, decontam, licences, lines, mixing, simhash, substrings, suffixes, tokens, toxicity
+from marginalia.llm import (
+    collocations,
+    crosspolytope,
+    decontam,
+    hardneg,
+    licences,
+    lines,
+    mixing,
+    simhash,
+    substrings,
+    suffixes,
+    tokens,
+    toxicity,
+    urlrules,
+)
 from marginalia.plans.derive import t as table
 
 #: Public vocabulary of the token counts.
@@ -164,3 +178,86 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and tokens of every document."""
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.Pieces.load(PIECES))
+
+
+@query(
+    "op11_hardneg",
+    """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike,
+             list_inner_product(a.v, c.v)::BIGINT AS score
+      FROM r a JOIN r c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS nth FROM s WHERE alike),
+f AS (SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS rank
+      FROM p JOIN s n ON p.anchor_id = n.anchor_id AND NOT n.alike
+                     AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+      WHERE p.nth <= 5)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM f WHERE rank <= 3
+""",
+)
+def op11_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each anchor's positives the first negatives inside the score range."""
+    moved = F.when(F.pmod("id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hardneg.hard_negatives(table(spark, sf_dir, "embeddings"), label=moved)
+
+
+#: Rules that the url query judges by: host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query(
+    "op12_urls",
+    f"""
+WITH rules(h, p, v) AS (VALUES {", ".join(map(str, URL_RULES))}),
+x AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+y AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{urlrules.UPPER}', '{urlrules.LOWER}') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM x),
+z AS (SELECT y.*, (SELECT max_by(h || p || ' ' || v, len(h || p)) FROM rules
+                   WHERE (y.host = h OR ends_with(y.host, '.' || h)) AND starts_with(y.path, p)) AS hit FROM y)
+SELECT page_id, host, path, split_part(hit, ' ', 1) AS rule, coalesce(split_part(hit, ' ', 2), 'allow') AS verdict FROM z
+""",
+)
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's host and path, the longest rule that fits, and its verdict (allow where none fits)."""
+    rules = spark.createDataFrame(URL_RULES, urlrules.RULES)
+    judged = urlrules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+@query(
+    "op13_collocations",
+    rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{urlrules.UPPER}', '{urlrules.LOWER}') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+i AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
+g AS (SELECT lang, k AS size, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM i),
+c AS (SELECT lang, size, phrase, count(*)::BIGINT AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+x AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS ws FROM c WHERE size > 1),
+u AS (SELECT lang, unnest([array_to_string(ws[1:size - 1], ' '), array_to_string(ws[2:size], ' ')]) AS phrase, a FROM x WHERE size > 2),
+m AS (SELECT lang, phrase, max(a) AS longer FROM u GROUP BY ALL),
+k AS (SELECT x.*, unnest(range(1, size)) AS k FROM x LEFT JOIN m USING (lang, phrase)
+      WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * x.a),
+f AS (SELECT k.lang, k.phrase, k.a, k.k, l.a AS l, r.a AS r, ((2000000::HUGEINT * k.a) // (l.a::HUGEINT + r.a))::BIGINT AS score
+      FROM k JOIN c l ON l.lang = k.lang AND l.phrase = array_to_string(ws[1:k.k], ' ')
+             JOIN c r ON r.lang = k.lang AND r.phrase = array_to_string(ws[k.k + 1:k.size], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE nth = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN t USING (lang) WHERE rank <= 2000
+""",
+)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
