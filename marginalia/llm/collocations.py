@@ -32,8 +32,9 @@ GAP = BREAK.copy()
 GAP[[0x20, 0x09]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
-#: Texts are counted in runs of about so many bytes.
-RUN = 8 << 20
+#: Texts are counted in runs of about so many bytes, and results leave a task in batches of so many rows.
+RUN = 4 << 20
+BATCH = 8192
 #: A prefix with more than this share of all places is cut into parts.
 HOT = 1000
 STRIPES = "lang string, prefix string, part int, size int, nexts array<string>, counts array<bigint>, keys array<bigint>"
@@ -110,7 +111,7 @@ def key_filter(found: DataFrame, bits: int) -> bytes:
     return out.tobytes()
 
 
-def stripes_of(w: Words, prefix: np.ndarray, first: np.ndarray, words: int, nexts: np.ndarray, names: pa.Array, keys: np.ndarray, hot: dict[int, int]) -> pa.RecordBatch:
+def stripes_of(w: Words, prefix: np.ndarray, first: np.ndarray, words: int, nexts: np.ndarray, names: pa.Array, keys: np.ndarray, hot: dict[int, int]) -> Iterator[pa.RecordBatch]:
     """One row a prefix (and part): `prefix` numbers the prefix of each place, `first` names its first word, `nexts` the next words.
 
     names and keys: by prefix number.
@@ -128,7 +129,7 @@ def stripes_of(w: Words, prefix: np.ndarray, first: np.ndarray, words: int, next
     new[1:] = (p[1:] != p[:-1]) | (part[1:] != part[:-1])
     row = np.flatnonzero(new)
     offsets = pa.array(np.append(row, len(p)).astype(np.int32))
-    return pa.RecordBatch.from_arrays(
+    whole = pa.RecordBatch.from_arrays(
         [
             w.langs.take(pa.array(first[at[row]])),
             names.take(pa.array(p[row])),
@@ -140,6 +141,12 @@ def stripes_of(w: Words, prefix: np.ndarray, first: np.ndarray, words: int, next
         ],
         ["lang", "prefix", "part", "size", "nexts", "counts", "keys"],
     )
+    yield from cut_batch(whole)
+
+
+def cut_batch(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, whole.num_rows, BATCH):
+        yield whole.slice(at, BATCH)
 
 
 def merged(stripes: DataFrame) -> DataFrame:
@@ -172,7 +179,8 @@ def phrase_counts(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w in runs(batches):
             n = np.bincount(w.ids, minlength=len(w.key)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([w.langs, w.words, pa.array(w.key.view(np.int64)), pa.array(n)], ["lang", "phrase", "key", "a"])
+            whole = [w.langs, w.words, pa.array(w.key.view(np.int64)), pa.array(n)]
+            yield from cut_batch(pa.RecordBatch.from_arrays(whole, ["lang", "phrase", "key", "a"]))
 
     one = rows.mapInArrow(count, "lang string, phrase string, key bigint, a bigint")
     one = cut_lineage(one.groupBy("lang", "phrase").agg(F.first("key").alias("key"), F.sum("a").alias("a")), "words")
@@ -186,7 +194,7 @@ def phrase_counts(
             ok = passes(w.key, known.value)[w.ids]
             at = np.flatnonzero(w.joined[:-1] & ok[:-1] & ok[1:])
             a, b = w.ids[at], w.ids[at + 1]
-            yield stripes_of(w, a, a, 1, b, w.words, w.key, hot)
+            yield from stripes_of(w, a, a, 1, b, w.words, w.key, hot)
 
     two = cut_lineage(merged(rows.mapInArrow(twos, STRIPES)).where(F.col("a") >= least), "pairs")
     pairs, hot2 = sc.broadcast(key_filter(two, filter_bits)), hot_prefixes(two, total)
@@ -205,12 +213,12 @@ def phrase_counts(
             keys = join_keys(w.key[code // v], w.key[code % v])
             names = pc.binary_join_element_wise(w.words.take(pa.array(code // v)), w.words.take(pa.array(code % v)), " ")
             three = at[pair[at + 1] >= 0]
-            yield stripes_of(w, pair[three], w.ids[three], 2, w.ids[three + 2], names, keys, hot2)
+            yield from stripes_of(w, pair[three], w.ids[three], 2, w.ids[three + 2], names, keys, hot2)
             four = three[pair[three + 2] >= 0]
             code, triple = np.unique(pair[four] * v + w.ids[four + 2], return_inverse=True)
             keys = join_keys(keys[code // v], w.key[code % v])
             names = pc.binary_join_element_wise(names.take(pa.array(code // v)), w.words.take(pa.array(code % v)), " ")
-            yield stripes_of(w, triple, w.ids[four], 3, w.ids[four + 3], names, keys, hot2)
+            yield from stripes_of(w, triple, w.ids[four], 3, w.ids[four + 3], names, keys, hot2)
 
     longer = merged(rows.mapInArrow(more, STRIPES)).where(F.col("a") >= least)
     cols = ["lang", "phrase", "size", "a"]

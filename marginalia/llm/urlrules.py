@@ -134,14 +134,15 @@ def _by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
         F.concat("host", "path").alias("rule"),
         "verdict",
     )
+    # no host suffix of more labels and no cut of more segments than the rules have can fit
+    deep = keyed.agg(F.max(F.size(F.split("_h", r"\."))), F.max(F.size(F.split("_p", "/")))).first()
     one = urls.select("host", "path").distinct()
     labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
+    from_ = F.greatest(F.lit(1), F.size(labels) - deep[0] + 1)
+    suffixes = F.transform(F.sequence(from_, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = F.split("path", "/")
     cuts = F.transform(
-        F.sequence(F.lit(0), F.size(parts) - 1),
+        F.sequence(F.lit(0), F.least(F.size(parts), F.lit(deep[1])) - 1),
         lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.when(i > 0, "/").otherwise("")),
     )
     at = one.select("host", "path", F.explode(suffixes).alias("_h"), cuts.alias("_cuts"))
