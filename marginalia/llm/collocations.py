@@ -33,11 +33,12 @@ GAP[[0x20, 0x09]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 #: Texts are counted in runs of about so many bytes, and results leave a task in batches of so many rows.
-RUN = 4 << 20
+RUN = 2 << 20
 BATCH = 8192
 #: A prefix with more than this share of all places is cut into parts.
 HOT = 1000
-STRIPES = "lang string, prefix string, part int, size int, nexts array<string>, counts array<bigint>, keys array<bigint>"
+#: A stripe as it moves: the next words joined by spaces, and their counts.
+STRIPES = "lang string, prefix string, part int, nexts string, counts array<int>"
 
 
 def join_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,8 +112,8 @@ def key_filter(found: DataFrame, bits: int) -> bytes:
     return out.tobytes()
 
 
-def stripes_of(w: Words, prefix: np.ndarray, first: np.ndarray, words: int, nexts: np.ndarray, names: pa.Array, keys: np.ndarray, hot: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """One row a prefix (and part): `prefix` numbers the prefix of each place, `first` names its first word, `nexts` the next words.
+def stripes_of(w: Words, prefix: np.ndarray, first: np.ndarray, nexts: np.ndarray, names: pa.Array, keys: np.ndarray, hot: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """One row a prefix (and part): `prefix` numbers the prefix of each place, `first` its first word, `nexts` the next words.
 
     names and keys: by prefix number.
     """
@@ -134,12 +135,10 @@ def stripes_of(w: Words, prefix: np.ndarray, first: np.ndarray, words: int, next
             w.langs.take(pa.array(first[at[row]])),
             names.take(pa.array(p[row])),
             pa.array(part[row]),
-            pa.array(np.full(len(row), words, np.int32)),
-            pa.ListArray.from_arrays(offsets, w.words.take(pa.array(n))),
-            pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int64))),
-            pa.ListArray.from_arrays(offsets, pa.array(join_keys(keys[p], w.key[n]).view(np.int64))),
+            pc.binary_join(pa.ListArray.from_arrays(offsets, w.words.take(pa.array(n))), " "),
+            pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32))),
         ],
-        ["lang", "prefix", "part", "size", "nexts", "counts", "keys"],
+        ["lang", "prefix", "part", "nexts", "counts"],
     )
     yield from cut_batch(whole)
 
@@ -150,16 +149,39 @@ def cut_batch(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def merged(stripes: DataFrame) -> DataFrame:
-    """Stripes of all tasks merged element by element: lang, phrase, prefix, size (words of the phrase), key, a.
+    """Stripes of all tasks merged element by element: lang, phrase, size (words of the phrase), a.
 
     Prefixes meet in one exchange; the elements of a prefix are then summed where they are.
     """
     at = stripes.repartition("lang", "prefix", "part")
-    at = at.select("lang", "prefix", "part", "size", F.explode(F.arrays_zip("nexts", "counts", "keys")).alias("x"))
-    at = at.groupBy("lang", "prefix", "part", F.col("x.nexts").alias("next")).agg(
-        F.sum("x.counts").alias("a"), F.first("x.keys").alias("key"), F.first("size").alias("size")
-    )
-    return at.select("lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), "key", (F.col("size") + 1).alias("size"), "a")
+    zipped = F.arrays_zip(F.split("nexts", " ").alias("next"), F.col("counts").alias("count"))
+    at = at.select("lang", "prefix", "part", F.explode(zipped).alias("x"))
+    at = at.groupBy("lang", "prefix", "part", F.col("x.next").alias("next")).agg(F.sum(F.col("x.count").cast("bigint")).alias("a"))
+    return at.select("lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), (F.size(F.split("prefix", " ")) + 1).alias("size"), "a")
+
+
+def with_keys(found: DataFrame) -> DataFrame:
+    """(lang, phrase, size, a) with the key that the passes give to the phrase."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seeds = b.column("seed").to_numpy().view(U)
+            keys = np.zeros(b.num_rows, U)
+            for row, buf, off in pieces(b.column("phrase"), RUN):
+                start, end, first = word_spans(buf, off, GAP)
+                word = word_hashes(buf, start, end, FOLD)
+                here, many = np.arange(row, row + len(off) - 1), np.diff(first)
+                for k in range(int(many.max(initial=0))):
+                    on = many > k
+                    key = mix(word[first[:-1][on] + k] ^ seeds[here[on]])
+                    keys[here[on]] = join_keys(keys[here[on]], key) if k else key
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in ("lang", "phrase", "size", "a")), pa.array(keys.view(np.int64))],
+                ["lang", "phrase", "size", "a", "key"],
+            )
+
+    rows = found.select("lang", "phrase", "size", "a", F.xxhash64("lang").alias("seed"))
+    return rows.mapInArrow(run, "lang string, phrase string, size int, a bigint, key bigint")
 
 
 def hot_prefixes(found: DataFrame, total: int) -> dict[int, int]:
@@ -179,14 +201,13 @@ def phrase_counts(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w in runs(batches):
             n = np.bincount(w.ids, minlength=len(w.key)).astype(np.int64)
-            whole = [w.langs, w.words, pa.array(w.key.view(np.int64)), pa.array(n)]
-            yield from cut_batch(pa.RecordBatch.from_arrays(whole, ["lang", "phrase", "key", "a"]))
+            yield from cut_batch(pa.RecordBatch.from_arrays([w.langs, w.words, pa.array(n)], ["lang", "phrase", "a"]))
 
-    one = rows.mapInArrow(count, "lang string, phrase string, key bigint, a bigint")
-    one = cut_lineage(one.groupBy("lang", "phrase").agg(F.first("key").alias("key"), F.sum("a").alias("a")), "words")
+    one = rows.mapInArrow(count, "lang string, phrase string, a bigint")
+    one = cut_lineage(one.groupBy("lang", "phrase").agg(F.sum("a").alias("a")), "words")
     totals = one.groupBy("lang").agg(F.sum("a").alias("n"))
     total = one.agg(F.sum("a")).first()[0] or 0
-    one = one.where(F.col("a") >= least).withColumn("size", F.lit(1))
+    one = cut_lineage(with_keys(one.where(F.col("a") >= least).withColumn("size", F.lit(1))), "frequent-words")
     known, hot = sc.broadcast(key_filter(one, filter_bits)), hot_prefixes(one, total)
 
     def twos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,9 +215,9 @@ def phrase_counts(
             ok = passes(w.key, known.value)[w.ids]
             at = np.flatnonzero(w.joined[:-1] & ok[:-1] & ok[1:])
             a, b = w.ids[at], w.ids[at + 1]
-            yield from stripes_of(w, a, a, 1, b, w.words, w.key, hot)
+            yield from stripes_of(w, a, a, b, w.words, w.key, hot)
 
-    two = cut_lineage(merged(rows.mapInArrow(twos, STRIPES)).where(F.col("a") >= least), "pairs")
+    two = cut_lineage(with_keys(merged(rows.mapInArrow(twos, STRIPES)).where(F.col("a") >= least)), "pairs")
     pairs, hot2 = sc.broadcast(key_filter(two, filter_bits)), hot_prefixes(two, total)
 
     def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,12 +234,12 @@ def phrase_counts(
             keys = join_keys(w.key[code // v], w.key[code % v])
             names = pc.binary_join_element_wise(w.words.take(pa.array(code // v)), w.words.take(pa.array(code % v)), " ")
             three = at[pair[at + 1] >= 0]
-            yield from stripes_of(w, pair[three], w.ids[three], 2, w.ids[three + 2], names, keys, hot2)
+            yield from stripes_of(w, pair[three], w.ids[three], w.ids[three + 2], names, keys, hot2)
             four = three[pair[three + 2] >= 0]
             code, triple = np.unique(pair[four] * v + w.ids[four + 2], return_inverse=True)
             keys = join_keys(keys[code // v], w.key[code % v])
             names = pc.binary_join_element_wise(names.take(pa.array(code // v)), w.words.take(pa.array(code % v)), " ")
-            yield from stripes_of(w, triple, w.ids[four], 3, w.ids[four + 3], names, keys, hot2)
+            yield from stripes_of(w, triple, w.ids[four], w.ids[four + 3], names, keys, hot2)
 
     longer = merged(rows.mapInArrow(more, STRIPES)).where(F.col("a") >= least)
     cols = ["lang", "phrase", "size", "a"]

@@ -192,7 +192,7 @@ def prose():
     return rows
 
 
-@pytest.mark.parametrize("run", [300, 4 << 20])
+@pytest.mark.parametrize("run", [300, 2 << 20])
 def test_collocations(spark, prose, run, monkeypatch):
     monkeypatch.setattr(collocations, "RUN", run)
     docs = spark.createDataFrame([(l_, t, "x", 1) for l_, t in prose], "lang string, text string, phrase string, a long").repartition(4)
