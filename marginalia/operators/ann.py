@@ -1,98 +1,205 @@
-"""Approximate nearest neighbours over an inverted-file index."""
+"""Approximate nearest neighbours over an inverted file with two-level cells.
+
+Centroids are fitted on a bounded sample of rows: coarse ones first, then the fine ones of each coarse cell. A row finds
+its cell through the coarse level, so it is compared with a number of centroids that grows with the square root of
+their number only. How many cells a question probes is fitted to a stated recall on sample questions against exact
+search; where only all cells reach it, all cells are searched.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import fixed_values as fv
 from marginalia.functions.stats import top_k
-from marginalia.operators.retrieval import _PART, ROW_BLOCK, _block_best, _matrix, _unit
+from marginalia.operators.retrieval import _PART, ROW_BLOCK, _block_best, _matrix, _unit, dense_topk
+from marginalia.session import cut_lineage
 
 #: Questions of one cell that a task compares at once.
 QUESTION_BLOCK = 4_096
-
-
-def build_index(vectors: DataFrame, cells: int | None = None, seed: int = 7, iterations: int = 5) -> tuple[DataFrame, np.ndarray]:
-    """(rows with their cell, centroids). Rows of the index can be written partitioned by ``cell``.
-
-    Cells grow with the square root of the rows, so their size does too; centroids are what a query needs to pick cells.
+#: Most rows that centroids are fitted on, and rows of the sample a centroid.
+SAMPLE = 1 << 18
+PER_CELL = 16
+#: Coarse cells in which a row looks for its fine one.
+WIDE = 4
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Fine centroids in the order of their coarse cells: those of coarse cell g are start[g]..start[g + 1]."""
+
+    coarse: np.ndarray
+    fine: np.ndarray
+    start: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.fine)
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """The fine cell of each row, looked for in the `WIDE` nearest coarse cells."""
+        best, cell = np.full(len(x), -np.inf), np.zeros(len(x), np.int32)
+        sims = x @ self.coarse.T
+        wide = min(WIDE, sims.shape[1])
+        near = np.argpartition(-sims, wide - 1, axis=1)[:, :wide]
+        for g in np.unique(near):
+            rows = np.flatnonzero((near == g).any(axis=1))
+            s = x[rows] @ self.fine[self.start[g] : self.start[g + 1]].T
+            at = s.argmax(axis=1)
+            value = s[np.arange(len(rows)), at]
+            better = value > best[rows]
+            best[rows[better]], cell[rows[better]] = value[better], self.start[g] + at[better]
+        return cell
+
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """All fine cells of each question, nearest first."""
+        return np.argsort(-(q @ self.fine.T), axis=1, kind="stable").astype(np.int32)
+
+
+def _lloyd(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means on unit rows; a centroid that loses all rows stays where it was."""
+    if len(x) <= k:
+        return x.copy()
+    c = x[rng.choice(len(x), k, replace=False)]
+    for _ in range(rounds):
+        own = np.concatenate([(x[i : i + 8192] @ c.T).argmax(axis=1) for i in range(0, len(x), 8192)])
+        total = np.zeros_like(c)
+        np.add.at(total, own, x)
+        has = np.bincount(own, minlength=len(c)) > 0
+        c[has] = _unit(total[has])
+    return c
+
+
+def fit_cells(sample: np.ndarray, cells: int, seed: int = 7) -> Cells:
+    rng = np.random.default_rng(seed)
+    coarse = _lloyd(sample, max(1, int(np.ceil(np.sqrt(cells)))), rng)
+    own = np.concatenate([(sample[i : i + 8192] @ coarse.T).argmax(axis=1) for i in range(0, len(sample), 8192)])
+    fine, start = [], [0]
+    for g in range(len(coarse)):
+        mine = sample[own == g]
+        k = max(1, round(cells * len(mine) / len(sample)))
+        fine.append(_lloyd(mine, k, rng) if len(mine) else coarse[g : g + 1])
+        start.append(start[-1] + len(fine[-1]))
+    return Cells(coarse, np.concatenate(fine), np.array(start))
+
+
+def build_index(vectors: DataFrame, cells: int | None = None, seed: int = 7, path: str | None = None) -> tuple[DataFrame, Cells]:
+    """(rows (id, embedding, cell), cells). With `path` the rows are written there, a folder a cell range, and read back.
+
+    Half the square root of the rows is the number of cells, at most SAMPLE / PER_CELL; larger cells are searched in parts.
+    The sample has PER_CELL rows a cell, drawn by a hash of the id.
     """
-    vectors = vectors.filter(F.col("embedding").isNotNull())
+    vectors = vectors.select(F.col("id").cast("long").alias("id"), "embedding").filter(F.col("embedding").isNotNull())
     n = vectors.count()
-    cells = cells or max(1, int(n**0.5) // 2)
-    unit = vectors.select(array_to_vector("embedding").alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=iterations, distanceMeasure="cosine").fit(unit)
-    centers = _unit(np.asarray(model.clusterCenters(), dtype=np.float64))
-    return assign_cells(vectors, centers, 1), centers
+    cells = min(cells or max(1, int(n**0.5) // 2), SAMPLE // PER_CELL)
+    size = max(cells * PER_CELL, min(n, 4096))
+    drawn = vectors.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(size).select("embedding").toArrow()
+    if not len(drawn):
+        return vectors.withColumn("cell", F.lit(0)), Cells(np.zeros((1, 1)), np.zeros((1, 1)), np.array([0, 1]))
+    flat = drawn["embedding"].combine_chunks()
+    found = fit_cells(_unit(flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)), cells, seed)
+    rows = assign(vectors, found)
+    if path:
+        rows.repartitionByRange("cell", "id").sortWithinPartitions("cell").write.parquet(path)
+        rows = vectors.sparkSession.read.parquet(path)
+    return rows, found
+
+
+def assign(df: DataFrame, cells: Cells) -> DataFrame:
+    """Each row with its cell."""
+    shared = df.sparkSession.sparkContext.broadcast(cells)  # at most SAMPLE / PER_CELL centroids
+
+    @F.pandas_udf("int")
+    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for v in batches:
+            yield pd.Series(shared.value.nearest(_matrix(v)) if len(v) else [], dtype="int32")
+
+    return df.withColumn("cell", nearest("embedding"))
 
 
-def assign_cells(df: DataFrame, centers: np.ndarray, probes: int) -> DataFrame:
-    """Each row once per nearest cell (``probes`` of them)."""
-    shared = df.sparkSession.sparkContext.broadcast(centers)
+def probe(queries: DataFrame, cells: Cells, probes: int) -> DataFrame:
+    """Each question once per cell that it probes."""
+    shared = queries.sparkSession.sparkContext.broadcast(cells)
 
     @F.pandas_udf("array<int>")
-    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = shared.value
+    def first(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for v in batches:
-            if not len(v):
-                yield pd.Series([], dtype=object)
-                continue
-            sims = _matrix(v) @ c.T
-            yield pd.Series(list(np.argsort(-sims, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+            yield pd.Series(list(shared.value.order(_matrix(v))[:, :probes]) if len(v) else [], dtype=object)
 
-    return df.withColumn("cell", F.explode(nearest("embedding")))
+    return queries.withColumn("cell", F.explode(first("embedding")))
 
 
-def ann_topk(
-    index: DataFrame, centers: np.ndarray, queries: DataFrame, k: int = fv.PER_LIST, probes: int = 8
-) -> DataFrame:
-    """(query_id, id, similarity, rank) from the ``probes`` nearest cells of each question.
+def fit_probes(index: DataFrame, cells: Cells, queries: DataFrame, k: int, recall: float = 0.97, sample: int = 256) -> int:
+    """The number of probed cells at which `recall` of the true k nearest of a sample of questions are found.
 
-    A cell is cut into parts of about ROW_BLOCK rows by its counted size, so a cell that holds a third
-    of all rows is many groups; queries are copied to every part of their cells and a part yields k
-    rows per query.
+    The nearest rows come from exact search; at most `sample` questions, so sample * k rows reach the driver. All cells
+    reach any recall.
+    """
+    some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(sample).select("query_id", "embedding")
+    some = cut_lineage(some, "sample-questions")
+    true = dense_topk(index.select("id", "embedding"), some, k).select("query_id", "id")
+    true = true.join(index.select("id", "cell"), "id").select("query_id", "cell").toPandas()
+    if not len(true):
+        return 1
+    asked = some.toPandas()
+    order = cells.order(_matrix(asked["embedding"]))
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1], dtype=np.int32)[None, :].repeat(len(order), 0), axis=1)
+    row = dict(zip(asked["query_id"], range(len(asked))))
+    need = np.sort(place[[row[q] for q in true["query_id"]], true["cell"].to_numpy()])
+    return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)]) + 1
+
+
+def ann_topk(index: DataFrame, cells: Cells, queries: DataFrame, k: int = fv.PER_LIST, probes: int | None = None, recall: float = 0.97) -> DataFrame:
+    """(query_id, id, similarity, rank) from the probed cells of each question; probes are fitted to `recall` if not given.
+
+    A cell is cut into parts of about ROW_BLOCK rows by its counted size, so a cell that holds a third of all rows is many
+    groups; questions are copied to every part of their cells and a part yields k rows per question. The tables of parts
+    and blocks have a row a cell, at most SAMPLE / PER_CELL.
     """
-    probes = min(probes, len(centers))
+    if probes is None:
+        probes = fit_probes(index, cells, queries, k, recall)
+    probes = min(probes, len(cells))
     parts = index.groupBy("cell").agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("parts"))
-    rows = index.join(F.broadcast(parts), "cell").withColumn(  # one row per cell, fewer than the centroids
-        "part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    )
-    asked = assign_cells(queries.select("query_id", "embedding"), centers, probes)
+    asked = probe(queries.select("query_id", "embedding"), cells, probes)
     # many questions on one cell are cut as well, by their number
     blocks = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUESTION_BLOCK).cast("int").alias("blocks"))
+    grid = cut_lineage(parts.join(blocks, "cell"), "grid")  # cells that no question asks for go no further
+    rows = index.join(F.broadcast(grid), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asked = (
-        asked.join(F.broadcast(parts), "cell")
+        asked.join(F.broadcast(grid), "cell")
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .join(F.broadcast(blocks), "cell")
         .withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
     )
-    rows = rows.join(F.broadcast(blocks), "cell")  # cells that no question asks for go no further
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
-    def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+    def run(q: pa.Table, v: pa.Table) -> pa.Table:
         if not len(q) or not len(v):
-            return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-        return _block_best(
-            q["query_id"].to_numpy(), _matrix(q["asked"]), v["id"].to_numpy(), _matrix(v["embedding"]), k
-        )
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        best = _block_best(q["query_id"].to_numpy(), _rows(q["asked"]), v["id"].to_numpy(), _rows(v["embedding"]), k)
+        return pa.Table.from_pandas(best, preserve_index=False)
 
     keys = ["cell", "part", "block"]
     found = (
         asked.select(*[F.col(c).alias(f"q_{c}") for c in keys], "query_id", F.col("embedding").alias("asked"))
         .groupBy(*[f"q_{c}" for c in keys])
         .cogroup(rows.select(*keys, "id", "embedding").groupBy(*keys))
-        .applyInPandas(run, _PART)
+        .applyInArrow(run, _PART)
     )
     return top_k(found, ["query_id"], [F.desc("similarity"), F.asc("id")], k, spread="id")
 
 
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return _unit(flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1))
+
+
 def ann_recall(approx: DataFrame, exact: DataFrame, k: int = 10) -> DataFrame:
     """Share of the exact k nearest that the approximate k nearest contain, over all questions."""
     e = exact.filter(F.col("rank") <= k).select("query_id", "id")
@@ -100,3 +207,18 @@ def ann_recall(approx: DataFrame, exact: DataFrame, k: int = 10) -> DataFrame:
     return e.join(a, ["query_id", "id"], "left").agg(
         F.countDistinct("query_id").alias("questions"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall")
     )
+
+
+def save_cells(spark: SparkSession, cells: Cells, path: str) -> None:
+    """Centroids as a table: level, nth, and for fine ones their coarse cell."""
+    own = np.repeat(np.arange(len(cells.coarse)), np.diff(cells.start))
+    rows = [(0, i, i, c.tolist()) for i, c in enumerate(cells.coarse)] + [(1, i, int(g), c.tolist()) for i, (g, c) in enumerate(zip(own, cells.fine))]
+    spark.createDataFrame(rows, "level int, nth int, coarse int, center array<double>").write.parquet(path)
+
+
+def load_cells(spark: SparkSession, path: str) -> Cells:
+    rows = spark.read.parquet(path).orderBy("level", "nth").collect()  # centroids: a bounded table
+    coarse = np.array([r["center"] for r in rows if r["level"] == 0])
+    fine = [r for r in rows if r["level"] == 1]
+    own = np.array([r["coarse"] for r in fine])
+    return Cells(coarse, np.array([r["center"] for r in fine]), np.searchsorted(own, np.arange(len(coarse) + 1)))

@@ -182,12 +182,42 @@ def lexical_match(chunks: DataFrame, questions: DataFrame, salts: int = 16) -> D
     )
 
 
+def cover_sum(hits: Column, need: Column) -> Column:
+    """Sum of 0.1 / (1 + noise) over the minimal covers of ``need`` (terms) among ``hits``: (pos, which), in order of
+    pos, where which counts the terms of ``need`` from 1. One pass keeps the last position of every term; a cover
+    ends where the earliest of those moves on.
+    """
+    none = F.transform(need, lambda t: F.struct(F.lit(-1).alias("pos"), F.lit(-1).alias("nth")))
+    start = F.struct(
+        F.lit(0).alias("nth"), none.alias("last"), F.lit(-1).alias("left"), F.lit(0.0).alias("rank")
+    )
+
+    def step(a, h):
+        last = F.transform(
+            a["last"],
+            lambda x, i: F.when(i + 1 == h["which"], F.struct(h["pos"].alias("pos"), a["nth"].alias("nth"))).otherwise(x),
+        )
+
+        def build(new_last, left):
+            is_cover = (left["pos"] >= 0) & (left["pos"] > a["left"])
+            noise = (h["pos"] - left["pos"]) - (a["nth"] - left["nth"])
+            return F.struct(
+                (a["nth"] + 1).alias("nth"),
+                new_last.alias("last"),
+                F.when(is_cover, left["pos"]).otherwise(a["left"]).alias("left"),
+                F.when(is_cover, a["rank"] + F.lit(0.1) / (F.lit(1) + noise)).otherwise(a["rank"]).alias("rank"),
+            )
+
+        return tx.let(last, lambda x: tx.let(F.array_min(x), lambda left: build(x, left)))
+
+    return F.aggregate(hits, start, step, lambda a: a["rank"])
+
+
 def cover_density(terms: Column, groups: Column) -> Column:
     """Sum over minimal covers of 0.1 / (1 + noise), as in cover-density ranking.
 
     ``groups`` are the satisfied alternatives; a cover must hold all positive terms of one of them, so
-    the rank of several alternatives adds the covers of each. One pass per alternative keeps the last
-    position of every term; a cover ends where the earliest of those moves on.
+    the rank of several alternatives adds the covers of each.
     """
 
     def one(group: Column) -> Column:
@@ -203,30 +233,7 @@ def cover_density(terms: Column, groups: Column) -> Column:
             ),
             lambda h: h["which"] > 0,
         )
-        none = F.transform(need, lambda t: F.struct(F.lit(-1).alias("pos"), F.lit(-1).alias("nth")))
-        start = F.struct(
-            F.lit(0).alias("nth"), none.alias("last"), F.lit(-1).alias("left"), F.lit(0.0).alias("rank")
-        )
-
-        def step(a, h):
-            last = F.transform(
-                a["last"],
-                lambda x, i: F.when(i + 1 == h["which"], F.struct(h["pos"].alias("pos"), a["nth"].alias("nth"))).otherwise(x),
-            )
-
-            def build(new_last, left):
-                is_cover = (left["pos"] >= 0) & (left["pos"] > a["left"])
-                noise = (h["pos"] - left["pos"]) - (a["nth"] - left["nth"])
-                return F.struct(
-                    (a["nth"] + 1).alias("nth"),
-                    new_last.alias("last"),
-                    F.when(is_cover, left["pos"]).otherwise(a["left"]).alias("left"),
-                    F.when(is_cover, a["rank"] + F.lit(0.1) / (F.lit(1) + noise)).otherwise(a["rank"]).alias("rank"),
-                )
-
-            return tx.let(last, lambda x: tx.let(F.array_min(x), lambda left: build(x, left)))
-
-        return F.aggregate(hits, start, step, lambda a: a["rank"])
+        return cover_sum(hits, need)
 
     return F.aggregate(F.transform(groups, one), F.lit(0.0), lambda s, x: s + x)
 

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import fixed_values as fv
-from marginalia.operators import assembly, chunking, embedding, lexical, maintenance, markup, retrieval
-from marginalia.session import cut_lineage
+from marginalia.operators import ann, assembly, chunking, embedding, inverted, maintenance, markup, retrieval
+from marginalia.session import cut_lineage, work_path
 from marginalia.sources.readers import scan_corpus
 
 
@@ -53,6 +53,44 @@ class Retrieved:
     prompts: DataFrame
 
 
+@dataclass
+class Search:
+    """Stored indexes of a chunk table: postings with vectors, and the vectors by cell."""
+
+    postings: inverted.SearchIndex
+    rows: DataFrame
+    cells: ann.Cells
+
+
+def index_chunks(chunks: DataFrame, path: str, buckets: int = inverted.BUCKETS) -> Search:
+    """Indexes of chunks (id, text, embedding) in the new folder ``path``."""
+    postings = inverted.build(chunks.select("id", "text", "embedding"), f"{path}/postings", buckets)
+    rows, cells = ann.build_index(inverted.vectors(chunks.sparkSession, postings), path=f"{path}/cells")
+    ann.save_cells(chunks.sparkSession, cells, f"{path}/centers")
+    return Search(postings, rows, cells)
+
+
+def open_search(spark: SparkSession, path: str) -> Search:
+    """Indexes that an earlier job stored."""
+    return Search(
+        inverted.open_index(spark, f"{path}/postings"), spark.read.parquet(f"{path}/cells"), ann.load_cells(spark, f"{path}/centers")
+    )
+
+
+def update_search(search: Search, added: DataFrame, removed: DataFrame, path: str) -> Search:
+    """Chunks ``removed`` (id) taken out of and ``added`` (id, text, embedding) put into the indexes.
+
+    Postings get a generation; the vectors by cell are written anew to the new folder ``path`` with the cells they have.
+    """
+    spark = added.sparkSession
+    postings = inverted.update(search.postings, added.select("id", "text", "embedding"), removed)
+    fresh = ann.assign(added.select("id", "embedding").where("embedding is not null"), search.cells)
+    rows = search.rows.join(removed.select("id"), "id", "left_anti").select("id", "embedding", "cell").unionByName(fresh)
+    rows.repartitionByRange("cell", "id").sortWithinPartitions("cell").write.parquet(f"{path}/cells")
+    ann.save_cells(spark, search.cells, f"{path}/centers")
+    return Search(postings, spark.read.parquet(f"{path}/cells"), search.cells)
+
+
 def answer_questions(
     chunks: DataFrame,
     questions: DataFrame,
@@ -60,20 +98,28 @@ def answer_questions(
     mode: str = "hybrid",
     top_n: int = fv.TOP_N,
     top_k: int = fv.TOP_K,
+    search: Search | None = None,
+    recall: float = 0.97,
 ) -> Retrieved:
     """Questions (query_id, question) over chunks with embeddings to cited prompts.
 
-    The legs carry ids only; texts come in for the fused rows.
+    ``search`` holds the stored indexes of the chunks; without it they are built first, in the shared folder. Modes:
+    ``hybrid`` (exact dense search and lexical search, fused), ``approximate`` (the same with probed cells in place of exact
+    search, probes fitted to ``recall``), ``dense``. The legs carry ids only; texts come in for the fused rows.
     """
-    q = questions.withColumn("embedding", embed(F.col("question")))
-    vectors = chunks.select("id", "embedding")
+    spark = chunks.sparkSession
+    q = cut_lineage(questions.withColumn("embedding", embed(F.col("question"))), "asked")
+    if search is None and mode != "dense":
+        search = index_chunks(chunks, work_path(spark, "search"))
+    vectors = inverted.vectors(spark, search.postings) if search else chunks.select("id", "embedding")
     if mode == "dense":
         fused = retrieval.dense_only(vectors, q, top_n).withColumn("position", F.col("dense_rank"))
     else:
-        terms = cut_lineage(lexical.with_terms(chunks.select("id", "text")).select("id", "terms"), "terms")
-        fused = retrieval.rrf_hybrid(
-            retrieval.dense_topk(vectors, q), lexical.lexical_topk(terms, questions), top_n=top_n
-        )
+        if mode == "approximate":
+            dense = ann.ann_topk(search.rows, search.cells, q, recall=recall)
+        else:
+            dense = retrieval.dense_topk(vectors, q)
+        fused = retrieval.rrf_hybrid(dense, inverted.topk(search.postings, questions), top_n=top_n)
     rows = retrieval.retrieve(fused, chunks, ["heading_path", "text", "content_hash"])
     rows = cut_lineage(rows.join(questions, "query_id"), "fused")
     reranked = retrieval.rerank_jaccard(rows, top_k)

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from marginalia.functions import fixed_values as fv
 from marginalia.functions import text as tx
 from marginalia.functions import vectors as vx
-from marginalia.operators import ann, assembly, embedding, lexical, maintenance, retrieval
+from marginalia.operators import ann, assembly, embedding, inverted, lexical, maintenance, retrieval
 from marginalia.plans import derive as dv
 from marginalia.plans.registry import query
-from marginalia.session import cut_lineage
+from marginalia.session import cut_lineage, work_path
 
 # ---- embeddings -------------------------------------------------------------------
 
@@ -118,14 +118,34 @@ def dense_only(spark, sf):
     return retrieval.dense_only(_vectors(spark, sf), _self_queries(spark, sf)).withColumn("score", F.round("score", 6))
 
 
-@query("ann_topk")
-def ann_topk(spark, sf):
+def _ann(spark, sf):
+    """Rows with their cells, and the cells, stored and read back."""
+    return ann.build_index(_vectors(spark, sf), path=work_path(spark, "cells"))
+
+
+@query("ann_recall")
+def ann_recall(spark, sf):
     """Recall@10 of the inverted-file search against exact search, over all vectors as questions."""
-    vectors, queries = _vectors(spark, sf), _self_queries(spark, sf)
-    index, centers = ann.build_index(vectors)
-    return ann.ann_recall(
-        ann.ann_topk(index, centers, queries, k=10), retrieval.dense_topk(vectors, queries, k=10), k=10
-    )
+    queries = _self_queries(spark, sf)
+    found = ann.ann_topk(*_ann(spark, sf), queries, k=10)
+    return ann.ann_recall(found, retrieval.dense_topk(_vectors(spark, sf), queries, k=10), k=10)
+
+
+@query("ann_topk", "SELECT count(*) AS questions, 10 AS k, true AS recall_reached FROM embeddings")
+def ann_topk(spark, sf):
+    """Whether the probed cells hold 0.95 of the ten nearest rows of every vector."""
+    return ann_recall(spark, sf).select("questions", F.lit(10).alias("k"), (F.col("recall") >= 0.95).alias("recall_reached"))
+
+
+@query(
+    "ann_all_cells",
+    f"{_DENSE_SQL} SELECT query_id, id, round(similarity, 6) AS similarity, CAST(rank AS INT) AS rank FROM r WHERE rank <= 50",
+)
+def ann_all_cells(spark, sf):
+    """With all cells probed, the rows of exact search."""
+    index, cells = _ann(spark, sf)
+    found = ann.ann_topk(index, cells, _self_queries(spark, sf), probes=len(cells))
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 # ---- lexical search ---------------------------------------------------------------
@@ -156,6 +176,32 @@ RANK_SQL = f"""{MATCH_SQL},
     lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_cd DESC, id) AS rank FROM ranked_cd)"""
 
 
+_INDEXES: dict[tuple[str, str], inverted.SearchIndex] = {}
+
+
+def search_index(spark, sf):
+    """The stored index of the documents; built once for a session and table folder, then opened."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        docs = dv.t(spark, sf, "documents").select(
+            F.col("doc_id").alias("id"), "text", embedding.hash_embed(F.col("text"), double=True).alias("embedding")
+        )
+        _INDEXES[key] = inverted.build(docs, work_path(spark, "index"))
+    return inverted.open_index(spark, _INDEXES[key].path)
+
+
+@query(
+    "build_search_index",
+    f"""WITH {TERMS_SQL}, e AS (SELECT term, id, count(*) AS tf FROM d_tok GROUP BY 1, 2)
+    SELECT term, count(*) AS df, max(tf)::INTEGER AS max_tf FROM e GROUP BY term""",
+)
+def build_search_index(spark, sf):
+    """A new index of all documents; its terms with document frequencies and score bounds."""
+    _INDEXES.pop((spark.sparkContext.applicationId, sf), None)
+    index = search_index(spark, sf)
+    return spark.read.parquet(index.at(0, "terms")).select("term", "df", "max_tf")
+
+
 def doc_terms(spark, sf):
     """Terms by position, written once as the index would be: matching reads them three times."""
     d = dv.t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -196,7 +242,7 @@ def websearch_terms(spark, sf):
 
 @query("lexical_match", f"WITH {MATCH_SQL} SELECT query_id, id FROM matched")
 def lexical_match(spark, sf):
-    return lexical.lexical_match(doc_terms(spark, sf), questions(spark, sf)).select("query_id", "id")
+    return inverted.match(search_index(spark, sf), questions(spark, sf)).select("query_id", "id")
 
 
 @query("cover_density_rank", f"WITH {RANK_SQL} SELECT query_id, id, rank_cd FROM ranked_cd")
@@ -208,7 +254,24 @@ def cover_density_rank(spark, sf):
     "lexical_topk", f"WITH {RANK_SQL} SELECT query_id, id, rank_cd, CAST(rank AS INT) AS rank FROM lex WHERE rank <= 50"
 )
 def lexical_topk(spark, sf):
-    return lexical.lexical_topk(doc_terms(spark, sf), questions(spark, sf))
+    return inverted.topk(search_index(spark, sf), questions(spark, sf))
+
+
+@query(
+    "search_index_update", f"WITH {RANK_SQL} SELECT query_id, id, rank_cd, CAST(rank AS INT) AS rank FROM lex WHERE rank <= 50"
+)
+def search_index_update(spark, sf):
+    """An index of older documents (some missing, some with another text, some since withdrawn) brought up to date in
+    two steps: its answers are those of an index of all documents."""
+    docs = dv.t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    stale, late = F.col("id") % 5 == 0, F.col("id") % 3 == 1
+    old = docs.where(~late).withColumn("text", F.when(stale, F.concat("text", F.lit(" "), "text")).otherwise(F.col("text")))
+    gone = docs.where(late).select((-F.col("id") - 1).alias("id"), "text")
+    index = inverted.build(old.unionByName(gone), work_path(spark, "index"))
+    index = inverted.update(index, docs.where(late), gone.select("id"))
+    changed = docs.where(stale & ~late)
+    index = inverted.update(index, changed, changed.select("id"))
+    return inverted.topk(inverted.open_index(spark, index.path), questions(spark, sf))
 
 
 # ---- both legs, fusion and what follows -------------------------------------------
@@ -224,11 +287,8 @@ LEGS_SQL = f"""{RANK_SQL}, {sparse_sql('documents', 'doc_id', 'dv')}, {sparse_sq
 
 
 def dense_leg(spark, sf, k=fv.PER_LIST):
-    docs = dv.t(spark, sf, "documents").select(
-        F.col("doc_id").alias("id"), embedding.hash_embed(F.col("text"), double=True).alias("embedding")
-    )
     q = questions(spark, sf).select("query_id", embedding.hash_embed(F.col("question"), double=True).alias("embedding"))
-    return retrieval.dense_topk(docs, q, k)
+    return retrieval.dense_topk(inverted.vectors(spark, search_index(spark, sf)), q, k)
 
 
 def fused(spark, sf):
