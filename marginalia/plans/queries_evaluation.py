@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia.functions import fixed_values as fv
+from marginalia.functions import stats
 from marginalia.functions.stats import mean_or_zero
 from marginalia.operators import evaluation, golden, judging, lexical, retrieval
 from marginalia.plans import derive as dv
@@ -512,6 +513,17 @@ def nearest_rank_percentile(spark, sf):
     return evaluation.nearest_rank_percentile(dv.events(spark, sf), ["event_type"], "value", [50, 90, 99])
 
 
+@query(
+    "percentile_wrong_guess",
+    f"""WITH {dv.EVENTS}, r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM ev)
+    SELECT event_type, max(value) FILTER (r = round_even(0.99::DOUBLE * (n - 1)::DOUBLE, 0)) AS p99, max(value) FILTER (r = round_even(0.05::DOUBLE * (n - 1)::DOUBLE, 0)) AS p5 FROM r GROUP BY 1""",
+)
+def percentile_wrong_guess(spark, sf):
+    """The first range is guessed at the wrong end on purpose: the counts find the right one."""
+    wanted = {"p99": (0.02, stats.nearest_rank(99)[1]), "p5": (0.9, stats.nearest_rank(5)[1])}
+    return stats.order_statistics(dv.events(spark, sf), ["event_type"], "value", wanted, ordered=50)
+
+
 @query(
     "mean_or_zero",
     f"WITH {dv.EVENTS} SELECT user_id, round(coalesce(avg(value) FILTER (event_type = 'purchase' AND k > 50), 0), 9) AS mean FROM ev GROUP BY 1",

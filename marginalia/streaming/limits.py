@@ -13,21 +13,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
-from marginalia.functions.stats import running_total, trailing_sum
+from marginalia.functions.stats import trailing_sum
 
 DAY_US = 86_400_000_000
 
 
 def attempts_24h(requests: DataFrame, key: str = "key", ts: str = "ts") -> DataFrame:
     """(key, ts, attempts): requests of the key in (ts - 24 h, ts], whether admitted or not."""
-    return trailing_sum(requests, [key], ts, F.lit(1), "'24' HOUR", "attempts")
+    return trailing_sum(requests, [key], ts, F.lit(1), DAY_US, "attempts")
 
 
 def spend_24h(costs: DataFrame, budget: float, ts: str = "ts", cost: str = "cost_usd") -> DataFrame:
     """(ts, spent_24h, over_budget): spend of everyone in (ts - 24 h, ts]; a request at ts is refused
     when what was spent before it has reached the budget."""
     # money is summed exactly: the difference of two long totals must not drift
-    t = trailing_sum(costs, [], ts, F.col(cost).cast("decimal(18,9)"), "'24' HOUR", "spent_24h")
+    t = trailing_sum(costs, [], ts, F.col(cost).cast("decimal(18,9)"), DAY_US, "spent_24h", parts=96)
     before = F.round((F.col("spent_24h") - F.col("amount")).cast("double"), 6)
     spent = F.round(F.col("spent_24h").cast("double"), 6)
     return t.select("ts", spent.alias("spent_24h"), (before >= budget).alias("over_budget"))
@@ -56,9 +56,10 @@ def _admit(times: np.ndarray, admitted: deque, limit: int, horizon: int) -> np.n
 def rate_limit(requests: DataFrame, limit: int, key: str = "key", ts: str = "ts", id: str = "id", horizon_us: int = DAY_US) -> DataFrame:
     """(id, admitted): at most ``limit`` admitted requests per key in any trailing horizon (batch).
 
-    Whether a request counts depends on the verdict before it, so a key is one ordered sequence. Its
-    narrow rows are sorted by Spark (which spills) and streamed through Arrow batches; a task keeps
-    ``limit`` time stamps of the current key, never the key's rows.
+    Whether a request counts depends on the verdict before it, so requests are one ordered sequence up to a gap of a whole
+    horizon, after which nothing that came before counts. A key is cut into sessions at such gaps (``idle_sessions``), and
+    sessions are what tasks work on. Narrow rows are sorted by Spark (which spills) and streamed through Arrow batches; a
+    task keeps ``limit`` time stamps of the current session, never its rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,11 +67,12 @@ def rate_limit(requests: DataFrame, limit: int, key: str = "key", ts: str = "ts"
         for pdf in batches:
             ok = np.zeros(len(pdf), dtype=bool)
             times = pdf["us"].to_numpy()
-            keys = pdf["key"].to_numpy()
-            edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(pdf) else []
+            keys, sessions = pdf["key"].to_numpy(), pdf["session"].to_numpy()
+            same = (keys[1:] == keys[:-1]) & (sessions[1:] == sessions[:-1])
+            edges = np.flatnonzero(np.r_[True, ~same]) if len(pdf) else []
             for a, b in zip(edges, [*edges[1:], len(pdf)], strict=True):
-                if keys[a] != current:
-                    current, admitted = keys[a], deque()
+                if (keys[a], sessions[a]) != current:
+                    current, admitted = (keys[a], sessions[a]), deque()
                 ok[a:b] = _admit(times[a:b], admitted, limit, horizon_us)
             yield pd.DataFrame({"id": pdf["id"], "admitted": ok})
 
@@ -79,7 +81,24 @@ def rate_limit(requests: DataFrame, limit: int, key: str = "key", ts: str = "ts"
         F.col(key).alias("key"),
         F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
     )
-    return narrow.repartition("key").sortWithinPartitions("key", "us", "id").mapInPandas(run, "id long, admitted boolean")
+    cut = idle_sessions(narrow, horizon_us)
+    return cut.repartition("key", "session").sortWithinPartitions("key", "session", "us", "id").mapInPandas(run, "id long, admitted boolean")
+
+
+def idle_sessions(rows: DataFrame, horizon_us: int) -> DataFrame:
+    """(id, key, us) rows with ``session``, the block that the row's session starts in.
+
+    A session ends where no request of the key follows for a whole horizon. Blocks of a horizon are summed up to their
+    first and last time before they meet, so a key is a row a block where its gaps are looked for.
+    """
+    rows = rows.withColumn("block", F.floor(F.col("us") / horizon_us))
+    by = W.partitionBy("key").orderBy("block")
+    blocks = rows.groupBy("key", "block").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    fresh = F.col("first") - F.lag("last").over(by) >= horizon_us
+    blocks = blocks.withColumn("start", F.when(F.coalesce(fresh, F.lit(True)), F.col("block")))
+    blocks = blocks.select(F.col("key").alias("_key"), F.col("block").alias("_block"), F.last("start", ignorenulls=True).over(by).alias("session"))
+    met = rows.join(blocks, F.col("key").eqNullSafe(F.col("_key")) & (F.col("block") == F.col("_block")))
+    return met.select("id", "key", "us", "session")
 
 
 class AdmittedTimes(StatefulProcessor):

@@ -208,3 +208,87 @@ def test_bench_summary(spark):
     wall = spark.createDataFrame([("t", 1, 2.0)], "target string, concurrency int, wall_s double")
     r = quality.bench_summary(s, wall).first()
     assert (r.requests, r.errors, r.requests_per_s, r.output_tokens_per_s, r.total_p99, r.rerank_fallbacks) == (3, 1, 1.0, 50.0, 2000.0, 1)
+
+
+@pytest.mark.parametrize("ordered", [stats.ORDERED, 20])
+def test_ranks_of_several_columns_by_range_selection(spark, ordered):
+    """Wrong guesses, hot values, infinities, one value only, null keys and columns without values."""
+    r = random.Random(3)
+    rows = []
+    for i in range(6000):
+        g = r.choice(["a", "a", "b", None])
+        rows.append((g, r.choice([7.0, r.lognormvariate(0, 3)]), r.randrange(10**12), None if g == "b" else 1.5))
+    rows += [("a", float("inf"), 5, 1.5), ("a", float("-inf"), 5, 1.5), ("c", None, 1, None), ("d", None, None, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y long, z double").repartition(5)
+    wanted = {f"{c}{p}": (c, hint, stats.nearest_rank(p)[1]) for c in "xyz" for p, hint in ((0, 0.9), (37, 0.37), (99, 0.01), (100, 1.0))}
+    got = {t.g: t for t in stats.select_ranks(df, ["g"], wanted, ordered).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g, t in got.items():
+        for i, c in enumerate("xyz", 1):
+            s = sorted(row[i] for row in rows if row[0] == g and row[i] is not None)
+            assert t[f"_n_{c}"] == len(s)
+            for p in (0, 37, 99, 100):
+                assert t[f"{c}{p}"] == (s[round(p / 100 * (len(s) - 1))] if s else None)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_trailing_sums_in_blocks(spark, parts):
+    r = random.Random(4)
+    rows = [(r.choice(["a", "a", None]), r.randrange(-500, 2000), r.randrange(1, 9)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k string, us long, v int").select("k", F.timestamp_micros("us").alias("t"), "v")
+    for keys in (["k"], []):
+        out = stats.trailing_sum(df, keys, "t", F.col("v"), 100, "s", parts)
+        got = {(x["k"] if keys else 0, x.us): (x.amount, x.s) for x in out.withColumn("us", F.unix_micros("ts")).collect()}
+        mine = lambda k, row: not keys or row[0] == k  # noqa: E731, B023
+        for (k, t), (amount, s) in got.items():
+            assert amount == sum(x[2] for x in rows if mine(k, x) and x[1] == t)
+            assert s == sum(x[2] for x in rows if mine(k, x) and t - 100 < x[1] <= t)
+        assert len(got) == len({(x[0] if keys else 0, x[1]) for x in rows})
+
+
+def test_trailing_sums_shuffle_thrice_and_scan_once(spark, tmp_path):
+    spark.range(2000).select((F.col("id") % 5).alias("key"), F.timestamp_micros(F.col("id") * 10**9).alias("ts"), F.lit(1).alias("cost_usd")).write.parquet(str(tmp_path / "e"))
+    e = spark.read.parquet(str(tmp_path / "e"))
+    for df in (limits.attempts_24h(e), limits.spend_24h(e, 5.0)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[0]
+        assert "Join" not in final
+        nodes = [x for x in final.split("\n") if "Exchange " in x and "Reused" not in x]
+        assert len(nodes) <= 4  # the two uses of the instants share one exchange where it is planned twice
+
+
+def test_running_total_over_years(spark):
+    """Instants, minutes, days: what meets in one task is a row a day."""
+    rows = [(i * 7 * 3600 * 10**6 + (i % 3) * 1000, 1 if i % 2 else -1, "a" if i % 3 else None) for i in range(4000)]  # over three years
+    df = spark.createDataFrame(rows, "us long, d int, k string").select(F.timestamp_micros("us").alias("ts"), "us", "d", "k")
+    for keys in ([], ["k"]):
+        got = {(r["k"] if keys else 0, r.us): r.total for r in stats.running_total(df, keys, "ts", F.col("d")).withColumn("us", F.unix_micros("ts")).collect()}
+        total, want = {}, {}
+        for us, d, k in sorted(rows, key=lambda r: r[0]):
+            k = k if keys else 0
+            want[(k, us)] = total[k] = total.get(k, 0) + d
+        assert got == want
+    plan = stats.running_total(df, [], "ts", F.col("d"))._jdf.queryExecution().sparkPlan().toString()
+    windows = [x for x in plan.split("\n") if " Window " in x or x.startswith("Window ")]
+    assert len(windows) == 3 and sum("_s60" not in x and "_s86400" not in x.split("], [")[0] for x in windows) <= 1
+
+
+def test_rate_limit_is_cut_at_idle_gaps(spark):
+    r = random.Random(6)
+    day = limits.DAY_US
+    rows, t = [], 0
+    for i in range(600):
+        t += r.choice([1, day // 5, day // 3, day - 1, day, 2 * day])
+        rows.append((i, "hot", t))
+    rows += [(1000 + i, r.choice(["b", None]), r.randrange(9 * day)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, key string, us long").withColumn("ts", F.timestamp_micros("us"))
+    cut = limits.idle_sessions(df.select("id", "key", "us"), day)
+    assert cut.where("key = 'hot'").select("session").distinct().count() > 100  # a hot key is as many tasks
+    got = {x.id: x.admitted for x in limits.rate_limit(df, 2).collect()}
+    held = {}
+    for i, k, us in sorted(rows, key=lambda x: (x[2], x[0])):
+        admitted = [x for x in held.get(k, []) if x > us - day]
+        assert got[i] == (len(admitted) < 2), i
+        held[k] = admitted + [us] * got[i]
+    assert len(got) == len(rows)
