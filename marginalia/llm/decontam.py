@@ -6,7 +6,9 @@ aligned word by word, and the values in the slots of the aligned run must be con
 a value, so does the document. A question with other numbers or names is thus caught like a verbatim one.
 
 Plan: documents give a window at every `stride` words, benchmark items at every word, so that a run of
-`window + stride - 1` words always has a window in common. Exploded windows carry hash, id and place only.
+`window + stride - 1` words always has a window in common. Where a document's window lies on slots and tells nothing, all
+windows around it are given, so the run is met by any window of it that tells something. Exploded windows carry hash,
+id and place only.
 """
 
 from __future__ import annotations
@@ -91,8 +93,9 @@ def embedded_words(text: Column) -> Column:
     )
 
 
-def windows(words: Column, n: Column | int, stride: Column | int) -> Column:
-    """(h, at) of each run of n template words at every `stride`; runs that tell nothing have no h."""
+def windows(words: Column, n: Column | int, stride: Column | int, around: bool = False) -> Column:
+    """(h, at) of each run of n template words at every `stride`; with `around` also of all runs less than a stride away
+    from one that tells nothing."""
     step = F.lit(stride) if isinstance(stride, int) else stride
 
     def run(t: Column) -> Column:
@@ -100,11 +103,26 @@ def windows(words: Column, n: Column | int, stride: Column | int) -> Column:
         starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), step)).otherwise(
             F.array().cast("array<int>")
         )
+        if around:
+            near = lambda i: F.sequence(F.greatest(i - step + 1, F.lit(0)), F.least(i + step - 1, last))
+            starts = F.flatten(F.transform(starts, lambda i: F.when(_telling(F.slice(t, i + 1, n)), F.array(i)).otherwise(near(i))))
         return F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(t, i + 1, n)).alias("h"), i.alias("at")))
 
     return let(template(words), run)
 
 
+def verbatim(words: Column, n: Column | int) -> Column:
+    """(h, at) of the runs of n words that tell nothing by their template, values included."""
+    def run(t: Column) -> Column:
+        last = F.size(t) - n
+        starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(starts, lambda i: ~_telling(F.slice(t, i + 1, n)))
+        # another seed than that of templates
+        return F.transform(starts, lambda i: F.struct(F.xxhash64(F.lit("="), F.slice(words, i + 1, n)).alias("h"), i.alias("at")))
+
+    return let(template(words), run)
+
+
 def _judged(both: Column) -> Column:
     """For each aligned word whether the templates agree (ok) and the place behind the last slot that it contradicts."""
 
@@ -172,7 +190,8 @@ def leaks(
 
     A leak is a run of template words that a document and an item have in common, of `least` words or the whole item
     if that is shorter, with consistent slots. Items without a run of `window` words (or of all, if they have fewer)
-    that has three different words besides slots are too short to be told and match nothing. Each run of a pair is
+    that has three different words besides slots are told as a whole only, by their words and values; with fewer than
+    four words they match nothing. Each run of a pair is
     judged by itself, an inconsistent slot rejects its run; the longest consistent one is reported. An item counts in
     each form that the words before it give its first words, and a name at its ends may have grown by its neighbours.
     Null or empty texts, no items or no documents: no rows. Null ids are kept; rows that repeat id and text are one.
@@ -187,18 +206,25 @@ def leaks(
     short = items.where((F.size("iw") < window) & _telling(template(F.col("iw"))))
     short = sorted(r[0] for r in short.select(F.size("iw")).distinct().collect())
     width = F.least(F.size("iw"), F.lit(window))
+    starts = F.sequence(F.lit(0), F.size("iw") - width)
+    dull = items.where((F.size("iw") >= 4) & ~F.exists(starts, lambda i: _telling(F.slice(template(F.col("iw")), i + 1, width))))
+    dull = cut_lineage(dull, "dull-items")
+    whole = sorted(r[0] for r in dull.select(F.size("iw")).distinct().collect())
     ours = items.select(
         "form", width.alias("width"), F.explode(windows(F.col("iw"), width, 1)).alias("x"), template(F.col("iw")).alias("t")
     )
     ours = ours.where(_telling(F.slice("t", F.col("x.at") + 1, F.col("width"))))
-    ours = small(ours.select(F.col("x.h").alias("h"), "form", F.col("x.at").alias("iat")))
+    ours = ours.select(F.col("x.h").alias("h"), "form", F.col("x.at").alias("iat"))
+    exact = dull.select(F.xxhash64(F.lit("="), F.col("iw")).alias("h"), "form", F.lit(0).alias("iat"))
+    ours = small(ours.unionByName(exact))
 
     rows = docs.select(
         F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("text")
     )
 
     def places(words: Column) -> Column:
-        return F.concat(windows(words, window, stride), *[windows(words, n, 1) for n in short])
+        more = [windows(words, n, 1) for n in short] + [verbatim(words, n) for n in whole]
+        return F.concat(windows(words, window, stride, around=stride > 1), *more)
 
     theirs = rows.select("id", "rk", F.explode(let(slotted_words(F.col("text")), places)).alias("x"))
     theirs = theirs.select("id", "rk", F.col("x.h").alias("h"), F.col("x.at").alias("at"))

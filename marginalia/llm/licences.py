@@ -3,12 +3,17 @@
 A text's normalised sentences are mapped to identifiers of known licence sentences; the identifiers of a document, in
 order, are matched against ordered rules. Unknown sentences between do not matter, their order does.
 
-Plan: one scan without a shuffle. Sentences are looked up by value in a fixed set within the row; only documents that
-hold a known sentence go on.
+Licence texts are wrapped and stand behind comment marks, and their sentences hold colons and points. So a text is
+cut into fragments at line ends and behind points, and a sentence is the longest known one that consecutive fragments
+make up; a blank line ends it.
+
+Plan: one scan without a shuffle. Fragments that begin like a known sentence are joined with those behind them and looked
+up by value in a fixed set within the row; only documents that hold a known sentence go on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -81,6 +86,12 @@ RULES = {
 }
 
 
+#: Fixed value: comment marks at the begin of a line.
+COMMENT = r"(^|\n)[ \t]*[#/*;!%<>-]+"
+#: What counts only where no licence matches.
+RESERVED = "Proprietary"
+
+
 @dataclass
 class Rules:
     """Known sentences by number, and for each licence its patterns over ' 3 17 5 ' strings of numbers."""
@@ -89,7 +100,8 @@ class Rules:
     patterns: dict[str, list[str]] = field(default_factory=dict)
 
     @classmethod
-    def standard(cls) -> Rules:
+    def standard(cls, tags: bool = False) -> Rules:
+        """Rules of the fixed values; with `tags` the lines that name a licence by its identifier count as notices."""
         number: dict[str, int] = {}
         sentences: dict[str, int] = {}
         for name, text in SENTENCES.items():
@@ -98,8 +110,11 @@ class Rules:
             nth = number.setdefault(f"notice:{lic}", len(number))
             for n in names:
                 for start in NOTICES:
-                    sentences[f"{start} {n}"] = sentences[f"{start} the {n}"] = nth
-            sentences["spdx license identifier " + lic.lower().replace("-", " ").replace(".", " ")] = nth
+                    # a sentence may go on with its short name: ... (the "License")
+                    for sentence in (f"{start} {n}", f"{start} the {n}"):
+                        sentences[sentence] = sentences[f"{sentence} the license"] = nth
+            if tags:
+                sentences["spdx license identifier " + lic.lower().replace("-", " ").replace(".", " ")] = nth
         rules = RULES | {lic: [(f"notice:{lic}",)] for lic in NAMES if lic not in RULES}
         patterns = {
             lic: [" " + " (?:[0-9]+ )*".join(str(number[s]) for s in rule) + " " for rule in all_]
@@ -108,30 +123,50 @@ class Rules:
         return cls(sentences, patterns)
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: cut at line ends and behind . ! ? ; : before white space; lower case, words of a-z and
-    0-9 only; empty ones stay, so that places can be told."""
-    cut = F.split(F.regexp_replace(text, r"[.!?;:]+([ \t\r\n]|$)", "\n"), "\n")
+def fragments(text: Column) -> Column:
+    """Normalised fragments: comment marks at the begin of lines left out, cut at line ends and behind . ! ? ; : before white space; lower case, words of a-z and
+    0-9 only; empty ones stay, they part sentences."""
+    plain = F.regexp_replace(text, COMMENT, "$1")
+    cut = F.split(F.regexp_replace(plain, r"[.!?;:]+([ \t\r\n]|$)", "\n"), "\n")
     return F.transform(cut, lambda s: F.btrim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
 
 
+def heads(known: Iterable[str]) -> list[str]:
+    """The first word and the first two words of the known sentences."""
+    return sorted({" ".join(k.split(" ")[:n]) for k in known for n in (1, 2)})
+
+
+def known_sentences(cut: Column, known: dict[str, int]) -> Column:
+    """Numbers of the known sentences that fragments make up, in the order of their first fragments."""
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    most = max(len(k.split(" ")) for k in known)  # a fragment has a word at least
+    first = heads(known)
+    starts = F.filter(F.transform(cut, lambda x, i: F.when(F.substring_index(x, " ", 2).isin(first), i)), lambda i: i.isNotNull())
+
+    def longest(i: Column) -> Column:
+        joined = F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(cut) - i)), lambda n: F.array_join(F.slice(cut, i + 1, n), " "))
+        return F.try_element_at(F.filter(joined, lambda x: x.isin(list(known))), F.lit(-1))
+
+    return F.transform(F.filter(F.transform(starts, longest), lambda x: x.isNotNull()), lambda x: table[x])
+
+
 def licences(docs: DataFrame, rules: Rules | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, licence, n_sentences (known ones in the document) of each rule that a document matches; one row each.
 
-    A document may match several licences. BSD-2 is not reported where BSD-3 matches by the same text. Null and empty
-    texts match nothing; repeated rows are reported each. No rows: no rows. Other columns are not read.
+    A document may match several licences. BSD-2 is not reported where BSD-3 matches by the same text, and rights that are
+    reserved only where no licence matches. Null and empty texts match nothing; very long texts are read whole; repeated
+    rows are reported each, ties do not arise. No rows: no rows. Other columns are not read.
     """
     rules = rules or Rules.standard()
-    known = rules.sentences
-    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    rows = docs.select(F.col(id_col).alias("doc_id"), sentences(F.col(text_col)).alias("s"))
-    # a cheap test of the set first: nearly all sentences are unknown
-    rows = rows.select("doc_id", F.filter("s", lambda x: x.isin(list(known))).alias("s")).where(F.size("s") > 0)
-    numbers = F.transform("s", lambda x: table[x].cast("string"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), fragments(F.col(text_col)).alias("f"))
+    # a cheap test first: nearly all documents hold no fragment that begins like a known sentence
+    first = heads(rules.sentences)
+    rows = rows.where(F.exists("f", lambda x: F.substring_index(x, " ", 2).isin(first)))
+    rows = rows.select("doc_id", known_sentences(F.col("f"), rules.sentences).alias("n")).where(F.size("n") > 0)
     rows = rows.select(
         "doc_id",
-        F.size("s").cast("long").alias("n_sentences"),
-        F.concat(F.lit(" "), F.array_join(numbers, "  "), F.lit(" ")).alias("ids"),
+        F.size("n").cast("long").alias("n_sentences"),
+        F.concat(F.lit(" "), F.array_join(F.transform("n", lambda x: x.cast("string")), "  "), F.lit(" ")).alias("ids"),
     )
     # numbers are parted by two spaces, so that each has one on either side
     spaced = {lic: [p.replace(" (?:[0-9]+ )*", " (?: [0-9]+ )* ") for p in ps] for lic, ps in rules.patterns.items()}
@@ -139,10 +174,8 @@ def licences(docs: DataFrame, rules: Rules | None = None, *, id_col: str = "doc_
         *[F.when(F.greatest(*[F.col("ids").rlike(p) for p in [*ps, ps[0]]]), F.lit(lic)) for lic, ps in spaced.items()]
     )
     found = F.array_compact(found)
-    found = F.when(
-        F.array_contains(found, "BSD-3-Clause") & ~F.col("ids").rlike(rules.patterns["BSD-2-Clause"][-1])
-        if "BSD-2-Clause" in rules.patterns and "BSD-3-Clause" in rules.patterns
-        else F.lit(False),
-        F.array_remove(found, "BSD-2-Clause"),
-    ).otherwise(found)
+    if "BSD-2-Clause" in spaced and "BSD-3-Clause" in spaced:
+        named = F.col("ids").rlike(spaced["BSD-2-Clause"][-1])
+        found = F.when(F.array_contains(found, "BSD-3-Clause") & ~named, F.array_remove(found, "BSD-2-Clause")).otherwise(found)
+    found = F.when(F.size(found) > 1, F.array_remove(found, RESERVED)).otherwise(found)
     return rows.select("doc_id", F.explode(found).alias("licence"), "n_sentences")

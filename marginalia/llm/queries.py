@@ -147,31 +147,36 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _licence_sql() -> str:
-    """Sentences cut and looked up as the operator does; rules as joins of numbered sentences in order."""
-    rules = licences.Rules.standard()
-    known = ", ".join(f"('{s}', {n})" for s, n in rules.sentences.items())
+    """Fragments cut, joined and looked up in tables; rules as patterns over the numbers in order."""
+    rules = licences.Rules.standard(tags=True)
+    known = ", ".join(f"('{s}', {n}, {len(s.split())})" for s, n in rules.sentences.items())
+    spaced = {lic: [p.replace(" (?:[0-9]+ )*", " (?: [0-9]+ )* ") for p in ps] for lic, ps in rules.patterns.items()}
     tests = ", ".join(
-        "CASE WHEN " + " OR ".join(f"regexp_matches(ids, '{p.replace(' (?:[0-9]+ )*', ' (?: [0-9]+ )* ')}')" for p in ps) + f" THEN '{lic}' END"
-        for lic, ps in rules.patterns.items()
+        "CASE WHEN " + " OR ".join(f"regexp_matches(ids, '{p}')" for p in ps) + f" THEN '{lic}' END" for lic, ps in spaced.items()
     )
+    plain = f"regexp_replace(text, '{licences.COMMENT}', '\\1', 'g')"
+    cut = rf"string_split(regexp_replace({plain}, '[.!?;:]+([ \t\r\n]|$)', chr(10), 'g'), chr(10))"
     return f"""
-WITH known(s, n) AS (VALUES {known}),
-x AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '[.!?;:]+([ \\t\\r\\n]|$)', chr(10), 'g'), chr(10))) AS s,
-             generate_subscripts(string_split(regexp_replace(text, '[.!?;:]+([ \\t\\r\\n]|$)', chr(10), 'g'), chr(10)), 1) AS nth
-      FROM documents),
-y AS (SELECT doc_id, nth, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM x),
-z AS (SELECT doc_id, count(*) AS n_sentences, ' ' || string_agg(n::VARCHAR, '  ' ORDER BY nth) || ' ' AS ids
-      FROM y JOIN known USING (s) GROUP BY doc_id),
-f AS (SELECT doc_id, n_sentences, ids, unnest([{tests}]) AS licence FROM z)
-SELECT doc_id, licence, n_sentences FROM f
-WHERE licence IS NOT NULL AND NOT (licence = 'BSD-2-Clause' AND NOT regexp_matches(ids, '{rules.patterns["BSD-2-Clause"][-1]}')
-  AND EXISTS (SELECT 1 FROM f AS g WHERE g.doc_id = f.doc_id AND g.licence = 'BSD-3-Clause'))"""
+WITH known(s, n, words) AS (VALUES {known}),
+x AS (SELECT row_number() OVER () AS row, doc_id, {cut} AS raw FROM documents),
+y AS (SELECT row, doc_id, list_transform(raw, lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))) AS f FROM x),
+i AS (SELECT row, doc_id, f, unnest(range(1, len(f) + 1)) AS i FROM y),
+b AS (SELECT DISTINCT split_part(s, ' ', 1) AS w FROM known),
+j AS (SELECT row, doc_id, i, f, unnest(range(1, least((SELECT max(words) FROM known), len(f) - i + 1) + 1)) AS n
+      FROM i JOIN b ON split_part(f[i], ' ', 1) = b.w),
+h AS (SELECT row, doc_id, i, arg_max(known.n, j.n) AS n FROM j JOIN known ON known.s = array_to_string(f[i:i + j.n - 1], ' ') GROUP BY ALL),
+z AS (SELECT row, doc_id, count(*) AS n_sentences, ' ' || string_agg(n::VARCHAR, '  ' ORDER BY i) || ' ' AS ids FROM h GROUP BY ALL),
+f AS (SELECT row, doc_id, n_sentences, ids, list_filter([{tests}], lambda x: x IS NOT NULL) AS found FROM z),
+g AS (SELECT doc_id, n_sentences, CASE WHEN list_contains(found, 'BSD-3-Clause') AND NOT regexp_matches(ids, '{spaced["BSD-2-Clause"][-1]}')
+        THEN list_filter(found, lambda x: x <> 'BSD-2-Clause') ELSE found END AS found FROM f),
+u AS (SELECT doc_id, n_sentences, len(found) AS many, unnest(found) AS licence FROM g)
+SELECT doc_id, licence, n_sentences FROM u WHERE many = 1 OR licence <> '{licences.RESERVED}'"""
 
 
 @query("op4_licences", _licence_sql())
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by the licences whose sentences they hold in a rule's order."""
-    return licences.licences(table(spark, sf_dir, "documents"))
+    return licences.licences(table(spark, sf_dir, "documents"), licences.Rules.standard(tags=True))
 
 
 @query("op9_tokens")
