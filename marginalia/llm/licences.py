@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.decontam import let
+
 #: Sentences of well-known licence texts.
 SENTENCES = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
@@ -158,11 +160,15 @@ def licences(docs: DataFrame, rules: Rules | None = None, *, id_col: str = "doc_
     rows are reported each, ties do not arise. No rows: no rows. Other columns are not read.
     """
     rules = rules or Rules.standard()
-    rows = docs.select(F.col(id_col).alias("doc_id"), fragments(F.col(text_col)).alias("f"))
-    # a cheap test first: nearly all documents hold no fragment that begins like a known sentence
     first = heads(rules.sentences)
-    rows = rows.where(F.exists("f", lambda x: F.substring_index(x, " ", 2).isin(first)))
-    rows = rows.select("doc_id", known_sentences(F.col("f"), rules.sentences).alias("n")).where(F.size("n") > 0)
+
+    def numbers(f: Column) -> Column:
+        # a cheap test first: nearly all documents hold no fragment that begins like a known sentence
+        begins = F.exists(f, lambda x: F.substring_index(x, " ", 2).isin(first))
+        return F.when(begins, known_sentences(f, rules.sentences))
+
+    # bound as a value, and no filter on it: a filter would move below and cut the text anew for each use
+    rows = docs.select(F.col(id_col).alias("doc_id"), let(fragments(F.col(text_col)), numbers).alias("n"))
     rows = rows.select(
         "doc_id",
         F.size("n").cast("long").alias("n_sentences"),
@@ -178,4 +184,4 @@ def licences(docs: DataFrame, rules: Rules | None = None, *, id_col: str = "doc_
         named = F.col("ids").rlike(spaced["BSD-2-Clause"][-1])
         found = F.when(F.array_contains(found, "BSD-3-Clause") & ~named, F.array_remove(found, "BSD-2-Clause")).otherwise(found)
     found = F.when(F.size(found) > 1, F.array_remove(found, RESERVED)).otherwise(found)
-    return rows.select("doc_id", F.explode(found).alias("licence"), "n_sentences")
+    return rows.select("doc_id", F.explode_outer(found).alias("licence"), "n_sentences").where("licence is not null")
