@@ -30,5 +30,6 @@ def load_all() -> None:
         queries_evaluation,
         queries_monitoring,
         queries_search,
+        queries_streams,
         queries_tables,
     )

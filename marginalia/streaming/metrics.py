@@ -105,6 +105,17 @@ def sliding(events: DataFrame, labels: list[str], aggs: dict[str, Column], merge
     )
 
 
+def sliding_histogram(
+    events: DataFrame, value: str, labels: list[str], edges: list[float] = fv.LATENCY_EDGES, window_s: int = 300, slide_s: int = 30, ts: str = "ts"
+) -> DataFrame:
+    """(window_end, labels, buckets): cumulative ``le`` counts over sliding windows, added up from the counts of panes."""
+    v = F.col(value)
+    aggs = {f"_le{i}": F.count_if(v <= e) for i, e in enumerate(edges)} | {"_all": F.count(v)}
+    rows = sliding(events, labels, aggs, {c: F.sum(c) for c in aggs}, window_s, slide_s, ts)
+    ends = [F.struct(F.lit(float(e)).alias("le"), F.col(c).alias("count")) for e, c in zip([*edges, float("inf")], aggs, strict=True)]
+    return rows.select("window_end", *labels, F.array(*ends).alias("buckets"))
+
+
 def _counts(events: DataFrame, labels: list[str], window_s: int, slide_s: int, ts: str, **conds: Column) -> DataFrame:
     aggs = {"n": F.count("*")} | {k: F.count_if(c) for k, c in conds.items()}
     merge = {k: F.sum(k) for k in aggs}
@@ -206,6 +217,16 @@ def alert_rules(conditions: DataFrame) -> DataFrame:
     )
 
 
+def latency_alerts(
+    events: DataFrame, value: str, q: float = 0.99, name: str = "e2e_p99_seconds", rules: list[Rule] = fv.ALERT_RULES, window_s: int = 300, slide_s: int = 30
+) -> DataFrame:
+    """States of the rules on a latency quantile, from events (ts, value in seconds): panes, sliding histograms, quantile,
+    rule and hold, in one plan. Windows without events are not evaluated."""
+    hist = sliding_histogram(events, value, [], window_s=window_s, slide_s=slide_s)
+    series = hist.select(F.col("window_end").alias("ts"), F.lit(name).alias("name"), histogram_quantile(F.col("buckets"), q).alias("value"))
+    return alert_rules(rule_conditions(series.where("value is not null"), [r for r in rules if r[1] == name]))
+
+
 def gauge_refresh(
     stream: DataFrame,
     compute: Callable[[DataFrame, int], None],

@@ -292,3 +292,15 @@ def test_rate_limit_is_cut_at_idle_gaps(spark):
         assert got[i] == (len(admitted) < 2), i
         held[k] = admitted + [us] * got[i]
     assert len(got) == len(rows)
+
+
+def test_sliding_histograms_add_up_panes(spark):
+    r = random.Random(9)
+    rows = [(T0 + dt.timedelta(seconds=r.randrange(1200)), r.choice([0.2, 3.0, 40.0, 90.0])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "ts timestamp, v double")
+    got = metrics.sliding_histogram(df, "v", [], [1.0, 50.0], 300, 30).collect()
+    for x in got:
+        mine = [v for t, v in rows if x.window_end - dt.timedelta(seconds=300) <= t < x.window_end]
+        assert [(b.le, b["count"]) for b in x.buckets] == [(1.0, sum(v <= 1 for v in mine)), (50.0, sum(v <= 50 for v in mine)), (float("inf"), len(mine))]
+    assert len(got) >= 40
+    assert {s.state for s in metrics.latency_alerts(df, "v").collect()} == {"pending", "firing"}
