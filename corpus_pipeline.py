@@ -63,7 +63,7 @@ STAGES = [
     ("mixing", mixing_stage),
 ]
 
-#: The classifier's scores are beyond SQL; tests hold the run against brute force.
+#: The classifier's scores are beyond SQL; tests hold the operators of the stages against brute force.
 ORACLE_SQL = None
 
 
