@@ -58,8 +58,8 @@ class Search:
     """Stored indexes of a chunk table: postings with vectors, and the vectors by cell."""
 
     postings: inverted.SearchIndex
-    rows: DataFrame
-    cells: ann.Cells
+    rows: DataFrame | None
+    cells: ann.Cells | None
 
 
 def index_chunks(chunks: DataFrame, path: str, buckets: int = inverted.BUCKETS) -> Search:
@@ -109,8 +109,10 @@ def answer_questions(
     """
     spark = chunks.sparkSession
     q = cut_lineage(questions.withColumn("embedding", embed(F.col("question"))), "asked")
-    if search is None and mode != "dense":
+    if search is None and mode == "approximate":
         search = index_chunks(chunks, work_path(spark, "search"))
+    elif search is None and mode == "hybrid":  # cells are not asked for
+        search = Search(inverted.build(chunks.select("id", "text", "embedding"), work_path(spark, "search")), None, None)
     vectors = inverted.vectors(spark, search.postings) if search else chunks.select("id", "embedding")
     if mode == "dense":
         fused = retrieval.dense_only(vectors, q, top_n).withColumn("position", F.col("dense_rank"))
