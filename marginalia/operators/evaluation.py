@@ -10,9 +10,13 @@ from marginalia.functions.text import ratio
 
 
 def resolve_hashes(items: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(content_hash, chunk_id): current chunk of each labelled hash, null when it is gone."""
+    """(content_hash, chunk_id): current chunk of each labelled hash, null when it is gone.
+
+    Chunks meet the labels first, so only labelled ones are grouped.
+    """
     hashes = items.select(F.explode("source_chunk_content_hashes").alias("content_hash")).distinct()
-    ids = chunks.groupBy("content_hash").agg(F.max("id").alias("chunk_id"))
+    labelled = chunks.select("content_hash", "id").join(hashes, "content_hash", "left_semi")
+    ids = labelled.groupBy("content_hash").agg(F.max("id").alias("chunk_id"))
     return hashes.join(ids, "content_hash", "left")
 
 

@@ -60,27 +60,44 @@ def assign_question_types(sample: DataFrame, n: int) -> DataFrame:
     )
 
 
-def pick_sibling(typed: DataFrame, chunks: DataFrame, seed: int, min_tokens: int = MIN_SAMPLE_TOKENS) -> DataFrame:
+def pick_sibling(
+    typed: DataFrame, chunks: DataFrame, seed: int, min_tokens: int = MIN_SAMPLE_TOKENS, digits: int = 3
+) -> DataFrame:
     """(item_id, sibling_id): for each multi sample another long chunk of its chapter.
 
-    Chunks of a chapter stand in a ring by seeded key; the sibling is the next one on the ring, so
-    samples of one chapter get different partners. Each chunk meets the few samples of its chapter
-    (the sample size bounds them) and the minimum is combined map-side: no pairs are shuffled.
+    Chunks of a chapter stand in a ring by seeded key; the sibling is the next one on the ring, so samples of one chapter
+    get different partners. Chunks and samples are merged: sorted together, each takes the chunk that follows it. Keys are
+    hex digits at random, so their first ``digits`` cut the ring of a chapter, however large, into even arcs that are
+    sorted by themselves; the first chunks of the arcs (at most 16^digits a chapter) carry over to the arcs before.
+    Samples need not be among the chunks; a chapter without another chunk gives none, samples without one drop out.
     """
-    multi = typed.filter("type = 'multi'").select("item_id", "volume", "chapter_num", "id")
-    mine = multi.select("item_id", "volume", "chapter_num", F.col("id").alias("own"), seeded(F.col("id"), seed).alias("own_key"))
-    other = (
-        chunks.filter(F.col("token_count") >= min_tokens)
-        .select("volume", "chapter_num", "id")
-        .withColumn("key", seeded(F.col("id"), seed))
+    chapter, place = ["volume", "chapter_num"], F.struct("key", F.col("id").alias("sibling_id"))
+
+    def keyed(df: DataFrame) -> DataFrame:
+        key = seeded(F.col("id"), seed)
+        return df.withColumn("key", key).withColumn("arc", F.substring(key, 1, digits))
+
+    ring = keyed(chunks.filter(F.col("token_count") >= min_tokens).select(*chapter, "id"))
+    asked = keyed(typed.filter("type = 'multi'").select("item_id", *chapter, "id"))
+    both = ring.unionByName(asked, allowMissingColumns=True).withColumn(
+        "chunk", F.when(F.col("item_id").isNull(), place)
+    )
+    # from the end of an arc to its start; a sample stands before its own chunk, so that what it has seen lies behind it
+    back = W.partitionBy(*chapter, "arc").orderBy(F.desc("key"), F.desc("id"), F.col("item_id").desc_nulls_last())
+    seen = F.last("chunk", ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, -1))
+    here = both.withColumn("seen", seen).filter("item_id is not null").select("item_id", *chapter, "arc", "id", "seen")
+    heads = both.groupBy(*chapter, "arc").agg(F.min("chunk").alias("head"))
+    arcs = W.partitionBy(*chapter).orderBy("arc")
+    follow = F.coalesce(
+        F.first("head", ignorenulls=True).over(arcs.rowsBetween(1, W.unboundedFollowing)),
+        F.min("head").over(W.partitionBy(*chapter)),  # round the ring
     )
-    ring = F.struct((F.col("key") < F.col("own_key")).alias("wrapped"), F.col("key"), F.col("id").alias("sibling_id"))
+    heads = heads.select(*chapter, "arc", follow.alias("follow"))
     return (
-        other.join(F.broadcast(mine), ["volume", "chapter_num"])  # at most n sampled rows
-        .filter(F.col("id") != F.col("own"))
-        .groupBy("item_id")
-        .agg(F.min(ring).alias("s"))
-        .select("item_id", "s.sibling_id")
+        here.join(heads, [*chapter, "arc"])
+        .select("item_id", "id", F.coalesce("seen", "follow")["sibling_id"].alias("sibling_id"))
+        .filter("sibling_id is not null and sibling_id <> id")
+        .select("item_id", "sibling_id")
     )
 
 

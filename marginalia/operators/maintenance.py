@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,34 +26,57 @@ def diff_status(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return cur.join(new, "content_hash", "full_outer").select("content_hash", status.alias("status"), "previous_sha")
 
 
+#: Columns that the chunk table decides; the others tell where a text stands in the load.
+KEPT = ("id", "content_hash", "text", "embedding", "commit_sha")
+
+
+def split_load(
+    current: DataFrame, incoming: DataFrame, commit_sha: str, refresh_provenance: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(unchanged rows under the new commit, added rows without an embedding), in the columns of ``current``.
+
+    Status is told by hashes alone: one (hash, greatest id) per text of the load. Unchanged rows are a semi-join of the
+    current table by hash, so a table bucketed by ``content_hash`` (``writers.write_bucketed``) is read in place and
+    neither its texts nor its embeddings are shuffled. Wide rows of the load are fetched for added hashes only.
+    ``refresh_provenance`` takes the columns outside ``KEPT`` from the load. Rows without a hash take no part; repeated
+    hashes of the load count once (the last id); an empty table on either side is all added or all gone.
+    """
+    place = [c for c in current.columns if c not in KEPT] if refresh_provenance else []
+    pick = [F.max("id").alias("id")]
+    if place:
+        pick.append(F.max_by(F.struct(*place), "id").alias("_place"))
+    new = incoming.filter("content_hash is not null").groupBy("content_hash").agg(*pick)
+    if place:
+        kept = current.drop(*place).join(new.drop("id"), "content_hash").select("*", "_place.*").drop("_place")
+    else:
+        kept = current.join(new.select("content_hash"), "content_hash", "left_semi")
+    kept = kept.withColumn("commit_sha", F.lit(commit_sha)).select(*current.columns)
+    added = new.select("content_hash", "id").join(current.select("content_hash"), "content_hash", "left_anti")
+    fresh = incoming.join(added, ["id", "content_hash"], "left_semi").withColumn("commit_sha", F.lit(commit_sha))
+    if "embedding" in current.columns and "embedding" not in incoming.columns:
+        fresh = fresh.withColumn("embedding", F.lit(None).cast(current.schema["embedding"].dataType))
+    return kept, fresh.select(*current.columns)
+
+
 def diff_load(current: DataFrame, incoming: DataFrame, commit_sha: str, refresh_provenance: bool = False) -> DataFrame:
-    """The next version of the chunk table.
+    """The next version of the chunk table: see ``split_load``. Unchanged rows keep id and embedding; removed rows go."""
+    kept, added = split_load(current, incoming, commit_sha, refresh_provenance)
+    return kept.unionByName(added)
 
-    Unchanged rows keep id and embedding and get the new commit; added rows come in without an
-    embedding; removed rows go. ``refresh_provenance`` also takes place and heading from the new load.
-    Both sides are unique by hash, so the one full outer join has no hot key.
+
+def next_version(
+    current: DataFrame, incoming: DataFrame, commit_sha: str, table: str, path: str, buckets: int, refresh_provenance: bool = False
+) -> DataFrame:
+    """``diff_load`` written as the new table ``table`` at ``path``, bucketed like ``current``.
+
+    Unchanged rows go from bucket to bucket without a shuffle, then the added ones are shuffled alone and appended. The
+    version counts once this returns; after a failure it is written anew under another name.
     """
-    keep = ["id", "embedding"]
-    cols = current.columns
-    new = dedup_by_hash(incoming)
-    if "embedding" not in new.columns:
-        new = new.withColumn("embedding", F.lit(None).cast("array<float>"))
-    c, n = current.alias("c"), new.alias("n")
-    both = F.col("c.content_hash").isNotNull() & F.col("n.content_hash").isNotNull()
-
-    def pick(col: str) -> Column:
-        old, fresh = F.col(f"c.{col}"), F.col(f"n.{col}")
-        if col == "commit_sha":
-            return F.lit(commit_sha).alias(col)
-        if col in keep:
-            return F.when(both, old).otherwise(fresh).alias(col)
-        return F.when(both & F.lit(not refresh_provenance), old).otherwise(fresh).alias(col)
+    from marginalia.sources import writers
 
-    return (
-        c.join(n, F.col("c.content_hash") == F.col("n.content_hash"), "full_outer")
-        .filter(F.col("n.content_hash").isNotNull())
-        .select(*[pick(x) for x in cols])
-    )
+    kept, added = split_load(current, incoming, commit_sha, refresh_provenance)
+    writers.write_bucketed(kept, table, path, buckets, in_place=True)
+    return writers.append_bucketed(added, table, path, buckets)
 
 
 def diff_summary(current: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -137,20 +159,6 @@ def index_summary(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.min("commit_sha").alias("commit_sha"), F.count("*").alias("chunks"))
 
 
-def orphan_scores(judge_scores: DataFrame, query_log: DataFrame) -> DataFrame:
-    """Foreign-key check: judge rows without their log row."""
-    return judge_scores.join(
-        query_log.select(F.col("id").alias("query_log_id")), "query_log_id", "left_anti"
-    )
-
-
-def cascade_scores(judge_scores: DataFrame, query_log: DataFrame) -> DataFrame:
-    """Judge rows that survive when log rows are deleted."""
-    return judge_scores.join(
-        query_log.select(F.col("id").alias("query_log_id")), "query_log_id", "left_semi"
-    )
-
-
 def lookup_chunk(chunks: DataFrame, id: int | None = None, content_hash: str | None = None) -> DataFrame:
     """Point lookup; both forms reach the Parquet scan as pushed filters."""
     if id is not None:
@@ -203,11 +211,3 @@ def guard_content(
     rules.append(F.when(F.col("size") > max_bytes, F.lit("size")))
     rules += [F.when(F.col("content").contains(t), F.lit(f"tripwire:{t}")) for t in tripwires]
     return files.select("path", F.explode(F.array_compact(F.array(*rules))).alias("rule"))
-
-
-def last_per_group(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Latest row per key where rows are narrow; partial aggregation keeps one row per key and task."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
-
-

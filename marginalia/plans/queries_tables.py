@@ -271,11 +271,11 @@ def dedup_by_hash(spark, sf):
     return maintenance.dedup_by_hash(dv.doc_rows(spark, sf)).select("id", "content_hash")
 
 
-@query(
-    "diff_load",
-    f"""WITH {_VERSIONS_SQL} SELECT coalesce(c.id, i.id) AS id, i.content_hash, 'new' AS commit_sha, c.id IS NOT NULL AS embedded
-    FROM inc i LEFT JOIN cur c USING (content_hash)""",
-)
+_LOADED_SQL = f"""WITH {_VERSIONS_SQL} SELECT coalesce(c.id, i.id) AS id, i.content_hash, 'new' AS commit_sha, c.id IS NOT NULL AS embedded
+    FROM inc i LEFT JOIN cur c USING (content_hash)"""
+
+
+@query("diff_load", _LOADED_SQL)
 def diff_load(spark, sf):
     current, incoming = versions(spark, sf)
     return maintenance.diff_load(current, incoming, "new").select(
@@ -283,6 +283,17 @@ def diff_load(spark, sf):
     )
 
 
+@query("next_version", _LOADED_SQL)
+def next_version(spark, sf):
+    """The current table bucketed by hash, the next version written from it bucket by bucket and read back."""
+    current, incoming = versions(spark, sf)
+    path, buckets = work_path(spark, "version"), 16
+    name = "chunks_" + path.rsplit("-", 1)[1]
+    old = writers.write_bucketed(current, f"{name}_1", f"{path}/1", buckets)
+    new = maintenance.next_version(old, incoming, "new", f"{name}_2", f"{path}/2", buckets)
+    return new.select("id", "content_hash", "commit_sha", F.col("embedding").isNotNull().alias("embedded"))
+
+
 _SUMMARY_SQL = f"""WITH {_VERSIONS_SQL}, s AS (SELECT c.content_hash IS NULL AS a, i.content_hash IS NULL AS r, c.commit_sha FROM cur c FULL OUTER JOIN inc i ON c.content_hash = i.content_hash)
     SELECT count(*) FILTER (a) AS added, count(*) FILTER (r) AS removed, count(*) FILTER (NOT a AND NOT r) AS unchanged, min(commit_sha) AS previous_sha FROM s"""
 

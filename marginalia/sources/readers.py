@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia import schemas
+from marginalia.session import work_path
 
 
 def read_parquet_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -28,25 +31,44 @@ def scan_chunks(spark: SparkSession, path: str) -> DataFrame:
     return scan_table(spark, path, "chunks")
 
 
-def scan_corpus(spark: SparkSession, root: str, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, missing): files under ``root`` that the manifest names, read whole, and manifest rows
-    without a file. File names meet the manifest in a join; no list of paths goes through the driver."""
-    base = root.rstrip("/")
-    files = (
-        spark.read.text(base, wholetext=True, recursiveFileLookup=True)
-        .select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("text"))
+def open_bucketed(spark: SparkSession, table: str, path: str, buckets: int, key: str = "content_hash") -> DataFrame:
+    """A bucketed table version that an earlier session wrote, under a name in this session's catalog."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
+        f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'"
     )
-    at = F.instr("uri", base + "/")
-    path = F.substr("uri", at + F.lit(len(base) + 1))
-    files = files.withColumn("path", F.url_decode(F.regexp_replace(path, r"\+", "%2B")))
-    docs = files.join(manifest, "path").select(
+    return spark.table(table)
+
+
+def scan_corpus(spark: SparkSession, root: str, manifest: DataFrame, batch: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(documents, missing): files under ``root`` that the manifest names, read whole, and manifest rows without a file.
+
+    One listing gives the names of all files and opens none. They meet the manifest in a join. Where every file is
+    named, all are read; otherwise files are pruned by name before they are opened: ``batch`` names at a time, copied to
+    the shared folder, so neither the driver nor a plan holds more names. As Spark's file sources do, files without a byte
+    and those whose name starts with ``_`` or ``.`` are passed over; their manifest rows are missing.
+    """
+    base = root.rstrip("/")
+    uri = F.col("_metadata.file_path")
+    # file_path is percent-encoded, blanks and plus signs included
+    name = F.url_decode(F.regexp_replace(F.substr("uri", F.instr("uri", base + "/") + F.lit(len(base) + 1)), r"\+", "%2B"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).select(uri.alias("uri"))
+    listed = listed.withColumn("path", name)
+    wanted = manifest.select("path").distinct()
+    source = spark.read.text(base, wholetext=True, recursiveFileLookup=True)
+    texts = source.select(uri.alias("uri"), F.col("value").alias("text"))
+    if not listed.join(wanted, "path", "left_anti").isEmpty():
+        named = listed.join(wanted, "path", "left_semi").select("uri").toLocalIterator()
+        target = work_path(spark, "corpus-texts")
+        texts.limit(0).write.parquet(target)
+        while some := [r["uri"] for r in islice(named, batch)]:
+            source.filter(uri.isin(some)).select(uri.alias("uri"), F.col("value").alias("text")).write.mode("append").parquet(target)
+        texts = spark.read.schema(texts.schema).parquet(target)
+    docs = texts.withColumn("path", name).join(manifest, "path").select(
         *[c for c in manifest.columns if c != "path"], F.col("path").alias("source_file"), "text"
     )
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).select("path")
-    names = names.select(
-        F.url_decode(F.regexp_replace(F.substr("path", F.instr("path", base + "/") + F.lit(len(base) + 1)), r"\+", "%2B")).alias("path")
-    )
-    return docs, manifest.join(names, "path", "left_anti")
+    return docs, manifest.join(listed.select("path"), "path", "left_anti")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
