@@ -147,7 +147,8 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for rows whose id is divisible by `every`, the k rows found of largest inner product.
 
-    Probes are fitted so that `recall` of the true neighbours of `sample` queries lie in probed buckets. Rows that
+    Probes are fitted so that `recall` of the true neighbours of `sample` queries lie in probed buckets, in the end in all
+    of them. A query whose probed buckets hold fewer than k rows is ranked against all rows, in blocks. Rows that
     cannot take part (see `usable`) are neither queries nor candidates. Equal vectors are told apart by id, ties go to
     the smaller; a repeated id counts once for each of its vectors. Fewer than k candidates: all of them. No rows: no
     rows. Other columns are not read. `report` gets the fitted figures.
@@ -213,7 +214,28 @@ def nearest(
     found = found.groupBy("q", "id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     found = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
-    found = found.join(one.select("id", "ids"), "id").select("q", "score", F.explode("ids").alias("id"))
+    found = cut_lineage(found.join(one.select("id", "ids"), "id").select("q", "id", "score", "ids"), "found")
+
+    # queries whose buckets hold too few rows meet all rows, in blocks
+    total = rows.count()
+    have = found.groupBy("q").agg(F.sum(F.size("ids")).alias("have"))
+    short = asks.join(have, asks["id"] == have["q"], "left").where(F.coalesce("have", F.lit(0)) < min(k + 1, total))
+    short = cut_lineage(short.select("id", "v"), "short")
+    n_short = short.count()
+    if report is not None:
+        report["short"] = n_short
+    if n_short:
+        blocks, parts = -(-n_short // 1024), -(-facts[0] // cell)
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        cut = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+        here = one.select(F.lit(-1).alias("t"), each(blocks).alias("b"), cut(parts).alias("part"), "id", "v")
+        there = short.select(F.lit(-1).alias("t"), cut(blocks).alias("b"), each(parts).alias("part"), "id", "v")
+        whole = here.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(rank, "q bigint, id bigint, score double")
+        whole = whole.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
+        whole = whole.join(one.select("id", "ids"), "id").select("q", "id", "score", "ids")
+        found = found.join(short.select(F.col("id").alias("q")), "q", "left_anti").unionByName(whole)
+
+    found = found.select("q", "score", F.explode("ids").alias("id"))
     found = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
     found = found.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("nth", "id", "score"))).alias("near"))
     name = one.where("asks = 1").select("h", "g", F.col("id").alias("q"))
@@ -253,13 +275,19 @@ def fit_probes(one: DataFrame, hashes: Hashes, k: int, recall: float, sample: in
     owner = np.array([at[x] for x in true["q"].to_pylist()])
     lifted, theirs = hashes.lift(q, True), hashes.lift(_matrix(true["v"]), False)
     most = min(hashes.buckets, 4096)
-    first = np.full(len(owner), most)
-    for t in range(hashes.tables):
-        code, goal = hashes.probes(lifted, t, most), hashes.bucket(theirs, t)
-        for i in range(len(owner)):
-            hit = np.flatnonzero(code[owner[i]] == goal[i])
-            if len(hit):
-                first[i] = min(first[i], hit[0])
+    while True:
+        first = np.full(len(owner), most)
+        for t in range(hashes.tables):
+            goal = hashes.bucket(theirs, t)
+            for i in range(len(lifted)):
+                mine = np.flatnonzero(owner == i)
+                code = hashes.probes(lifted[i : i + 1], t, most)[0]
+                hit = code[None, :] == goal[mine][:, None]
+                first[mine] = np.minimum(first[mine], np.where(hit.any(axis=1), hit.argmax(axis=1), most))
+        # every vector lies in some bucket, so the goal is met with all of them at the latest
+        if most == hashes.buckets or (first < most).mean() >= recall:
+            break
+        most = min(hashes.buckets, 4 * most)
     probes = int(np.sort(first)[min(len(first) - 1, int(np.ceil(recall * len(first))) - 1)]) + 1
     if report is not None:
         report.update(probes=probes, buckets=hashes.buckets, tables=hashes.tables, fitted=float((first < probes).mean()))
