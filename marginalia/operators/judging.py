@@ -184,23 +184,53 @@ def drift_sample(query_log: DataFrame, judge_scores: DataFrame, as_of: Column, n
     return recent.join(judged, "id", "left_anti").orderBy(order, "id").limit(n)
 
 
-def drift_scores(sample: DataFrame, chunks: DataFrame, judge_name: str = "lexical", as_of: Column | None = None) -> DataFrame:
-    """judge_scores rows of sampled answers: scores over 5, flagged unless both judges pass."""
+def lexical_verdicts(prompts: DataFrame) -> DataFrame:
+    """(query_id, judge, score, passed, rationale) by word overlap."""
+    v = judge_lexical(prompts)
+    return v.select("query_id", "judge", "score", "passed", F.concat(F.lit("score="), F.col("score").cast("string")).alias("rationale"))
+
+
+def model_verdicts(loader: Judge) -> Callable[[DataFrame], DataFrame]:
+    """The same from the replies of a model."""
+
+    def run(prompts: DataFrame) -> DataFrame:
+        raw = judge_model(prompts, loader, ["query_id", "judge"])
+        return raw.select("query_id", "judge", parse_verdict(F.col("raw")).alias("v")).select("query_id", "judge", "v.*")
+
+    return run
+
+
+def drift_scores(
+    sample: DataFrame,
+    chunks: DataFrame,
+    judge_name: str = "lexical",
+    as_of: Column | None = None,
+    judge: Callable[[DataFrame], DataFrame] = lexical_verdicts,
+) -> DataFrame:
+    """judge_scores rows of sampled answers: scores over 5, flagged unless both judges pass.
+
+    ``judge`` turns prompt rows (two an answer: groundedness, faithfulness) into verdicts: ``lexical_verdicts`` or
+    ``model_verdicts(loader)``. An answer that it leaves without a verdict has no score and is flagged.
+    """
     rows = sample.select(F.col("id").alias("query_id"), "question", "answer", "reranked_ids")
     ctx = context_text(rows.select("query_id", "reranked_ids"), chunks)
-    expects = F.lit(True)  # the nightly prompt allows abstaining
-    plan = rows.join(ctx, "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
-    g = lexical_score(F.col("answer"), F.col("context"), expects)
-    f = lexical_score(F.col("answer"), F.col("context"), F.lit(False))
-    return plan.select(
+    plan = (
+        rows.join(ctx, "query_id", "left")
+        .withColumn("context", F.coalesce("context", F.lit("")))
+        .withColumn("key_points", F.array().cast("array<string>"))
+        .withColumn("judge", F.explode(F.array(F.lit("groundedness"), F.lit("faithfulness"))))
+        .withColumn("expects_abstention", F.col("judge") == "groundedness")  # the nightly prompt allows abstaining
+    )
+    verdict = F.struct("score", "passed", "rationale")
+    of = lambda name: F.max(F.when(F.col("judge") == name, verdict))
+    both = judge(judge_prompts(plan)).groupBy("query_id").agg(of("groundedness").alias("g"), of("faithfulness").alias("f"))
+    return rows.select("query_id").join(both, "query_id", "left").select(
         F.col("query_id").alias("query_log_id"),
         (as_of if as_of is not None else F.lit(None).cast("timestamp")).alias("judged_at"),
         F.lit(judge_name).alias("judge_model"),
-        (f / 5).cast("float").alias("faithfulness"),
+        (F.col("f.score") / 5).cast("float").alias("faithfulness"),
         F.lit(None).cast("float").alias("relevance"),
-        (g / 5).cast("float").alias("groundedness"),
-        (~((g >= 4) & (f >= 4))).alias("flagged"),
-        F.concat(F.lit("g: score="), g.cast("string"), F.lit(" | f: score="), f.cast("string")).alias("rationale"),
+        (F.col("g.score") / 5).cast("float").alias("groundedness"),
+        (~(F.coalesce("g.passed", F.lit(False)) & F.coalesce("f.passed", F.lit(False)))).alias("flagged"),
+        F.concat(F.lit("g: "), F.coalesce("g.rationale", F.lit("")), F.lit(" | f: "), F.coalesce("f.rationale", F.lit(""))).alias("rationale"),
     )
-
-

@@ -162,14 +162,27 @@ def golden_stats(spark, sf):
     return golden.golden_stats(golden_items(spark, sf))
 
 
+# each item as the JSON text whose hash is summed, fields by name
+_STAMP_SQL = f"""{GOLD_SQL}, hs AS (SELECT query_id, list_sort(list(content_hash)) AS h FROM rel GROUP BY 1),
+    js AS (SELECT type, sha256('{{"answer_key_points":' || to_json(string_split(question, '. ')) || ',"chapter":' || to_json(chapter) || ',"id":' || id || ',"question":' || to_json(question)
+      || ',"source_chunk_content_hashes":' || to_json(coalesce(h, []::VARCHAR[])) || ',"type":' || to_json(type) || ',"verified":' || verified || '}}') AS d FROM gold LEFT JOIN hs ON hs.query_id = gold.id),
+    stamp AS (SELECT sha256({" || ':' || ".join(f"sum(('0x' || substr(d, {1 + 16 * i}, 16))::UBIGINT::HUGEINT)::VARCHAR" for i in range(4))}) AS fingerprint FROM js)"""
+
+
 @query(
     "golden_stamp",
-    f"WITH {GOLD_SQL} SELECT count(*) AS n, count(*) FILTER (type = 'single') AS single, count(*) FILTER (type = 'multi') AS multi, count(*) FILTER (type = 'unanswerable') AS unanswerable, 64 AS digits FROM gold",
+    f"""WITH {_STAMP_SQL} SELECT count(*) AS n, count(*) FILTER (type = 'single') AS single, count(*) FILTER (type = 'multi') AS multi, count(*) FILTER (type = 'unanswerable') AS unanswerable,
+      (SELECT fingerprint FROM stamp) AS fingerprint FROM gold""",
 )
 def golden_stamp(spark, sf):
-    return golden.golden_stamp(golden_items(spark, sf)).select(
-        "n", "single", "multi", "unanswerable", F.length("fingerprint").alias("digits")
-    )
+    return golden.golden_stamp(golden_items(spark, sf)).select("n", "single", "multi", "unanswerable", "fingerprint")
+
+
+@query("golden_gate_unchanged", f"WITH {GOLD_SQL} SELECT 'not verified' AS rule, id::VARCHAR AS item_id FROM gold WHERE NOT verified")
+def golden_gate_unchanged(spark, sf):
+    """The set as it was stamped, read in another order: only items that nobody verified are reported."""
+    g = cut_lineage(golden_items(spark, sf), "golden")
+    return golden.golden_gate(g.repartition(5, "question"), golden.golden_stamp(g))
 
 
 @query(
@@ -420,14 +433,14 @@ def per_question(spark, sf):
 _LAT = "(SELECT latency_ms FROM (SELECT latency_ms, row_number() OVER (ORDER BY latency_ms) - 1 AS r, count(*) OVER () AS n FROM perq WHERE latency_ms <> 0) WHERE r = round_even({p} * (n - 1)::DOUBLE, 0))"
 
 
-@query(
-    "generation_summary",
-    f"""WITH {_PERQ_SQL} SELECT type, count(*) AS n,
+_GENERATION = f"""SELECT type, count(*) AS n,
       {", ".join(f"round(coalesce(avg({c}) FILTER ({c} IS NOT NULL), 0), 9) AS {c}_mean, round(coalesce(avg(CASE WHEN {c} >= 4 THEN 1.0 ELSE 0.0 END) FILTER ({c} IS NOT NULL), 0), 9) AS {c}_pass_rate" for c in ("faithfulness", "relevance", "groundedness"))},
       round(avg(abstained::INT), 9) AS abstention_rate,
       CASE WHEN type IS NULL THEN {_LAT.format(p='0.5::DOUBLE')} END AS p50, CASE WHEN type IS NULL THEN {_LAT.format(p='0.9::DOUBLE')} END AS p90, CASE WHEN type IS NULL THEN {_LAT.format(p='0.99::DOUBLE')} END AS p99
-    FROM perq GROUP BY GROUPING SETS ((), (type))""",
-)
+    FROM perq GROUP BY GROUPING SETS ((), (type))"""
+
+
+@query("generation_summary", f"WITH {_PERQ_SQL} {_GENERATION}")
 def generation_summary(spark, sf):
     out = evaluation.generation_summary(cut_lineage(scored(spark, sf), "perq"))
     return out.select(*[F.round(c, 9).alias(c) if c.endswith(("_mean", "_rate")) else F.col(c) for c in out.columns])
@@ -494,11 +507,11 @@ def cohen_kappa(spark, sf):
     return evaluation.cohen_kappa(pairs(spark, sf), "a", "b").withColumn("kappa", F.round("kappa", 9))
 
 
-@query(
-    "judge_agreement",
-    f"""WITH {_PAIRS_SQL}, k AS ({_kappa('lang FROM pairs GROUP BY GROUPING SETS ((), (lang))')})
-    SELECT lang, n, round(po, 9) AS agreement, round(CASE WHEN pe = 1 THEN 1 ELSE (po - pe) / (1 - pe) END, 9) AS kappa, po >= 0.8 AS trusted FROM k""",
-)
+_AGREEMENT_SQL = f"""WITH {_PAIRS_SQL}, k AS ({_kappa('lang FROM pairs GROUP BY GROUPING SETS ((), (lang))')})
+    SELECT lang, n, round(po, 9) AS agreement, round(CASE WHEN pe = 1 THEN 1 ELSE (po - pe) / (1 - pe) END, 9) AS kappa, po >= 0.8 AS trusted FROM k"""
+
+
+@query("judge_agreement", _AGREEMENT_SQL)
 def judge_agreement(spark, sf):
     out = evaluation.judge_agreement(pairs(spark, sf), "a", "b", by="lang")
     return out.withColumn("agreement", F.round("agreement", 9)).withColumn("kappa", F.round("kappa", 9))
@@ -544,18 +557,34 @@ def _report(spark, sf):
     return evaluation.eval_report(F.lit("run-1"), {"model": F.lit("m")}, g, runs, summary, agreement, per)
 
 
-_REPORT_SQL = f"""WITH {GOLD_SQL} SELECT 'run-1' AS run_id, count(*) AS golden_count, count(*) FILTER (type = 'unanswerable') AS n_unanswerable,
-    CAST(count(DISTINCT type) + 1 AS INT) AS summary_rows, (SELECT CAST(count(DISTINCT lang) + 1 AS INT) FROM labels JOIN documents USING (doc_id)) AS agreement_rows, count(*) AS questions FROM gold"""
+# generation figures of a report, one row a type, beside its run data
+_REPORT_SQL = f"""WITH {_PERQ_SQL}, gen AS ({_GENERATION}),
+    base AS (SELECT 'run-1' AS run_id, count(*) AS golden_count, count(*) FILTER (type = 'single') AS n_single, count(*) FILTER (type = 'multi') AS n_multi,
+      count(*) FILTER (type = 'unanswerable') AS n_unanswerable, count(*) AS questions FROM gold)
+    SELECT base.*, gen.* FROM base, gen"""
+
+
+def _figures(report, per):
+    """Every figure of the report that the questions give: run data beside the rows by type."""
+    n = per.groupBy("run_id").agg(F.count("*").alias("questions"))
+    rows = report.join(n, "run_id").select(
+        "run_id", "golden_count", "n_single", "n_multi", "n_unanswerable", "questions", F.explode("generation").alias("g")
+    )
+    names = ["type", "n", *[f"{c}_{x}" for c in ("faithfulness", "relevance", "groundedness") for x in ("mean", "pass_rate")], "abstention_rate", "p50", "p90", "p99"]
+    figure = lambda c: F.round(F.col(f"g.{c}"), 9) if c.endswith(("_mean", "_rate")) else F.col(f"g.{c}")
+    return rows.select(*rows.columns[:-1], *[figure(c).alias(c) for c in names])
 
 
 @query("eval_report", _REPORT_SQL)
 def eval_report(spark, sf):
-    report, per = _report(spark, sf)
-    n = per.groupBy("run_id").agg(F.count("*").alias("questions"))
-    return report.join(n, "run_id").select(
-        "run_id", "golden_count", "n_unanswerable", F.size("generation").alias("summary_rows"),
-        F.size("judge_agreement").alias("agreement_rows"), "questions",
-    )
+    return _figures(*_report(spark, sf))
+
+
+@query("eval_report_agreement", _AGREEMENT_SQL)
+def eval_report_agreement(spark, sf):
+    """The agreement figures that the report carries."""
+    rows = _report(spark, sf)[0].select(F.inline("judge_agreement"))
+    return rows.withColumn("agreement", F.round("agreement", 9)).withColumn("kappa", F.round("kappa", 9))
 
 
 @query("write_report", _REPORT_SQL)
@@ -565,12 +594,7 @@ def write_report(spark, sf):
     report, per = _report(spark, sf)
     writers.write_report(report, per, root, "run-0")
     writers.write_report(report, per, root, "run-1")
-    last = writers.latest_report(spark, root)
-    n = spark.read.json(root + "/questions").groupBy("run_id").agg(F.count("*").alias("questions"))
-    return last.join(n, "run_id").select(
-        "run_id", "golden_count", "n_unanswerable", F.size("generation").cast("int").alias("summary_rows"),
-        F.size("judge_agreement").cast("int").alias("agreement_rows"), "questions",
-    )
+    return _figures(writers.latest_report(spark, root), spark.read.json(root + "/questions"))
 
 
 # ---- drift ------------------------------------------------------------------------
@@ -591,11 +615,14 @@ def drift_sample(spark, sf):
     return _drift(spark, sf).select("id")
 
 
+_DRIFT_CTX_SQL = f"""{dv.DOC_ROWS}, rr AS (SELECT id AS query_id, unnest([k, k + 1, k + 2]) AS cid, generate_subscripts([1, 2, 3], 1) AS p FROM samp),
+    ctx AS (SELECT query_id, string_agg('[' || n || '] (' || heading_path || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS context FROM
+      (SELECT rr.query_id, d.heading_path, d.text, row_number() OVER (PARTITION BY rr.query_id ORDER BY p) AS n FROM rr JOIN doc_rows d ON d.id = rr.cid) GROUP BY 1)"""
+
+
 @query(
     "drift_scores",
-    rf"""WITH {_DRIFT_SQL}, {dv.DOC_ROWS}, rr AS (SELECT id AS query_id, unnest([k, k + 1, k + 2]) AS cid, generate_subscripts([1, 2, 3], 1) AS p FROM samp),
-    ctx AS (SELECT query_id, string_agg('[' || n || '] (' || heading_path || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS context FROM
-      (SELECT rr.query_id, d.heading_path, d.text, row_number() OVER (PARTITION BY rr.query_id ORDER BY p) AS n FROM rr JOIN doc_rows d ON d.id = rr.cid) GROUP BY 1),
+    rf"""WITH {_DRIFT_SQL}, {_DRIFT_CTX_SQL},
     w AS (SELECT s.id, list_distinct({dv.words_sql('s.answer')}) AS aw, list_distinct({dv.words_sql("coalesce(c.context, '')")}) AS cw FROM samp s LEFT JOIN ctx c ON c.query_id = s.id),
     sc AS (SELECT id, CASE WHEN len(list_intersect(aw, cw))::DOUBLE / greatest(len(aw), 1) > 0.6 THEN 5 WHEN len(list_intersect(aw, cw))::DOUBLE / greatest(len(aw), 1) > 0.3 THEN 3 ELSE 1 END AS s FROM w)
     SELECT id AS query_log_id, round(s / 5.0, 3)::DOUBLE AS faithfulness, round(s / 5.0, 3)::DOUBLE AS groundedness, s < 4 AS flagged, 'g: score=' || s || ' | f: score=' || s AS rationale FROM sc""",
@@ -606,3 +633,18 @@ def drift_scores(spark, sf):
     return s.select("query_log_id", r("faithfulness"), r("groundedness"), "flagged", "rationale")
 
 
+_NIGHT_SQL = _judge_sql("groundedness").replace("CASE WHEN p.type = 'unanswerable' THEN", "CASE WHEN true THEN")
+
+
+@query(
+    "drift_scores_model",
+    rf"""WITH {_DRIFT_SQL}, {_DRIFT_CTX_SQL},
+    n AS (SELECT p.id, length({_NIGHT_SQL}) AS g, length({_judge_sql("faithfulness")}) AS f FROM samp p LEFT JOIN ctx c ON c.query_id = p.id)
+    SELECT id AS query_log_id, 'length' AS judge_model, round((f % 5 + 1) / 5.0, 3)::DOUBLE AS faithfulness, round((g % 5 + 1) / 5.0, 3)::DOUBLE AS groundedness,
+      NOT (g % 5 + 1 >= 4 AND f % 5 + 1 >= 4) AS flagged, 'g: n=' || g || ' | f: n=' || f AS rationale FROM n""",
+)
+def drift_scores_model(spark, sf):
+    """The nightly check with a model as its judge, loaded once per task."""
+    s = judging.drift_scores(_drift(spark, sf), dv.doc_rows(spark, sf), "length", judge=judging.model_verdicts(length_judge))
+    r = lambda c: F.round(F.col(c).cast("double"), 3).alias(c)
+    return s.select("query_log_id", "judge_model", r("faithfulness"), r("groundedness"), "flagged", "rationale")

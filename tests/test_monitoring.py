@@ -304,3 +304,26 @@ def test_sliding_histograms_add_up_panes(spark):
         assert [(b.le, b["count"]) for b in x.buckets] == [(1.0, sum(v <= 1 for v in mine)), (50.0, sum(v <= 50 for v in mine)), (float("inf"), len(mine))]
     assert len(got) >= 40
     assert {s.state for s in metrics.latency_alerts(df, "v").collect()} == {"pending", "firing"}
+
+
+def test_drift_with_a_judge_passed_in(spark):
+    sample = spark.createDataFrame(
+        [(1, "q?", "pumps move water", [7]), (2, "q?", "unknown", []), (3, "lost", "x", [7])],
+        "id long, question string, answer string, reranked_ids array<long>",
+    )
+    chunks = spark.createDataFrame([(7, "Vol 1", "pumps move water", "h")], "id long, heading_path string, text string, content_hash string")
+
+    def loader():
+        # says nothing readable of the second answer
+        return lambda prompts: ["no json" if "unknown" in p else '{"score": 4, "rationale": "fine"}' for p in prompts]
+
+    model = judging.model_verdicts(loader)
+    got = {r["query_log_id"]: r for r in judging.drift_scores(sample, chunks, "m", judge=model).collect()}
+    assert (got[1]["judge_model"], round(got[1]["groundedness"], 3), got[1]["flagged"], got[1]["rationale"]) == ("m", 0.8, False, "g: fine | f: fine")
+    assert round(got[2]["faithfulness"], 3) == 0.2 and got[2]["flagged"]
+
+    # answers without any verdict have no score and are flagged
+    some = judging.drift_scores(sample, chunks, judge=lambda p: judging.lexical_verdicts(p.filter("query_id <> 3")))
+    got = {r["query_log_id"]: r for r in some.collect()}
+    assert got[1]["faithfulness"] == 1.0 and not got[1]["flagged"]
+    assert got[3]["faithfulness"] is None and got[3]["flagged"]
