@@ -54,6 +54,25 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     return s.withColumn("target", F.least(F.col("top"), F.col("level") * F.col("w")))
 
 
+def weight_classes(one: DataFrame) -> DataFrame:
+    """(cs, classes) of each source: mean weight and share of its rows by power of two of their (positive) weight."""
+    q = F.least("q", F.lit(1e300))
+    c = one.where("q > 0").groupBy(F.col("source").alias("cs"), F.floor(F.log2(q)).alias("power"))
+    c = c.agg(F.avg(q).alias("w"), F.count(F.lit(1)).alias("n"))
+    c = c.groupBy("cs").agg(F.sum("n").alias("all"), F.array_sort(F.collect_list(F.struct("w", "n"))).alias("each"))
+    return c.select("cs", F.transform("each", lambda x: F.struct(x["w"].alias("w"), (x["n"] / F.col("all")).alias("p"))).alias("classes"))
+
+
+def share_before(key: Column, classes: Column) -> Column:
+    """The share of a source's keys that is expected below `key`: exponential keys, mixed over the classes of weights.
+
+    It never falls as keys grow, so buckets cut by it are in key order whatever the classes are; they are about even for
+    any mix of weights, as weights of a class differ by a factor of two at most.
+    """
+    mixed = F.aggregate(classes, F.lit(0.0), lambda acc, x: acc + x["p"] * (1 - F.exp(-key * x["w"])))
+    return F.when(key == float("inf"), 1.0).otherwise(F.coalesce(mixed, F.lit(0.0)))
+
+
 def mix(
     docs: DataFrame,
     quality: DataFrame | None = None,
@@ -74,7 +93,7 @@ def mix(
     to its target, so the words taken differ from it by half a document at most.
     Null or empty texts have size 0 and take 0. A null source is a source of its own, last in order. Rows that repeat
     an id draw the same key and are ordered by size; rows equal in all three are exchangeable. No rows: no rows.
-    Other columns are not read.
+    Other columns are not read. Documents are taken whole, however long; the words of texts are counted in the scan.
     """
     one = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
@@ -93,24 +112,22 @@ def mix(
     sizes = one.groupBy("source").agg(
         F.sum("size").alias("source_size"),
         F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.min(F.when(F.col("q") > 0, F.col("q"))), F.lit(1.0)).alias("least"),
     )
-    goal = targets(sizes, weights, share, cap)
+    goal = targets(sizes, weights, share, cap).join(weight_classes(one), F.col("source").eqNullSafe(F.col("cs")), "left")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = small(
         goal.select(
             F.col("source").alias("s"),
             "source_size",
             "target",
-            "least",
+            "classes",
             epochs.alias("epochs"),
             (F.col("target") - epochs * F.col("source_size")).alias("rest"),
             F.ceil(F.col("rows") / bucket_rows).alias("buckets"),
         )
     )
     one = one.join(goal, F.col("source").eqNullSafe(F.col("s")))
-    # Divided by the least weight of a source, keys fill the buckets evenly up to the ratio of weights.
-    at = F.floor((1 - F.exp(-F.col("draw_key") * F.col("least"))) * F.col("buckets"))
+    at = F.floor(share_before(F.col("draw_key"), F.col("classes")) * F.col("buckets"))
     one = one.withColumn("bucket", F.least(at, F.col("buckets") - 1))
     per = one.groupBy(F.col("source").alias("ps"), F.col("bucket").alias("pb")).agg(F.sum("size").alias("words"))
     order = Window.partitionBy("ps").orderBy("pb").rowsBetween(Window.unboundedPreceding, -1)
