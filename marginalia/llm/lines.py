@@ -3,8 +3,9 @@
 A HyperLogLog sketch of sites per line hash merges by aggregation. Lines whose estimate lies near the threshold get an
 exact distinct count; lines that spread over enough sites are boilerplate and stay at their first place only.
 
-Plan: exploded lines carry two hashes, the site and the place, never the text. A hot line is pre-aggregated by task;
-its places are fetched by a join on the few spread lines. Texts move once, to meet their removed line numbers.
+Plan: exploded lines carry two hashes, the site and the place, never the text. A hot line is pre-aggregated by task.
+The few spread lines go to the places (broadcast up to a counted bound), so the places of a hot line stay in their tasks.
+Texts move once, to meet their removed line numbers.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.frames import packed, row_key
+from marginalia.llm.frames import packed, row_key, small
 from marginalia.session import cut_lineage
 
 
@@ -46,7 +47,7 @@ def spread_lines(places: DataFrame, min_sites: int = 10, lg_k: int = 10) -> Data
     seen = cut_lineage(seen.where(F.col("sites") >= min_sites * (1 - band) - 1), "lines")
     near = seen.where(F.col("sites") <= min_sites * (1 + band) + 1)
     exact = (
-        places.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi")
+        places.join(small(near.select("h1", "h2")), ["h1", "h2"], "left_semi")
         .groupBy("h1", "h2", "site")
         .agg(F.lit(1).alias("x"))
         .groupBy("h1", "h2")
@@ -69,12 +70,13 @@ def drop_boilerplate(
 
     A line counts once for each distinct site; a null site is a site of its own. Its first place (smallest id, null
     ids last, then line number) stays. Null and empty texts stay as they are. Rows equal in id and text are one
-    document read twice: each keeps the first place. No rows: no rows.
+    document read twice: each keeps the first place. No rows: no rows. A text is cut whole, however long it is; other
+    columns, whatever their names, come back in `row`.
     """
     places = line_places(docs, id_col, text_col, site_col)
     found = spread_lines(places, min_sites, lg_k)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "rk", "at")
-    gone = places.join(found.select("h1", "h2", "first"), ["h1", "h2"]).where(place != F.col("first"))
+    gone = places.join(small(found.select("h1", "h2", "first")), ["h1", "h2"]).where(place != F.col("first"))
     gone = gone.groupBy("id", "rk").agg(F.collect_set("at").alias("gone"))
     rows = docs.select(packed(docs).alias("row"), F.col(id_col).alias("i"), row_key(id_col, text_col).alias("k"))
     both = rows.join(gone, F.col("i").eqNullSafe(F.col("id")) & (F.col("k") == F.col("rk")), "left")
