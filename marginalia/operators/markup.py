@@ -44,21 +44,46 @@ def strip_front_matter(docs: DataFrame) -> DataFrame:
     )
 
 
+def running_sums(sizes: Column) -> Column:
+    """The sum of an array of ints before each of its elements.
+
+    A fold that appends copies its result at each step. Folding blocks of about the square root of the elements keeps
+    that at n * sqrt(n), and the totals before the blocks are a fold of as many steps.
+    """
+
+    def before(xs: Column, first: Column) -> Column:
+        start = F.struct(first.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(xs, start, step, lambda acc: acc["out"])
+
+    def cut(xs: Column) -> Column:
+        block = F.greatest(F.ceil(F.sqrt(F.size(xs).cast("double"))), F.lit(1)).cast("int")
+        count = lambda n: F.ceil(F.size(xs) / n).cast("int")
+        return tx.let(
+            block, lambda n: F.transform(F.sequence(F.lit(0), count(n) - 1), lambda b: F.slice(xs, b * n + 1, n))
+        )
+
+    def join(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda acc, x: acc + x))
+        both = F.arrays_zip(parts.alias("p"), before(totals, F.lit(0)).alias("t"))
+        return F.flatten(F.transform(both, lambda x: before(x["p"], x["t"])))
+
+    return tx.let(sizes, lambda xs: tx.let(cut(xs), join))
+
+
 def explode_lines(docs: DataFrame) -> DataFrame:
-    """(source_file, text) to one row per line with its character span, line ends included."""
-    w = W.partitionBy("source_file").orderBy("line_no")
-    total = F.length("text")
+    """(source_file, text) to one row per line with its character span, line ends included.
+
+    Offsets are summed inside the row, so no text leaves its task; a null text is one row without a span.
+    """
+    lines = F.split("text", "\n")
+    starts = running_sums(F.transform(lines, lambda x: F.length(x) + 1))
+    placed = F.arrays_zip(lines.alias("line"), starts.alias("char_start"))
     return (
-        docs.select("source_file", F.length("text").alias("n"), F.posexplode_outer(F.split("text", "\n")))
-        .withColumnsRenamed({"pos": "line_no", "col": "line"})
-        .withColumn("end", F.sum(F.length("line") + 1).over(w).cast("int"))
-        .select(
-            "source_file",
-            "line_no",
-            "line",
-            (F.col("end") - F.length("line") - 1).alias("char_start"),
-            F.least("end", "n").alias("char_end"),
-        )
+        docs.select("source_file", F.length("text").alias("n"), F.posexplode_outer(placed).alias("line_no", "x"))
+        .select("source_file", "line_no", "x.line", "x.char_start", "n")
+        .withColumn("char_end", F.least(F.col("char_start") + F.length("line") + 1, "n"))
+        .drop("n")
     )
 
 

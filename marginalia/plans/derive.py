@@ -118,12 +118,13 @@ lines AS (SELECT doc_id, lang, source, i, line,
   FROM lines0)"""
 
 
-def pieces_sql(hi: int, source: str = "paras", atomic: str = "false") -> str:
-    """Paragraphs over the budget cut into whole sentences filled up to it."""
+def pieces_sql(hi: int, source: str = "paras", atomic: str = "false", cut_all: bool = False) -> str:
+    """Paragraphs over the budget (all, with `cut_all`) cut into whole sentences filled up to it."""
+    long = "true" if cut_all else f"tok > {hi}"
     cut = r"""string_split(regexp_replace(txt, '([.!?])\s+([A-Z0-9"''(])', '\1' || chr(1) || '\2', 'g'), chr(1))"""
     return f"""
 sized AS (SELECT *, {tokens_sql('txt')} AS tok, {atomic} AS atomic FROM {source}),
-sents0 AS (SELECT doc_id, i, unnest({cut}) AS s, generate_subscripts({cut}, 1) AS j FROM sized WHERE tok > {hi} AND NOT atomic),
+sents0 AS (SELECT doc_id, i, unnest({cut}) AS s, generate_subscripts({cut}, 1) AS j FROM sized WHERE {long} AND NOT atomic),
 sents AS (SELECT *, {tokens_sql('s')} AS st FROM sents0),
 split AS (
   SELECT doc_id, i, j, 1 AS piece, st AS used FROM sents WHERE j = 1
@@ -285,3 +286,31 @@ seg1 AS (SELECT *, CASE i % 12
 seg AS (SELECT *, CAST(length('# Title ' || doc_id || ' {{#ttl-' || doc_id || '}}') + 2
     + coalesce(sum(length(s) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
     (i = max(i) OVER (PARTITION BY doc_id)) AS is_last FROM seg1)"""
+
+
+def _blocks_sql() -> str:
+    opener = """'::: {.callout-note title="' || x || '"}'"""
+    line = lambda kind, where, level="0", anchor="NULL", txt="s": (
+        f"SELECT doc_id, i, start, length(s) AS len, is_last AS last, '{kind}' AS kind, {level} AS level, {anchor} AS anchor, {txt} AS txt FROM seg WHERE {where}"
+    )
+    return " UNION ALL ".join(
+        [
+            "SELECT doc_id, -1, 0, length('# Title ' || doc_id || ' {#ttl-' || doc_id || '}'), false, 'heading', 1, 'ttl-' || doc_id, 'Title ' || doc_id FROM documents",
+            line("heading", "i % 12 = 0", "(i // 12) % 3 + 2", "'sec-' || tag", "x"),
+            line("para", "i % 12 IN (1, 11)"),
+            line("list", "i % 12 = 2"),
+            line("code", "i % 12 = 3"),
+            line("table", "i % 12 = 5", anchor="'tbl-' || tag", txt="'Table (tbl-' || tag || '): Cap ' || x || chr(10) || '| ' || x || ' | b |' || chr(10) || '|---|---|'"),
+            line("equation", "i % 12 IN (6, 7)", anchor="'eq-' || tag", txt="'$$ ' || x || ' $$ (eq-' || tag || ')'"),
+            """SELECT doc_id, i, start, length('::: {#fig-' || tag || ' fig-cap="' || x || '"}'), false, 'figure', 0, 'fig-' || tag, 'Figure (fig-' || tag || '): ' || x FROM seg WHERE i % 12 = 8""",
+            f"SELECT doc_id, i, start, length({opener}), false, 'para', 0, NULL, '**' || x || '.**' FROM seg WHERE i % 12 = 10",
+            f"SELECT doc_id, i, start + length({opener}) + 1, length('Inside ' || x), false, 'para', 0, NULL, 'Inside ' || x FROM seg WHERE i % 12 = 10",
+        ]
+    )
+
+
+#: Every block of the marked-up documents, known from the plain lines.
+BLOCKS = f"""{MARKED},
+blk(doc_id, i, start, len, last, kind, level, anchor, txt) AS ({_blocks_sql()}),
+spans AS (SELECT *, CAST(doc_id AS VARCHAR) AS source_file, CAST(start AS INT) AS char_start,
+  CAST(start + len + CASE WHEN last THEN 0 ELSE 1 END AS INT) AS char_end FROM blk)"""

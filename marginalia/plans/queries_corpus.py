@@ -289,28 +289,25 @@ def figure_blocks(spark, sf):
     return _block_rows(markup.blocks_of(blocks(spark, sf), "figure"))
 
 
-@query(
-    "callout_titles",
-    _block_sql(
-        "para",
-        """SELECT doc_id, start, length('::: {.callout-note title="' || x || '"}') AS len, false AS last, 0 AS level, NULL AS anchor, '**' || x || '.**' AS txt FROM seg WHERE i % 12 = 10""",
-    ),
-)
+def _all_sql(where: str) -> str:
+    return f"""WITH {dv.BLOCKS} SELECT source_file, kind, char_start, char_end, CAST(level AS INT) AS level,
+      CAST(anchor AS VARCHAR) AS anchor, md5(txt) AS text_md5 FROM spans WHERE {where}"""
+
+
+@query("callout_titles", _all_sql("kind = 'para'"))
 def callout_titles(spark, sf):
-    return _block_rows(markup.blocks_of(blocks(spark, sf), "para").filter("startswith(text, '**')"))
+    """Titles of callouts among all the paragraphs."""
+    return _block_rows(markup.blocks_of(blocks(spark, sf), "para"))
 
 
-@query(
-    "para_list_blocks",
-    f"""WITH {dv.MARKED}, b AS (
-      SELECT doc_id, start, length(s) AS len, is_last AS last, 'para' AS kind, s AS txt FROM seg WHERE i % 12 IN (1, 11)
-      UNION ALL SELECT doc_id, start, length(s), is_last, 'list', s FROM seg WHERE i % 12 = 2
-      UNION ALL SELECT doc_id, start + length('::: {{.callout-note title="' || x || '"}}') + 1, length('Inside ' || x), false, 'para', 'Inside ' || x FROM seg WHERE i % 12 = 10)
-    SELECT CAST(doc_id AS VARCHAR) AS source_file, kind, CAST(start AS INT) AS char_start,
-      CAST(start + len + CASE WHEN last THEN 0 ELSE 1 END AS INT) AS char_end, 0 AS level, CAST(NULL AS VARCHAR) AS anchor, md5(txt) AS text_md5 FROM b""",
-)
+@query("para_list_blocks", _all_sql("kind IN ('para', 'list')"))
 def para_list_blocks(spark, sf):
-    return _block_rows(markup.blocks_of(blocks(spark, sf), "para", "list").filter("not startswith(text, '**')"))
+    return _block_rows(markup.blocks_of(blocks(spark, sf), "para", "list"))
+
+
+@query("all_blocks", _all_sql("true"))
+def all_blocks(spark, sf):
+    return _block_rows(blocks(spark, sf))
 
 
 _LABELS_SQL = """labels_t AS (SELECT 'sec-' || tag AS anchor, '§ ' || x AS label FROM seg WHERE i % 12 = 0
@@ -346,35 +343,30 @@ def collect_labels_in_order(spark, sf):
 
 @query(
     "resolve_crossrefs",
-    f"""WITH {dv.MARKED} SELECT CAST(a.doc_id AS VARCHAR) AS source_file, CAST(a.start AS INT) AS char_start,
-      md5('See § ' || h.x || ' and @tbl-none-' || a.tag || ' ' || a.x) AS text_md5
-    FROM seg a JOIN seg h ON h.doc_id = a.doc_id AND h.i = a.i - 11 WHERE a.i % 12 = 11""",
+    f"""WITH {dv.BLOCKS} SELECT b.source_file, b.kind, b.char_start, b.char_end, CAST(b.level AS INT) AS level, CAST(b.anchor AS VARCHAR) AS anchor,
+      md5(CASE WHEN b.i % 12 = 11 THEN 'See § ' || h.x || ' and @tbl-none-' || b.doc_id || '-' || b.i || ' ' || own.x ELSE b.txt END) AS text_md5
+    FROM spans b LEFT JOIN seg own ON own.doc_id = b.doc_id AND own.i = b.i
+    LEFT JOIN seg h ON h.doc_id = b.doc_id AND h.i = b.i - 11""",
 )
 def resolve_crossrefs(spark, sf):
     # three readers: written once to the shared folder
     b = cut_lineage(blocks(spark, sf), "blocks")
-    return (
-        markup.resolve_crossrefs(b, markup.collect_labels(b))
-        .filter("kind = 'para' and startswith(text, 'See ')")
-        .select("source_file", "char_start", F.md5("text").alias("text_md5"))
-    )
+    return _block_rows(markup.resolve_crossrefs(b, markup.collect_labels(b)))
 
 
 @query(
     "section_path",
-    f"""WITH {dv.MARKED}, h AS (SELECT doc_id, i // 12 AS j, x FROM seg WHERE i % 12 = 0)
-    SELECT CAST(s.doc_id AS VARCHAR) AS source_file, CAST(s.start AS INT) AS char_start,
-      md5(CASE (s.i // 12) % 3 WHEN 0 THEN h0.x WHEN 1 THEN h1.x || '|' || h0.x ELSE h2.x || '|' || h1.x || '|' || h0.x END) AS path_md5
-    FROM seg s JOIN h h0 ON h0.doc_id = s.doc_id AND h0.j = s.i // 12
+    f"""WITH {dv.BLOCKS}, h AS (SELECT doc_id, i // 12 AS j, x FROM seg WHERE i % 12 = 0)
+    SELECT s.source_file, s.kind, s.char_start, s.char_end,
+      md5(CASE WHEN s.i < 0 THEN '' WHEN (s.i // 12) % 3 = 0 THEN h0.x WHEN (s.i // 12) % 3 = 1 THEN h1.x || '|' || h0.x
+        ELSE h2.x || '|' || h1.x || '|' || h0.x END) AS path_md5
+    FROM spans s LEFT JOIN h h0 ON h0.doc_id = s.doc_id AND h0.j = s.i // 12
     LEFT JOIN h h1 ON h1.doc_id = s.doc_id AND h1.j = s.i // 12 - 1
-    LEFT JOIN h h2 ON h2.doc_id = s.doc_id AND h2.j = s.i // 12 - 2 WHERE s.i % 12 IN (1, 5, 6)""",
+    LEFT JOIN h h2 ON h2.doc_id = s.doc_id AND h2.j = s.i // 12 - 2""",
 )
 def section_path(spark, sf):
     b = chunking.section_paths(blocks(spark, sf))
-    return (
-        b.filter("(kind = 'para' and startswith(text, 'Text ')) or kind = 'table' or (kind = 'equation' and mod(cast(regexp_extract(anchor, '(\\\\d+)$', 1) as int), 12) = 6)")
-        .select("source_file", "char_start", F.md5(F.array_join("section_path", "|")).alias("path_md5"))
-    )
+    return b.select("source_file", "kind", "char_start", "char_end", F.md5(F.array_join("section_path", "|")).alias("path_md5"))
 
 
 # ---- counting, splitting, packing -------------------------------------------------
@@ -410,11 +402,12 @@ _WHOLE = "whole AS (SELECT doc_id, 0 AS i, text AS txt, 0 AS char_start, n_chars
 
 @query(
     "split_paragraph",
-    f"""WITH RECURSIVE {_WHOLE}, {dv.pieces_sql(120, 'whole')}
+    f"""WITH RECURSIVE {_WHOLE}, {dv.pieces_sql(120, 'whole', cut_all=True)}
     SELECT doc_id, CAST(piece AS INT) AS piece, md5(txt) AS text_md5 FROM pieces""",
 )
 def split_paragraph(spark, sf):
-    d = dv.t(spark, sf, "documents").filter(tx.token_count(F.col("text")) > 120)
+    """All documents: sentences are counted one by one, so a text just below the budget can still be two pieces."""
+    d = dv.t(spark, sf, "documents")
     return d.select("doc_id", F.posexplode(tx.split_paragraph(F.col("text"), 120)).alias("pos", "p")).select(
         "doc_id", (F.col("pos") + 1).alias("piece"), F.md5("p").alias("text_md5")
     )

@@ -106,6 +106,23 @@ def test_section_paths(blocks):
     assert [r.section_path for r in p.collect()] == [["Kinds"], ["Kinds", "Ball"], ["Kinds", "Gate"]]
 
 
+def test_explode_lines_in_the_row(spark):
+    texts = {"a": "x\nyy\n", "b": "", "c": "\n\n", "d": "q", "e": "é\n" + "line\n" * 20_000, "f": "x\nyy\n"}
+    rows = [*texts.items(), ("n", None), ("a2", texts["a"])]
+    d = spark.createDataFrame([(k, t, 1, 2) for k, t in rows], "source_file string, text string, n int, line int")
+    out = markup.explode_lines(d)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for k, t in rows:
+        at = 0
+        for i, x in enumerate(t.split("\n") if t is not None else []):
+            want.append((k, i, x, at, min(at + len(x) + 1, len(t))))
+            at += len(x) + 1
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(r for r in got if r[0] != "n") == sorted(want) and ("n", None, None, None, None) in got
+    assert markup.explode_lines(d.limit(0)).count() == 0
+
+
 def test_explode_lines_covers_the_text(docs):
     total = markup.explode_lines(docs).groupBy("source_file").agg(F.max("char_end").alias("e"))
     j = total.join(docs, "source_file").select("e", F.length("text").alias("n")).collect()
