@@ -150,3 +150,14 @@ def test_last_user_message_and_sources(spark):
     q = spark.createDataFrame([(1, "x"), (2, "y")], "query_id int, question string")
     out = {r.query_id: r.sources for r in assembly.sources_block(cites, q).collect()}
     assert out == {1: "\n\n**Sources**\n[1] A (chunk 5)\n[2] B (chunk 7)", 2: ""}
+
+
+def test_plain_words_hold_no_syntax(spark):
+    chunks = spark.createDataFrame([(1, "red pump"), (2, "blue gear"), (3, "red pump, or blue gear; inlet-valve")], "id long, text string")
+    text = 'Red pump OR "blue" -gear inlet valve or'
+    q = spark.createDataFrame([(1, text)], "query_id long, question string")
+    plain = q.withColumn("question", lexical.plain_words(F.col("question")))
+    found = lexical.lexical_match(lexical.with_terms(chunks), plain)
+    assert {r.id for r in found.collect()} == {3}
+    rows = lexical.websearch_terms(plain).collect()
+    assert {(r.alternative, r.clause, r.negated) for r in rows} == {(0, i, False) for i in range(6)}
