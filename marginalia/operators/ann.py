@@ -19,11 +19,9 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import fixed_values as fv
 from marginalia.functions.stats import top_k
-from marginalia.operators.retrieval import _PART, ROW_BLOCK, _block_best, _matrix, _unit, dense_topk
+from marginalia.operators.retrieval import _PART, PART_SCHEMA, QUERY_BLOCK, ROW_BLOCK, _matrix, _unit, block_table, blocks_of, dense_topk, rows_of
 from marginalia.session import cut_lineage
 
-#: Questions of one cell that a task compares at once.
-QUESTION_BLOCK = 4_096
 #: Most rows that centroids are fitted on, and rows of the sample a centroid.
 SAMPLE = 1 << 18
 PER_CELL = 16
@@ -124,7 +122,7 @@ def assign(df: DataFrame, cells: Cells) -> DataFrame:
 
 
 def probe(queries: DataFrame, cells: Cells, probes: int) -> DataFrame:
-    """Each question once per cell that it probes."""
+    """Each question with the cells that it probes."""
     shared = queries.sparkSession.sparkContext.broadcast(cells)
 
     @F.pandas_udf("array<int>")
@@ -132,7 +130,45 @@ def probe(queries: DataFrame, cells: Cells, probes: int) -> DataFrame:
         for v in batches:
             yield pd.Series(list(shared.value.order(_matrix(v))[:, :probes]) if len(v) else [], dtype=object)
 
-    return queries.withColumn("cell", F.explode(first("embedding")))
+    return queries.withColumn("cells", first("embedding"))
+
+
+@dataclass(frozen=True)
+class Bins:
+    """Neighbouring cells packed into bins of about equal size: cell c lies in bins first[c] .. first[c] + parts[c] - 1."""
+
+    first: np.ndarray
+    parts: np.ndarray
+    number: int
+
+    def visited(self, probed: np.ndarray) -> list[np.ndarray]:
+        """The bins of each row of probed cells."""
+        out = []
+        for i in range(0, len(probed), 1024):
+            some = probed[i : i + 1024]
+            hit = np.zeros((len(some), self.number), bool)
+            for p in range(int(self.parts.max(initial=0))):
+                at, nth = np.nonzero(self.parts[some] > p)
+                hit[at, self.first[some[at, nth]] + p] = True
+            out += [np.flatnonzero(h).astype(np.int32) for h in hit]
+        return out
+
+
+def pack(counts: np.ndarray, most: int) -> Bins:
+    """Cells in order, packed until a bin holds `most` rows; a larger cell is several bins by itself, an empty one is in none."""
+    first, parts = np.zeros(len(counts), np.int32), np.zeros(len(counts), np.int32)
+    bins, room = 0, 0
+    for c, n in enumerate(counts):
+        if not n:
+            continue
+        parts[c] = -(-int(n) // most)
+        if parts[c] > 1:
+            first[c], bins, room = bins, bins + parts[c], 0
+        else:
+            if n > room:
+                bins, room = bins + 1, most
+            first[c], room = bins - 1, room - n
+    return Bins(first, parts, bins)
 
 
 def fit_probes(index: DataFrame, cells: Cells, queries: DataFrame, k: int, recall: float = 0.97, sample: int = 256) -> int:
@@ -159,45 +195,78 @@ def fit_probes(index: DataFrame, cells: Cells, queries: DataFrame, k: int, recal
 def ann_topk(index: DataFrame, cells: Cells, queries: DataFrame, k: int = fv.PER_LIST, probes: int | None = None, recall: float = 0.97) -> DataFrame:
     """(query_id, id, similarity, rank) from the probed cells of each question; probes are fitted to `recall` if not given.
 
-    A cell is cut into parts of about ROW_BLOCK rows by its counted size, so a cell that holds a third of all rows is many
-    groups; questions are copied to every part of their cells and a part yields k rows per question. The tables of parts
-    and blocks have a row a cell, at most SAMPLE / PER_CELL.
+    Neighbouring cells are packed into bins by their counted sizes, and a cell that holds a third of all rows is many bins.
+    A question goes once to each bin that has a cell of its own, and a bin yields k rows per question, however many of its
+    cells are probed. Cells that no question asks for go no further. What reaches the driver is a number a cell, at most
+    SAMPLE / PER_CELL.
     """
     if probes is None:
         probes = fit_probes(index, cells, queries, k, recall)
-    probes = min(probes, len(cells))
-    parts = index.groupBy("cell").agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("parts"))
-    asked = probe(queries.select("query_id", "embedding"), cells, probes)
-    # many questions on one cell are cut as well, by their number
-    blocks = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUESTION_BLOCK).cast("int").alias("blocks"))
-    grid = cut_lineage(parts.join(blocks, "cell"), "grid")  # cells that no question asks for go no further
-    rows = index.join(F.broadcast(grid), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asked = (
-        asked.join(F.broadcast(grid), "cell")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
-    )
+    spark, every = index.sparkSession, probes >= len(cells)
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("asked"), "embedding")
+    asked = asked.withColumn("cells", F.lit(None).cast("array<int>")) if every else probe(asked, cells, probes)
+    asked = asked.drop("embedding")
+    counts = np.zeros(len(cells), np.int64)
+    size = index.groupBy("cell").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d"))
+    if not every:
+        asked = cut_lineage(asked, "probes")
+        size = size.join(asked.select(F.explode("cells").alias("cell")).distinct(), "cell")
+    size = size.toPandas()  # a row a cell
+    if not len(size):
+        return spark.createDataFrame([], f"{_PART}, rank int")
+    counts[size["cell"].to_numpy()] = size["n"].to_numpy()
+    width, n = int(size["d"].max()), int(counts.sum())
+    bins = pack(counts, max(1, -(-n // blocks_of(n, width, ROW_BLOCK))))
+    blocks = blocks_of(queries.count(), width, QUERY_BLOCK)
+    shared = spark.sparkContext.broadcast(bins)
 
-    def run(q: pa.Table, v: pa.Table) -> pa.Table:
-        if not len(q) or not len(v):
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        best = _block_best(q["query_id"].to_numpy(), _rows(q["asked"]), v["id"].to_numpy(), _rows(v["embedding"]), k)
-        return pa.Table.from_pandas(best, preserve_index=False)
-
-    keys = ["cell", "part", "block"]
-    found = (
-        asked.select(*[F.col(c).alias(f"q_{c}") for c in keys], "query_id", F.col("embedding").alias("asked"))
-        .groupBy(*[f"q_{c}" for c in keys])
-        .cogroup(rows.select(*keys, "id", "embedding").groupBy(*keys))
-        .applyInArrow(run, _PART)
-    )
-    return top_k(found, ["query_id"], [F.desc("similarity"), F.asc("id")], k, spread="id")
+    @F.pandas_udf("array<int>")
+    def bins_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for v in batches:
+            yield pd.Series(shared.value.visited(np.vstack(v.to_numpy())) if len(v) else [], dtype=object)
 
+    @F.pandas_udf("int")
+    def bin_of(cell: pd.Series, hashed: pd.Series) -> pd.Series:
+        b, c = shared.value, cell.to_numpy()
+        parts = b.parts[c]
+        return pd.Series(np.where(parts > 0, b.first[c] + hashed.to_numpy() % np.maximum(parts, 1), -1).astype(np.int32))
+
+    rows = index.select(
+        F.col("id").cast("long").alias("id"), "embedding", "cell",
+        bin_of("cell", F.pmod(F.xxhash64("id"), F.lit(1 << 30))).alias("bin"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+    ).filter("bin >= 0")
+    asked = asked.select(
+        F.explode(F.sequence(F.lit(0), F.lit(bins.number - 1)) if every else bins_of("cells")).alias("q_bin"),
+        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("q_block"), "query_id", "asked", "cells",
+    )
 
-def _rows(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    return _unit(flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1))
+    def run(q: pa.Table, v: pa.Table) -> pa.Table:
+        if not len(q) or not len(v):
+            return PART_SCHEMA.empty_table()
+        qids, asked, ids, x = q["query_id"].to_numpy(), rows_of(q["asked"]), v["id"].to_numpy(), rows_of(v["embedding"])
+        if every:
+            return block_table(qids, asked, ids, x, k)
+        probed, own = np.vstack(q["cells"].to_numpy()), v["cell"].to_numpy()
+        found = PART_SCHEMA.empty_table()
+        for c in np.unique(own):
+            who, rows = (probed == c).any(axis=1), own == c
+            if who.any():
+                found = pa.concat_tables([found, block_table(qids[who], asked[who], ids[rows], x[rows], k)])
+                if len(found) > 4 * k * len(qids):
+                    found = _first(found, k)
+        return _first(found, k)
+
+    found = asked.groupBy("q_bin", "q_block").cogroup(rows.groupBy("bin", "block")).applyInArrow(run, _PART)
+    # a question has k rows a bin: one step ranks them
+    return top_k(found, ["query_id"], [F.desc("similarity"), F.asc("id")], k, spread="id", salts=1)
+
+
+def _first(found: pa.Table, k: int) -> pa.Table:
+    """The k best rows of each question."""
+    q = found["query_id"].to_numpy()
+    order = np.lexsort((found["id"].to_numpy(), -found["similarity"].to_numpy(), q))
+    q = q[order]
+    return found.take(pa.array(order[np.arange(len(q)) - np.searchsorted(q, q) < k]))
 
 
 def ann_recall(approx: DataFrame, exact: DataFrame, k: int = 10) -> DataFrame:

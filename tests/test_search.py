@@ -161,3 +161,37 @@ def test_plain_words_hold_no_syntax(spark):
     assert {r.id for r in found.collect()} == {3}
     rows = lexical.websearch_terms(plain).collect()
     assert {(r.alternative, r.clause, r.negated) for r in rows} == {(0, i, False) for i in range(6)}
+
+
+def test_block_best_in_slices(monkeypatch):
+    """Blocks larger than what meets at once, with copies across the slices."""
+    monkeypatch.setattr(retrieval, "ROW_SLICE", 16)
+    monkeypatch.setattr(retrieval, "QUERY_SLICE", 3)
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(200, 8))
+    m[40:170] = m[0]
+    ids = rng.permutation(200)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    got = retrieval._block_best(ids, u, ids, u, 7)
+    assert got.groupby("query_id").size().eq(7).all()
+    at = np.argsort(ids)
+    want = {(q, i) for q, i, _ in _brute(m[at], range(200), 7)}
+    assert set(zip(got["query_id"], got["id"])) == want
+
+
+def test_a_question_meets_a_bin_once(vectors, monkeypatch):
+    """Rows that the cells yield grow with the bins, not with the probed cells."""
+    df, _ = vectors
+    index, cells = ann.build_index(df, cells=40)
+    seen = []
+    monkeypatch.setattr(ann, "top_k", lambda found, *a, **kw: seen.append(found.count()) or top_k(found, *a, **kw))
+    q = df.filter("id < 50").select(F.col("id").alias("query_id"), "embedding")
+    for probes in (len(cells), len(cells) // 2):
+        ann.ann_topk(index, cells, q, k=3, probes=probes)
+    assert max(seen) <= 50 * 3 * 2
+
+
+def test_pack_cells():
+    b = ann.pack(np.array([3, 0, 4, 4, 25, 2, 9]), 10)
+    assert (b.first.tolist(), b.parts.tolist(), b.number) == ([0, 0, 0, 1, 2, 5, 6], [1, 0, 1, 1, 3, 1, 1], 7)
+    assert [x.tolist() for x in b.visited(np.array([[0, 2], [4, 6], [1, 3]]))] == [[0], [2, 3, 4, 6], [1]]
