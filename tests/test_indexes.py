@@ -158,3 +158,24 @@ def test_answers_from_stored_indexes(spark):
     got = jobs.answer_questions(chunks, asks, embed, search=search).fused.select(keys).collect()
     near = jobs.answer_questions(chunks, asks, embed, mode="approximate", search=search, recall=1.0).fused.select(keys).collect()
     assert len(want) > 20 and sorted(map(str, got)) == want and sorted(map(str, near)) == want
+
+
+def test_metrics_of_dense_search_build_no_index(spark, sf, monkeypatch):
+    from marginalia.plans import queries_evaluation as qe
+    from marginalia.plans import queries_search as qs
+
+    def refuse(*_):
+        raise AssertionError("an index of terms is built")
+
+    monkeypatch.setattr(qs, "search_index", refuse)
+    assert qe.dense_ranked(spark, sf, 3).count() == 3 * qs.questions(spark, sf).count()
+
+
+def test_hashed_vectors_come_in_slices(spark, monkeypatch):
+    from marginalia.operators import embedding
+
+    monkeypatch.setattr(embedding, "EMBED_SLICE", 7)
+    df = spark.range(40).coalesce(1).select("id", F.concat(F.lit("a a b "), F.col("id").cast("string")).alias("text"))
+    got = {r.id: r.v for r in df.select("id", embedding.hash_embed(F.col("text"), 64, double=True).alias("v")).collect()}
+    for r in embedding.sparse_embed(df, "id", "text", 64).collect():
+        assert abs(got[r.id][r.bucket] - r.weight) < 1e-9
