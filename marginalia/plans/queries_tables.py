@@ -9,7 +9,7 @@ from marginalia.functions import text as tx
 from marginalia.operators import maintenance, quality
 from marginalia.plans import derive as dv
 from marginalia.plans.registry import query
-from marginalia.session import work_path
+from marginalia.session import cut_lineage, work_path
 from marginalia.sources import readers, writers
 
 # ---- sources ----------------------------------------------------------------------
@@ -321,8 +321,10 @@ def append_ingest_run(spark, sf):
 def incremental_copy(spark, sf):
     """English rows first, then everything that is still missing; a repeat adds nothing."""
     path = work_path(spark, "copy")
-    src = _chunk_table(spark, sf)
-    en = src.join(src.filter("lang <> 'en'").select("content_hash"), "content_hash", "left_anti").filter("lang = 'en'")
+    # the table is read three times: texts and embeddings meet once, and rows that are never copied go no further
+    src = cut_lineage(_chunk_table(spark, sf).filter("embedding is not null"), "chunk-table")
+    other = dv.doc_rows(spark, sf).filter("lang <> 'en'").select("content_hash").distinct()
+    en = src.filter("lang = 'en'").join(other, "content_hash", "left_anti")
     writers.incremental_copy(en, path)
     writers.incremental_copy(src, path)
     writers.incremental_copy(src, path)

@@ -141,3 +141,17 @@ def test_labels_meet_chunks_before_grouping(spark):
     chunks = spark.createDataFrame([(1, "a"), (5, "a"), (2, "b"), (3, "c"), (4, None)], "id long, content_hash string")
     got = {tuple(r) for r in evaluation.resolve_hashes(items, chunks).collect()}
     assert got == {("a", 5), ("b", 2), ("gone", None)}
+
+
+def test_copy_joins_texts_and_embeddings_once(spark, sf, monkeypatch):
+    from marginalia.plans import queries_tables as qt
+
+    plans, copy = [], qt.writers.incremental_copy
+
+    def seen(source, path, *a):
+        plans.append(source._jdf.queryExecution().optimizedPlan().toString())
+        copy(source, path, *a)
+
+    monkeypatch.setattr(qt.writers, "incremental_copy", seen)
+    assert qt.incremental_copy(spark, sf).count() > 0
+    assert [p.count("Join") for p in plans] == [1, 0, 0]
