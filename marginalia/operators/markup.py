@@ -19,6 +19,17 @@ from marginalia.functions import text as tx
 MARK = "struct<line_no:int,what:string,mode:string,dropped:boolean,was_dropped:boolean,in_figure:boolean>"
 SCOPE = "struct<dropped:boolean,figure:boolean>"
 
+#: The classes of lines that can make a block of a kind; a scope line holds a figure's caption or a callout's title.
+LINES_OF = {
+    "heading": ["heading"],
+    "table": ["table"],
+    "equation": ["equation"],
+    "figure": ["image", "scope"],
+    "code": ["code"],
+    "list": ["text", "typeset"],
+    "para": ["text", "typeset", "foot", "scope"],
+}
+
 
 def mask_comments(text: Column) -> Column:
     """Blank out comments with equal length so that offsets keep pointing into the source."""
@@ -107,7 +118,6 @@ def _line_facts(line: Column, s: Column, drop_classes: list[str], drop_attrs: li
     colons = s.startswith(":::") & s.rlike(fv.P_SCOPE)
     plain = F.struct(F.lit(False).alias("dropped"), F.lit(False).alias("figure"))
     return F.struct(
-        F.length(line).alias("n"),
         s.alias("s"),
         F.when(s.startswith("```") | s.startswith("~~~"), F.regexp_extract(s, fv.P_FENCE, 1)).otherwise("").alias("fence"),
         F.when(colons, F.when(F.regexp_extract(s, fv.P_SCOPE, 2) != "", "open").otherwise("close"))
@@ -120,24 +130,44 @@ def _line_facts(line: Column, s: Column, drop_classes: list[str], drop_attrs: li
     )
 
 
-def _marks(masked: Column, drop_classes: list[str], drop_attrs: list[str]) -> Column:
-    """Where the state of the reader changes, as an array of marks (see MARK)."""
-    facts = F.transform(
-        F.split(masked, "\n"),
-        lambda ln: tx.let(tx.strip(ln), lambda s: _line_facts(ln, s, drop_classes, drop_attrs)),
-    )
-    start = F.struct(
-        F.lit(0).alias("pos"),
-        F.lit(0).alias("i"),
+def _first_line(masked: Column, skip_to: Column) -> Column:
+    """The number of lines that start before ``skip_to``."""
+    ends = F.regexp_count(F.substr(masked, F.lit(1), skip_to - 1), F.lit("\n"))
+    return F.when(skip_to > 0, ends + 1).otherwise(F.lit(0))
+
+
+def _marks(masked: Column, skip_to: Column, drop_classes: list[str], drop_attrs: list[str]) -> Column:
+    """Where the state of the reader changes, as an array of marks (see MARK).
+
+    The fold meets only lines that can change the state: those that open or close something and, in a text with footnotes,
+    all others too, as any line may end one. The marks lie beside the small state: what `let` hands on is copied.
+    """
+    of_text = F.struct(_first_line(masked, skip_to).alias("skip_lines"), masked.contains("[^").alias("has_notes"))
+
+    def may_change(s: Column, has_notes: Column) -> Column:
+        return s.startswith(":::") | s.startswith("```") | s.startswith("$$") | s.startswith("~~~") | has_notes
+
+    def facts(has_notes: Column) -> Column:
+        lines = F.transform(
+            F.split(masked, "\n"),
+            lambda ln, i: F.struct(i.alias("i"), ln.alias("line"), tx.strip(ln).alias("s")),
+        )
+        return F.transform(
+            F.filter(lines, lambda x: may_change(x["s"], has_notes)),
+            lambda x: F.struct(x["i"].alias("i"), _line_facts(x["line"], x["s"], drop_classes, drop_attrs).alias("f")),
+        )
+
+    state = F.struct(
         F.lit("text").alias("mode"),
         F.lit("").alias("fence"),
         F.array().cast(f"array<{SCOPE}>").alias("scopes"),
-        F.array().cast(f"array<{MARK}>").alias("marks"),
+        F.lit(None).cast(MARK).alias("mark"),
     )
+    start = F.struct(state.alias("state"), F.array().cast(f"array<{MARK}>").alias("marks"))
 
-    def happens(a: Column, f: Column, was: Column) -> Column:
+    def happens(a: Column, i: Column, f: Column, was: Column, skip_lines: Column) -> Column:
         foot_ends = (a["mode"] == "foot") & ~f["indented"]
-        free = (a["pos"] >= F.col("skip_to")) & ((a["mode"] == "text") | foot_ends)
+        free = (i >= skip_lines) & ((a["mode"] == "text") | foot_ends)
         here = (
             F.when(f["fence"] != "", "fence_open")
             .when(f["scope"] == "open", "scope_open")
@@ -156,17 +186,15 @@ def _marks(masked: Column, drop_classes: list[str], drop_attrs: list[str]) -> Co
             .otherwise("")
         )
 
-    def go_on(a: Column, f: Column) -> Column:
+    def go_on(a: Column) -> Column:
         return F.struct(
-            (a["pos"] + f["n"] + 1).alias("pos"),
-            (a["i"] + 1).alias("i"),
             a["mode"].alias("mode"),
             a["fence"].alias("fence"),
             a["scopes"].alias("scopes"),
-            a["marks"].alias("marks"),
+            F.lit(None).cast(MARK).alias("mark"),
         )
 
-    def change(a: Column, f: Column, what: Column, was: Column) -> Column:
+    def change(a: Column, i: Column, f: Column, what: Column, was: Column) -> Column:
         n = F.size(a["scopes"])
         scopes = (
             F.when(what == "scope_open", F.concat(a["scopes"], F.array(f["frame"])))
@@ -179,7 +207,7 @@ def _marks(masked: Column, drop_classes: list[str], drop_attrs: list[str]) -> Co
 
         def build(sc: Column) -> Column:
             mark = F.struct(
-                a["i"].alias("line_no"),
+                i.alias("line_no"),
                 what.alias("what"),
                 mode.alias("mode"),
                 F.exists(sc, lambda d: d["dropped"]).alias("dropped"),
@@ -187,26 +215,39 @@ def _marks(masked: Column, drop_classes: list[str], drop_attrs: list[str]) -> Co
                 F.exists(sc, lambda d: d["figure"]).alias("in_figure"),
             )
             return F.struct(
-                (a["pos"] + f["n"] + 1).alias("pos"),
-                (a["i"] + 1).alias("i"),
                 mode.alias("mode"),
                 F.when(what == "fence_open", f["fence"]).otherwise(a["fence"]).alias("fence"),
                 sc.alias("scopes"),
-                F.concat(a["marks"], F.array(mark)).alias("marks"),
+                mark.alias("mark"),
             )
 
         return tx.let(scopes, build)
 
-    def step(a: Column, f: Column) -> Column:
+    def next_state(a: Column, i: Column, f: Column, skip_lines: Column) -> Column:
         return tx.let(
             F.exists(a["scopes"], lambda d: d["dropped"]),
             lambda was: tx.let(
-                happens(a, f, was),
-                lambda what: F.when(what == "", go_on(a, f)).otherwise(change(a, f, what, was)),
+                happens(a, i, f, was, skip_lines),
+                lambda what: F.when(what == "", go_on(a)).otherwise(change(a, i, f, what, was)),
+            ),
+        )
+
+    def noted(a: Column) -> Column:
+        """The marks with that of the line before."""
+        mark = a["state"]["mark"]
+        return F.when(mark.isNull(), a["marks"]).otherwise(F.concat(a["marks"], F.array(mark)))
+
+    def fold(t: Column) -> Column:
+        return F.aggregate(
+            facts(t["has_notes"]),
+            start,
+            lambda a, x: F.struct(
+                next_state(a["state"], x["i"], x["f"], t["skip_lines"]).alias("state"), noted(a).alias("marks")
             ),
+            noted,
         )
 
-    return F.aggregate(facts, start, step, lambda a: a["marks"])
+    return tx.let(of_text, fold)
 
 
 def tagged_lines(
@@ -232,7 +273,7 @@ def tagged_lines(
             F.length(text).alias("n"),
             body_start(text).alias("skip_to"),
         )
-        .withColumn("marks", _marks(masked, drop_classes, drop_attrs))
+        .withColumn("marks", _marks(masked, F.col("skip_to"), drop_classes, drop_attrs))
         .select(
             "source_file",
             "n",
@@ -298,8 +339,8 @@ def scope_visibility(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def _grouped(lines: DataFrame) -> DataFrame:
-    """Runs of lines that form one block, with their lines in order."""
+def _grouped(lines: DataFrame, classes: list[str] | None = None) -> DataFrame:
+    """Runs of lines that form one block, with their lines in order; only of the given classes of lines, if any are."""
     order = W.partitionBy("source_file").orderBy("line_no")
     cls, at = F.col("cls"), F.coalesce("at", F.lit(""))
     prev = F.coalesce(F.lag("cls").over(order), F.lit(""))
@@ -314,19 +355,23 @@ def _grouped(lines: DataFrame) -> DataFrame:
         .when(textual, ~prev.isin("text", "typeset"))
         .otherwise(True)
     )
-    lines = lines.withColumn("run", F.sum(starts.cast("int")).over(order))
+    lines = lines.withColumn("starts", starts).withColumn("run", F.sum(F.col("starts").cast("int")).over(order))
     # a caption belongs to its table although blank lines lie between
     table_run = F.last(F.when(cls == "table", F.col("run")), ignorenulls=True).over(order)
-    in_run = W.partitionBy("source_file", "run").orderBy("line_no")
-    is_item = F.when((cls == "text") & F.col("line").rlike(fv.P_LIST_ITEM), 1).otherwise(0)
+    # lines from the first item of a run on are listed: the last item stands where the run starts or behind it
+    is_item = (cls == "text") & F.col("line").rlike(fv.P_LIST_ITEM)
+    run_start = F.max(F.when(F.col("starts"), F.col("line_no"))).over(order)
+    last_item = F.max(F.when(is_item, F.col("line_no"))).over(order)
     lines = (
         lines.withColumn("is_caption", cls == "caption")
-        .withColumn("run", F.when(F.col("is_caption"), table_run).otherwise(F.col("run")))
+        .withColumn("_run", F.when(F.col("is_caption"), table_run).otherwise(F.col("run")))
+        .withColumn("listed", F.when(~F.col("is_caption") & (last_item >= run_start), 1).otherwise(0))
         .withColumn("cls", F.when(F.col("is_caption"), "table").otherwise(cls))
-        .withColumn("listed", F.max(is_item).over(in_run))
+        .withColumn("run", F.col("_run"))
     )
+    shown = ~F.col("cls").isin("hidden", "skipped", "blank") if classes is None else F.col("cls").isin(*classes)
     return (
-        lines.filter(~F.col("cls").isin("hidden", "skipped", "blank"))
+        lines.filter(shown)
         .groupBy("source_file", "run", "listed")
         .agg(
             F.max(F.when(F.col("cls") == "typeset", "a-typeset").otherwise(F.col("cls"))).alias("cls"),
@@ -498,13 +543,22 @@ def _to_blocks(groups: DataFrame) -> DataFrame:
     )
 
 
-def parse_blocks(docs: DataFrame, **options) -> DataFrame:
-    """(source_file, text) to blocks (source_file, block_no, kind, text, char_start, char_end, level, anchor)."""
+def parse_blocks(docs: DataFrame, kinds: list[str] | None = None, **options) -> DataFrame:
+    """(source_file, text) to blocks (source_file, block_no, kind, text, char_start, char_end, level, anchor).
+
+    With ``kinds`` only lines that can make such a block are gathered and cleaned; ``block_no`` then counts those kept.
+    """
     w = W.partitionBy("source_file").orderBy("char_start", "pos")
-    return (
-        _to_blocks(_with_code(_grouped(tagged_lines(docs, **options))))
+    classes = None if kinds is None else sorted({c for k in kinds for c in LINES_OF[k]})
+    blocks = (
+        _to_blocks(_with_code(_grouped(tagged_lines(docs, **options), classes)))
         .select("source_file", "char_start", "char_end", F.posexplode_outer("blocks").alias("pos", "b"))
         .filter("b is not null")
+    )
+    if kinds is not None:
+        blocks = blocks.filter(F.col("b.kind").isin(*kinds))
+    return (
+        blocks
         .withColumn("block_no", (F.row_number().over(w) - 1).cast("int"))
         .select(
             "source_file", "block_no", "b.kind", "b.text", "char_start", "char_end", "b.level", "b.anchor"
@@ -521,10 +575,6 @@ def document_titles(blocks: DataFrame) -> DataFrame:
     )
 
 
-def blocks_of(blocks: DataFrame, *kinds: str) -> DataFrame:
-    return blocks.filter(F.col("kind").isin(*kinds))
-
-
 def collect_labels(blocks: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
     """anchor to label; the definition that is read last counts.
 

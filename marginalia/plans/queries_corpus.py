@@ -201,8 +201,9 @@ def explode_lines(spark, sf):
     )
 
 
-def blocks(spark, sf):
-    return markup.parse_blocks(dv.marked_up(spark, sf).select("source_file", "text"))
+def blocks(spark, sf, *kinds):
+    """The blocks of the marked-up documents: all, or those of some kinds."""
+    return markup.parse_blocks(dv.marked_up(spark, sf).select("source_file", "text"), list(kinds) or None)
 
 
 def _block_rows(df):
@@ -253,7 +254,7 @@ def div_scope(spark, sf):
     ),
 )
 def heading_blocks(spark, sf):
-    return _block_rows(markup.blocks_of(blocks(spark, sf), "heading"))
+    return _block_rows(blocks(spark, sf, "heading"))
 
 
 @query(
@@ -264,7 +265,7 @@ def heading_blocks(spark, sf):
     ),
 )
 def table_blocks(spark, sf):
-    return _block_rows(markup.blocks_of(blocks(spark, sf), "table"))
+    return _block_rows(blocks(spark, sf, "table"))
 
 
 @query(
@@ -275,7 +276,7 @@ def table_blocks(spark, sf):
     ),
 )
 def equation_blocks(spark, sf):
-    return _block_rows(markup.blocks_of(blocks(spark, sf), "equation"))
+    return _block_rows(blocks(spark, sf, "equation"))
 
 
 @query(
@@ -286,7 +287,7 @@ def equation_blocks(spark, sf):
     ),
 )
 def figure_blocks(spark, sf):
-    return _block_rows(markup.blocks_of(blocks(spark, sf), "figure"))
+    return _block_rows(blocks(spark, sf, "figure"))
 
 
 def _all_sql(where: str) -> str:
@@ -297,12 +298,12 @@ def _all_sql(where: str) -> str:
 @query("callout_titles", _all_sql("kind = 'para'"))
 def callout_titles(spark, sf):
     """Titles of callouts among all the paragraphs."""
-    return _block_rows(markup.blocks_of(blocks(spark, sf), "para"))
+    return _block_rows(blocks(spark, sf, "para"))
 
 
 @query("para_list_blocks", _all_sql("kind IN ('para', 'list')"))
 def para_list_blocks(spark, sf):
-    return _block_rows(markup.blocks_of(blocks(spark, sf), "para", "list"))
+    return _block_rows(blocks(spark, sf, "para", "list"))
 
 
 @query("all_blocks", _all_sql("true"))
@@ -319,7 +320,7 @@ _LABELS_SQL = """labels_t AS (SELECT 'sec-' || tag AS anchor, '§ ' || x AS labe
 
 @query("collect_labels", f"WITH {dv.MARKED}, {_LABELS_SQL} SELECT anchor, label FROM labels_t")
 def collect_labels(spark, sf):
-    return markup.collect_labels(blocks(spark, sf))
+    return markup.collect_labels(blocks(spark, sf, "heading", "figure", "table", "equation"))
 
 
 @query(

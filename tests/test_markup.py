@@ -237,3 +237,17 @@ def test_chunk_ids_do_not_overlap(spark):
     assert ids.distinct().count() == 60
     with pytest.raises(PySparkException):
         spark.range(1).select(chunking.chunk_id(F.lit(1), F.lit(1 << 24))).collect()
+
+
+def test_blocks_of_some_kinds_are_those_of_all(spark):
+    cols = ["source_file", "kind", "text", "char_start", "char_end", "level", "anchor"]
+    texts = [
+        ("notes.md", "---\nt: 1\n---\n\n# A {#sec-a}\n\n[^n]: first\n    second\n| a | b |\n|---|---|\n\n: Cap {#tbl-a}\n\nx\n- one\n- two\n"),
+        ("scopes.md", "::: {#fig-a fig-cap=\"F\"}\n![](x.png)\n:::\n::: {.callout-note title=\"T\"}\nIn\n$$\ny\n$$ {#eq-a}\n:::\n```text\nc\n```\n"),
+    ]
+    docs = spark.createDataFrame(texts, "source_file string, text string")
+    whole = markup.parse_blocks(docs).select(*cols).collect()
+    assert {r["kind"] for r in whole} == set(markup.LINES_OF)
+    for kind in markup.LINES_OF:
+        some = markup.parse_blocks(docs, [kind]).select(*cols).collect()
+        assert sorted(some, key=str) == sorted((r for r in whole if r["kind"] == kind), key=str), kind
