@@ -20,15 +20,23 @@ from marginalia.sources import readers, writers
     "SELECT page_id, md5(html) AS text_md5, true AS found FROM pages UNION ALL SELECT page_id, NULL, false FROM pages",
 )
 def scan_corpus(spark, sf):
-    """Pages written as one file each; the manifest also names an absent twin of every file."""
+    """Pages written as one file each; the manifest also names an absent twin of every file.
+
+    Folders stand in 256 others, so a listing is as many tasks and not one a page; every core writes files, and each task
+    commits its own (version 2), as the driver would rename them one by one.
+    """
     root = work_path(spark, "corpus")
-    pages = dv.t(spark, sf, "pages")
-    pages.select(F.col("page_id").alias("p"), F.col("html").alias("value")).repartition("p").write.partitionBy("p").text(root)
+    pages = dv.t(spark, sf, "pages").select(
+        F.pmod("page_id", F.lit(256)).alias("g"), F.col("page_id").alias("p"), F.col("html").alias("value")
+    )
+    writer = pages.repartition(spark.sparkContext.defaultParallelism, "p").write.partitionBy("g", "p")
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(root)
     names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
-        F.regexp_extract("path", r"(p=\d+/[^/]+)$", 1).alias("path")
+        F.regexp_extract("path", r"(g=\d+/p=\d+/[^/]+)$", 1).alias("path")
     )
-    manifest = names.select("path", F.regexp_extract("path", r"p=(\d+)", 1).cast("long").alias("page_id"))
-    manifest = manifest.unionByName(manifest.withColumn("path", F.concat("path", F.lit(".absent"))))
+    both = F.explode(F.array("path", F.concat("path", F.lit(".absent")))).alias("path")
+    manifest = names.select(F.regexp_extract("path", r"/p=(\d+)", 1).cast("long").alias("page_id"), both)
+    manifest = cut_lineage(manifest.repartition("path"), "manifest")  # read three times; the names are listed once
     docs, missing = readers.scan_corpus(spark, root, manifest)
     # the text writer ends each file with a line end of its own
     found = docs.select("page_id", F.md5(F.regexp_replace("text", r"\n\z", "")).alias("text_md5"), F.lit(True).alias("found"))

@@ -90,6 +90,8 @@ def test_files_outside_the_manifest_are_never_opened(spark, tmp_path, batch):
     got = {r["source_file"]: (r["number"], r["text"]) for r in docs.collect()}
     assert got == {n: (i, f"# {n}\nbody\n") for i, n in enumerate(names)} | {"packed.md.gz": (5, "packed\n")}
     assert [r["path"] for r in missing.collect()] == ["absent.md"]
+    # names are listed once: later steps read them back
+    assert "binaryFile" not in missing._jdf.queryExecution().executedPlan().toString()
     # the broken file fails as soon as it is opened
     with pytest.raises(Exception):  # noqa: B017, PT011
         every = spark.createDataFrame([(9, "broken.md.gz")], "number int, path string")
