@@ -459,8 +459,10 @@ def _to_blocks(groups: DataFrame) -> DataFrame:
     )
     staged = (
         groups.withColumn("head", head)
-        .withColumn("attrs", tx.parse_attrs(F.coalesce(attrs, F.lit(""))))
-        .withColumn("clean", tx.clean_inline(raw))
+        .withColumn("attr_text", attrs)
+        .withColumn("attrs", F.when(F.col("attr_text") != "", tx.parse_attrs(F.col("attr_text"))))
+        .withColumn("raw", raw)
+        .withColumn("clean", tx.clean_inline(F.col("raw")))
         .withColumn("title", F.when(cls == "scope", tx.clean_inline(_nonempty(kv["title"]))))
         .withColumn(
             "table_text",
