@@ -171,6 +171,41 @@ def test_metrics_of_dense_search_build_no_index(spark, sf, monkeypatch):
     assert qe.dense_ranked(spark, sf, 3).count() == 3 * qs.questions(spark, sf).count()
 
 
+def test_ablation_builds_no_index(spark, sf, monkeypatch):
+    """Its two lexical searches are one pass over the terms, its vectors stay in the tasks that make them."""
+    from marginalia.operators import lexical
+    from marginalia.plans import queries_evaluation as qe
+    from marginalia.plans import queries_search as qs
+
+    def refuse(*_):
+        raise AssertionError("an index of terms is built")
+
+    searched = []
+    match = lexical.lexical_match
+    monkeypatch.setattr(qs, "search_index", refuse)
+    monkeypatch.setattr(lexical, "lexical_match", lambda *a, **kw: searched.append(a) or match(*a, **kw))
+    rows = {(r.config, r.type) for r in qe.retrieval_ablation(spark, sf).collect()}
+    assert {(c, None) for c in ("dense", "hybrid", "hybrid+rerank")} <= rows
+    assert len(searched) == 1
+
+
+def test_dense_search_by_a_model_in_the_task(spark):
+    """Vectors made in the searching task give the rows of stored ones, scanned or in a grid; a null text has no words."""
+    from marginalia.operators import embedding, retrieval
+
+    docs = spark.createDataFrame(
+        [(i, None if i == 4 else f"a{i % 7} b{i % 3} a{i % 5} c") for i in range(60)], "id long, text string"
+    )
+    stored = docs.select("id", embedding.hash_embed(F.col("text"), double=True).alias("embedding"))
+    made = docs.select("id", embedding.word_buckets(F.col("text")).alias("embedding"))
+    asked = stored.where("id < 5").withColumnRenamed("id", "query_id")
+    want = sorted(retrieval.dense_topk(stored, asked, 8).collect())
+    assert len(want) == 40
+    for most in (retrieval.BROADCAST_BYTES, 0):
+        got = retrieval.dense_topk(made, asked, 8, broadcast_bytes=most, model=embedding.bucket_counts)
+        assert sorted(got.collect()) == want
+
+
 def test_hashed_vectors_come_in_slices(spark, monkeypatch):
     from marginalia.operators import embedding
 
