@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -214,6 +215,27 @@ def test_leaks(spark):
     assert decontam.leaks(make(spark, rows), items.limit(0)).count() == 0
 
 
+def test_suffix_expansion_begins_at_short_strings(monkeypatch):
+    """Equal to brute force at lengths around the symbols that the first sort packs; few sorts of the whole text."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 6, 7, 8, 9, 13, 14, 15, 16, 30):
+        for _ in range(40):
+            parts = [bytes(rng.choice([0, 97, 255], int(rng.integers(1, 70)), p=[0.1, 0.8, 0.1]).astype(np.uint8)) for _ in range(5)]
+            weights = rng.integers(1, 3, 5)
+            seen = Counter()
+            for p, w in zip(parts, weights.tolist()):
+                for i in range(len(p) - n + 1):
+                    seen[p[i : i + n]] += w
+            want = [[i for i in range(len(p) - n + 1) if seen[p[i : i + n]] >= 2] for p in parts]
+            assert [g.tolist() for g in suffixes.repeated_starts(parts, weights, n)] == want
+    sorts = []
+    argsort = np.argsort
+    monkeypatch.setattr(suffixes.np, "argsort", lambda x, **kw: sorts.append(len(x)) or argsort(x, **kw))
+    text = np.append(np.tile(np.array([2, 3, 2, 2, 4], np.int16), 300), np.int16(0))
+    suffixes.suffix_order(text, 400)
+    assert len(sorts) <= 5  # depths 7, 21, 63, 189 and 567
+
+
 def test_long_repeats(spark, odd):
     n = 60
     texts = [(d, (t or "").encode()) for d, t, _ in odd]
