@@ -1,5 +1,7 @@
 """Search, fusion, reranking and assembly against brute force."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -195,3 +197,41 @@ def test_pack_cells():
     b = ann.pack(np.array([3, 0, 4, 4, 25, 2, 9]), 10)
     assert (b.first.tolist(), b.parts.tolist(), b.number) == ([0, 0, 0, 1, 2, 5, 6], [1, 0, 1, 1, 3, 1, 1], 7)
     assert [x.tolist() for x in b.visited(np.array([[0, 2], [4, 6], [1, 3]]))] == [[0], [2, 3, 4, 6], [1]]
+
+
+@pytest.fixture(scope="module")
+def worded(sf, tmp_path_factory):
+    """The documents beside benchmark texts that hold what a user's question would take as syntax, and their views in DuckDB."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    folder = tmp_path_factory.mktemp("worded")
+    docs = pq.read_table(f"{sf}/documents.parquet")
+    pq.write_table(docs, folder / "documents.parquet")
+    rows = sorted(docs.to_pylist(), key=lambda r: r["doc_id"])
+    texts = []
+    for i, r in enumerate([r for r in rows if r["text"] and len(r["text"].split()) > 12][:24]):
+        w = re.findall(r"[^\W_]+", r["text"])[:9]
+        texts.append([" or ".join(w), f"{w[0]} OR {w[1]} -{w[2]}", f'"{w[3]}" {w[2]}-{w[4]} or', f"or {w[5]} or or \"{w[1]}"][i % 4])
+    pq.write_table(pa.table({"item_id": pa.array(range(len(texts)), pa.int64()), "text": texts}), folder / "benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    return str(folder), con
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["build_prompts"],
+)
+def test_benchmark_texts_are_searched_as_the_sql_searches_them(spark, worded, tmp_path, name):
+    import __spark_entry__ as entry
+
+    folder, con = worded
+    entry.queries()[name](spark, folder).write.parquet(str(tmp_path / "got"))
+    want = con.sql(entry.oracle_sql()[name])
+    got = con.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in want.columns)} FROM read_parquet('{tmp_path}/got/*.parquet')")
+    missing, extra = len(want.except_(got).fetchall()), len(got.except_(want).fetchall())
+    assert (missing, extra, len(got.fetchall())) == (0, 0, len(want.fetchall()))
+    assert len(want.fetchall()) >= 8
