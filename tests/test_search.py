@@ -223,7 +223,7 @@ def worded(sf, tmp_path_factory):
 
 @pytest.mark.parametrize(
     "name",
-    ["build_prompts", "citation_markers", "citations"],
+    ["build_prompts", "citation_markers", "citations", "cover_density_rank"],
 )
 def test_benchmark_texts_are_searched_as_the_sql_searches_them(spark, worded, tmp_path, name):
     import __spark_entry__ as entry
