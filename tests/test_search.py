@@ -224,7 +224,7 @@ def worded(sf, tmp_path_factory):
 @pytest.mark.parametrize(
     "name",
     ["build_prompts", "citation_markers", "citations", "cover_density_rank", "generate_answers", "rerank_jaccard", "rerank_model"]
-    + ["lexical_match", "lexical_topk", "websearch_terms", "rerank_or_fallback"],
+    + ["lexical_match", "lexical_topk", "websearch_terms", "rerank_or_fallback", "rerank_overlap"],
 )
 def test_benchmark_texts_are_searched_as_the_sql_searches_them(spark, worded, tmp_path, name):
     import __spark_entry__ as entry
