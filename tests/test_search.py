@@ -236,3 +236,45 @@ def test_benchmark_texts_are_searched_as_the_sql_searches_them(spark, worded, tm
     missing, extra = len(want.except_(got).fetchall()), len(got.except_(want).fetchall())
     assert (missing, extra, len(got.fetchall())) == (0, 0, len(want.fetchall()))
     assert len(want.fetchall()) >= 8
+
+
+@pytest.fixture(scope="module")
+def sparse(tmp_path_factory):
+    """Few documents beside questions that share a word with fewer than a list holds, or have no text, and their views in DuckDB."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    folder = tmp_path_factory.mktemp("sparse")
+    texts = ["red pump", "blue gear with a pump", "İstanbul istanbul", "ISTANBUL pump", "ΑΣ ΟΔΥΣΣΕΥΣ", "valve", None, ""]
+    texts += [f"filler{i} line{i} about nothing{i}" for i in range(40)]
+    docs = {"doc_id": range(len(texts)), "text": texts, "lang": ["en"] * len(texts), "source": ["src1"] * len(texts)}
+    docs["n_chars"] = [len(t or "") for t in texts]
+    pq.write_table(pa.table(docs), folder / "documents.parquet")
+    asked = ["pump", "red pump", "valve gear", None, "istanbul", "İstanbul", "οδυσσευΣ ασ", "ΑΣ", "filler3", "nowhere"]
+    pq.write_table(pa.table({"item_id": pa.array(range(len(asked)), pa.int64()), "text": asked}), folder / "benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    return str(folder), con
+
+
+def _differences(spark, folder, con, name, out):
+    """Rows of a query that its SQL lacks, rows of its SQL that it lacks, and all rows."""
+    import __spark_entry__ as entry
+
+    entry.queries()[name](spark, folder).write.parquet(f"{out}/got")
+    cols = ", ".join(f'"{c}"' for c in con.sql(entry.oracle_sql()[name]).columns)
+    con.execute(f"CREATE OR REPLACE TEMP TABLE want AS {entry.oracle_sql()[name]}")
+    con.execute(f"CREATE OR REPLACE TEMP TABLE got AS SELECT {cols} FROM read_parquet('{out}/got/*.parquet')")
+    count = lambda q: con.execute(f"SELECT count(*) FROM ({q})").fetchone()[0]
+    return count("FROM want EXCEPT ALL FROM got"), count("FROM got EXCEPT ALL FROM want"), count("FROM got")
+
+
+@pytest.mark.parametrize(
+    "name", ["build_prompts", "citation_markers", "citations", "cover_density_rank", "lexical_match", "lexical_topk", "websearch_terms"]
+)
+def test_characters_are_lowered_one_by_one(spark, sparse, tmp_path, name):
+    missing, extra, n = _differences(spark, *sparse, name, tmp_path)
+    assert (missing, extra) == (0, 0)
+    assert n >= 8
