@@ -271,6 +271,13 @@ def _differences(spark, folder, con, name, out):
     return count("FROM want EXCEPT ALL FROM got"), count("FROM got EXCEPT ALL FROM want"), count("FROM got")
 
 
+@pytest.mark.parametrize("name", ["rerank_jaccard", "rerank_model", "rerank_or_fallback", "rerank_overlap", "retrieve", "rrf"])
+def test_only_rows_that_share_a_word_are_candidates(spark, sparse, tmp_path, name):
+    missing, extra, n = _differences(spark, *sparse, name, tmp_path)
+    assert (missing, extra) == (0, 0)
+    assert n >= 8
+
+
 @pytest.mark.parametrize(
     "name", ["build_prompts", "citation_markers", "citations", "cover_density_rank", "lexical_match", "lexical_topk", "websearch_terms"]
 )
