@@ -285,3 +285,7 @@ def test_characters_are_lowered_one_by_one(spark, sparse, tmp_path, name):
     missing, extra, n = _differences(spark, *sparse, name, tmp_path)
     assert (missing, extra) == (0, 0)
     assert n >= 8
+
+
+def test_a_null_question_is_answered(spark, sparse, tmp_path):
+    assert _differences(spark, *sparse, "generate_answers", tmp_path) == (0, 0, 10)
