@@ -52,20 +52,25 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _store(entries: DataFrame, index: SearchIndex, gen: int) -> None:
+    """Postings and term facts of a generation. A bucket is one file or, where it is large, several: adaptive execution cuts
+    it by size, so a term that half of the chunks have is many tasks. Facts are counted from the stored postings."""
+    path = index.at(gen, "postings")
+    entries.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(path)
+    stored = entries.sparkSession.read.schema(entries.schema).parquet(path)
+    facts = stored.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"))
+    facts.sortWithinPartitions("bucket", "term").write.parquet(index.at(gen, "terms"))
+
+
 def _write(index: SearchIndex, gen: int, chunks: DataFrame, removed: DataFrame | None) -> SearchIndex:
     spark = chunks.sparkSession
     entries = lexical.build_postings(chunks.select("id", "text")).select(
         F.col("chunk_id").alias("id"), "term", F.size("positions").alias("tf"), "positions", bucket_of(F.col("term"), index.buckets).alias("bucket")
     )
-    # written once: the ranges below are drawn from it, and a term that half of the chunks have is many ranges
-    entries = cut_lineage(entries, "postings")
-    entries.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(
-        index.at(gen, "postings")
-    )
-    facts = entries.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"))
-    facts.sortWithinPartitions("bucket", "term").write.parquet(index.at(gen, "terms"))
+    _store(entries, index, gen)
     if index.has_vectors:
-        chunks.select("id", "embedding").where("embedding is not null").write.parquet(index.at(gen, "vectors"))
+        # a filter here would run the model that makes the vectors a second time
+        chunks.select("id", "embedding").write.parquet(index.at(gen, "vectors"))
     if removed is not None:
         removed.select(F.col("id").cast("long")).distinct().write.parquet(index.at(gen, "removed"))
     commit = spark.range(1).select(
@@ -106,19 +111,15 @@ def _alive(spark: SparkSession, index: SearchIndex, table: str, pick) -> DataFra
 
 
 def vectors(spark: SparkSession, index: SearchIndex) -> DataFrame:
-    """(id, embedding) of the index."""
-    return _alive(spark, index, "vectors", lambda d: d)
+    """(id, embedding) of the index, of chunks that have a vector."""
+    return _alive(spark, index, "vectors", lambda d: d.where("embedding is not null"))
 
 
 def compact(spark: SparkSession, index: SearchIndex, path: str) -> SearchIndex:
     """The same index as one generation in a new folder."""
     out = SearchIndex(path.rstrip("/"), index.buckets, (), index.has_vectors)
     entries = _alive(spark, index, "postings", lambda d: d)
-    entries = cut_lineage(entries, "postings")
-    entries.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(
-        out.at(0, "postings")
-    )
-    entries.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf")).write.parquet(out.at(0, "terms"))
+    _store(entries, out, 0)
     if index.has_vectors:
         vectors(spark, index).write.parquet(out.at(0, "vectors"))
     spark.createDataFrame([(0, index.buckets, False, index.has_vectors)], _COMMIT).coalesce(1).write.parquet(f"{out.path}/commits")
@@ -169,6 +170,13 @@ def _ask(index: SearchIndex, questions: DataFrame) -> _Asked:
     return _Asked(found, postings)
 
 
+def _among(postings: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """Postings that can meet ``keys``. Whole numbers are met several times faster than strings: a hash leaves out what
+    meets nothing, and the join that follows compares the columns themselves."""
+    keys = keys.select(F.xxhash64(*by).alias("_key")).distinct()
+    return postings.withColumn("_key", F.xxhash64(*by)).join(keys, "_key", "left_semi").drop("_key")
+
+
 def _candidates(asked: _Asked) -> DataFrame:
     """(query_id, group_key, id, bound): chunks that have all terms of an alternative. Positions are not read.
 
@@ -179,7 +187,10 @@ def _candidates(asked: _Asked) -> DataFrame:
         "query_id", "group_key", "m", F.array_remove("need", F.col("rarest")).alias("others"), F.col("rarest").alias("term")
     )
     narrow = asked.postings.select("term", "id", "tf")
-    found = cut_lineage(lookup.join(narrow, "term").withColumnRenamed("tf", "own").drop("term"), "found")
+    found = cut_lineage(lookup.join(_among(narrow, lookup, ["term"]), "term").withColumnRenamed("tf", "own").drop("term"), "found")
+    # other terms are looked for in the chunks that were found only
+    narrow = _among(narrow, lookup.select(F.explode("others").alias("term")), ["term"])
+    narrow = narrow.join(found.select("id").distinct(), "id", "left_semi")
     found = found.withColumn("term", F.explode_outer("others")).drop("others")
     found = found.join(narrow, ["term", "id"], "left").groupBy("query_id", "group_key", "m", "id").agg(
         F.count("tf").alias("met"), (F.coalesce(F.sum("tf"), F.lit(0)) + F.max("own")).alias("n")
@@ -211,7 +222,7 @@ def _score(asked: _Asked, picked: DataFrame) -> DataFrame:
     rows = picked.join(asked.alternatives.select("query_id", "group_key", "terms"), ["query_id", "group_key"])
     rows = rows.select("query_id", "group_key", "id", F.explode("terms").alias("term"))
     rows = cut_lineage(rows, "places")
-    rows = rows.join(asked.postings.select("term", "id", "positions"), ["term", "id"])
+    rows = rows.join(_among(asked.postings.select("term", "id", "positions"), rows, ["term", "id"]), ["term", "id"])
     rows = rows.groupBy("query_id", "group_key", "id").agg(
         F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("places")
     )

@@ -214,3 +214,54 @@ def test_hashed_vectors_come_in_slices(spark, monkeypatch):
     got = {r.id: r.v for r in df.select("id", embedding.hash_embed(F.col("text"), 64, double=True).alias("v")).collect()}
     for r in embedding.sparse_embed(df, "id", "text", 64).collect():
         assert abs(got[r.id][r.bucket] - r.weight) < 1e-9
+
+
+def test_an_index_runs_the_model_of_its_vectors_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def model(text):
+        made.add(1)
+        return None if text is None else [float(len(text)), 1.0]
+
+    chunks = frame(spark, [(i, None if i == 3 else "cat " * i) for i in range(1, 41)]).withColumn("embedding", model("text"))
+    index = inverted.build(chunks, work_path(spark, "index"), buckets=4)
+    assert made.value == 40
+    got = {r.id: r.embedding for r in inverted.vectors(spark, inverted.open_index(spark, index.path)).collect()}
+    assert got == {i: [4.0 * i, 1.0] for i in range(1, 41) if i != 3}
+
+
+def test_postings_of_slices(spark, monkeypatch):
+    """A slice holds many chunks or a part of a batch; texts that are null, empty or all stop words have no postings."""
+    monkeypatch.setattr(lexical, "POSTING_SLICE", 7)
+    rows = [(1, "red pump red"), (1, "pump"), (2, None), (3, ""), (4, "the of"), (None, "gear"), (5, "gear " * 20 + "the pump")]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    got = sorted((str(r.chunk_id), r.term, list(r.positions)) for r in lexical.build_postings(df).collect())
+    assert got == [
+        ("1", "pump", [1]), ("1", "pump", [2]), ("1", "red", [1, 3]), ("5", "gear", list(range(1, 21))), ("5", "pump", [22]),
+        ("None", "gear", [1]),
+    ]
+
+
+def test_few_candidates_meet_documents_in_place(spark, sf):
+    from marginalia.plans import queries_search as qs
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")  # less than the documents
+    try:
+        plan = qs.candidates(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_hashed_vectors_cut_at_every_white_space(spark):
+    from marginalia.functions import fixed_values as fv
+    from marginalia.operators import embedding
+
+    texts = [f"A{c}b{c}{c}Bé" for c in fv.WHITE_SPACE] + [None, "", " ", "İ Σς"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    made = df.select("id", embedding.hash_embed(F.col("text"), 64, double=True).alias("v"), embedding.word_buckets(F.col("text"), 64).alias("b"))
+    for r in made.collect():
+        want = np.bincount(r.b, minlength=64).astype(float) if r.b else np.zeros(64)
+        assert np.allclose(r.v, want / (np.linalg.norm(want) or 1)), r.id
