@@ -15,30 +15,36 @@ from marginalia.sources import readers, writers
 # ---- sources ----------------------------------------------------------------------
 
 
-@query(
-    "scan_corpus",
-    "SELECT page_id, md5(html) AS text_md5, true AS found FROM pages UNION ALL SELECT page_id, NULL, false FROM pages",
-)
-def scan_corpus(spark, sf):
-    """Pages written as one file each; the manifest also names an absent twin of every file.
-
-    Folders stand in 256 others, so a listing is as many tasks and not one a page; every core writes files, and each task
-    commits its own (version 2), as the driver would rename them one by one.
-    """
-    root = work_path(spark, "corpus")
+def _page_files(spark, sf, root):
+    """Pages written as one file each under ``root``; the paths of the files. Folders are 256, so a listing is as many tasks."""
     pages = dv.t(spark, sf, "pages").select(
         F.pmod("page_id", F.lit(256)).alias("g"), F.col("page_id").alias("p"), F.col("html").alias("value")
     )
+    local = writers.local_folder(spark, root)
+    if local:
+        path = F.concat(F.lit("g="), F.coalesce(F.col("g").cast("string"), F.lit("none")), F.lit("/p="), F.coalesce(F.col("p").cast("string"), F.lit("none")))
+        return writers.write_texts(pages.select(path.alias("path"), F.col("value").alias("text")), local)
+    # another file system: every core writes files, and each task commits its own (version 2), as the driver would rename them one by one
     writer = pages.repartition(spark.sparkContext.defaultParallelism, "p").write.partitionBy("g", "p")
     writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(root)
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
         F.regexp_extract("path", r"(g=\d+/p=\d+/[^/]+)$", 1).alias("path")
     )
+
+
+@query(
+    "scan_corpus",
+    "SELECT page_id, md5(html) AS text_md5, true AS found FROM pages UNION ALL SELECT page_id, NULL, false FROM pages",
+)
+def scan_corpus(spark, sf):
+    """Pages written as one file each; the manifest also names an absent twin of every file."""
+    root = work_path(spark, "corpus")
+    names = _page_files(spark, sf, root)
     both = F.explode(F.array("path", F.concat("path", F.lit(".absent")))).alias("path")
-    manifest = names.select(F.regexp_extract("path", r"/p=(\d+)", 1).cast("long").alias("page_id"), both)
+    manifest = names.select(F.regexp_extract("path", r"/p=(-?\d+)", 1).try_cast("long").alias("page_id"), both)
     manifest = cut_lineage(manifest.repartition("path"), "manifest")  # read three times; the names are listed once
     docs, missing = readers.scan_corpus(spark, root, manifest)
-    # the text writer ends each file with a line end of its own
+    # the writers end each file with a line end of their own
     found = docs.select("page_id", F.md5(F.regexp_replace("text", r"\n\z", "")).alias("text_md5"), F.lit(True).alias("found"))
     return found.unionByName(missing.select("page_id", F.lit(None).cast("string").alias("text_md5"), F.lit(False).alias("found")))
 

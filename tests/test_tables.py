@@ -157,3 +157,43 @@ def test_copy_joins_texts_and_embeddings_once(spark, sf, monkeypatch):
     monkeypatch.setattr(qt.writers, "incremental_copy", seen)
     assert qt.incremental_copy(spark, sf).count() > 0
     assert [p.count("Join") for p in plans] == [1, 0, 0]
+
+
+def test_a_root_with_a_scheme_and_a_blank(spark, tmp_path):
+    root = tmp_path / "my corpus"
+    (root / "sub").mkdir(parents=True)
+    for n in ("a.md", "sub/b+c.md"):
+        (root / n).write_text(n)
+    manifest = spark.createDataFrame([(1, "a.md"), (2, "sub/b+c.md"), (3, "absent.md")], "number int, path string")
+    for base in (str(root), f"file:{root}", f"file://{root}/"):
+        docs, missing = readers.scan_corpus(spark, base, manifest)
+        assert {tuple(r) for r in docs.collect()} == {(1, "a.md", "a.md"), (2, "sub/b+c.md", "sub/b+c.md")}
+        assert [r.number for r in missing.collect()] == [3]
+
+
+def test_texts_are_written_as_files_by_their_tasks(spark, tmp_path):
+    rows = [("x/1", "é\n"), ("x/2", None), ("y/1", ""), ("y/2", "same"), ("y/2", "same")]
+    df = spark.createDataFrame(rows, "path string, text string").repartition(3)
+    names = writers.write_texts(df, str(tmp_path / "texts"))
+    files = {str(f.relative_to(tmp_path / "texts")): f.read_bytes() for f in (tmp_path / "texts").rglob("*") if f.is_file()}
+    assert files == {"x/1": "é\n\n".encode(), "x/2": b"\n", "y/1": b"\n", "y/2": b"same\nsame\n"}
+    assert sorted(r.path for r in names.collect()) == sorted(files)
+    assert writers.local_folder(spark, "file:///a/b") == writers.local_folder(spark, "/a/b") == "/a/b"
+    assert writers.local_folder(spark, "hdfs://host/a") is writers.local_folder(spark, "a/b") is None
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_scan_corpus_finds_every_page(spark, tmp_path, monkeypatch, scheme):
+    import hashlib
+
+    from marginalia.plans import queries_tables as qt
+
+    pages = [(i, None if i == 3 else f"<p>{i}</p>\n\n" * (i % 4)) for i in range(300)] + [(-7, "minus")]
+    spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr("marginalia.session.shared_dir", lambda spark: f"{scheme}{tmp_path}/shared")
+    got = sorted(tuple(r) for r in qt.scan_corpus(spark, str(tmp_path)).collect() if r.found)
+    every = qt.scan_corpus(spark, str(tmp_path)).count()
+    md5 = lambda x: hashlib.md5((x or "").encode()).hexdigest()
+    assert got == sorted((i, md5(h), True) for i, h in pages) and every == 602
+    written = [f for f in (tmp_path / "shared").rglob("p=*") if "corpus-" in str(f)]
+    assert len(written) == 602 and all(f.is_file() for f in written)
