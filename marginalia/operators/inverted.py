@@ -56,7 +56,9 @@ def _store(entries: DataFrame, index: SearchIndex, gen: int) -> None:
     """Postings and term facts of a generation. A bucket is one file or, where it is large, several: adaptive execution cuts
     it by size, so a term that half of the chunks have is many tasks. Facts are counted from the stored postings."""
     path = index.at(gen, "postings")
-    entries.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(path)
+    moved = entries.drop("tf").hint("rebalance", "bucket").withColumn("tf", F.size("positions"))
+    moved = moved.select(entries.columns).sortWithinPartitions("bucket", "term", "id")
+    moved.write.partitionBy("bucket").parquet(path, compression="zstd")  # beside what was shuffled, most of the disk it takes
     stored = entries.sparkSession.read.schema(entries.schema).parquet(path)
     facts = stored.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"))
     facts.sortWithinPartitions("bucket", "term").write.parquet(index.at(gen, "terms"))

@@ -255,10 +255,11 @@ def test_few_candidates_meet_documents_in_place(spark, sf):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
-def test_hashed_vectors_cut_at_every_white_space(spark):
+def test_hashed_vectors_cut_at_every_white_space(spark, monkeypatch):
     from marginalia.functions import fixed_values as fv
     from marginalia.operators import embedding
 
+    monkeypatch.setattr(embedding, "WORD_BYTES", 30)
     texts = [f"A{c}b{c}{c}Bé" for c in fv.WHITE_SPACE] + [None, "", " ", "İ Σς"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
     made = df.select("id", embedding.hash_embed(F.col("text"), 64, double=True).alias("v"), embedding.word_buckets(F.col("text"), 64).alias("b"))
